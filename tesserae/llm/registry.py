@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from tesserae.llm.exact_dedup import ORACLE_OP6, op6_exact_dedup
 from tesserae.llm.hnsw import op5_hnsw_search
+from tesserae.llm.language_id import op9_language_id
+from tesserae.llm.minhash_join import op8_jaccard_join
 from tesserae.llm.mixing import ORACLE_OP4, op4_mix_sources
 from tesserae.llm.packing import op1_best_fit_packing
+from tesserae.llm.quality import op3_quality_cotraining
+from tesserae.llm.suffix_dedup import op7_suffix_dedup
 from tesserae.llm.token_counts import op10_token_counts
 from tesserae.llm.warc import ORACLE_OP2, op2_warc_normalise
 
@@ -14,9 +18,13 @@ QUERIES = {
     for f in (
         op1_best_fit_packing,
         op2_warc_normalise,
+        op3_quality_cotraining,
         op4_mix_sources,
         op5_hnsw_search,
         op6_exact_dedup,
+        op7_suffix_dedup,
+        op8_jaccard_join,
+        op9_language_id,
         op10_token_counts,
     )
 }
