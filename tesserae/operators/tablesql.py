@@ -1,0 +1,233 @@
+"""Guarded ad-hoc SQL over small tables found in text.
+
+A statement must be one SELECT over one table: ``SELECT * ...`` for rows, or one aggregate, with an
+optional WHERE of a fixed grammar.  It is parsed here into a plan of columns, so nothing that the
+grammar lacks can run.  An aggregate is computed twice, over the typed companion columns and again
+over the verbatim cells, and is answered only if both agree.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tesserae.functions.numbers import coerce_number, is_canonical_number
+
+ROW_LIMIT = 1000
+#: Words that no guarded statement may hold, even inside a string.
+FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "replace", "attach", "detach", "pragma", "vacuum", "reindex")
+REFUSED = (r"\brandom\b", r"\browid\b", r"\bglob\b", r"\(\s*select\b")
+
+
+class Refused(ValueError):
+    """The statement is outside of what is allowed or known to be right."""
+
+
+def read_only(sql: str) -> str:
+    """The statement without a closing semicolon, if it is one SELECT or WITH and holds no forbidden word."""
+    text = sql.strip().removesuffix(";").strip()
+    if not re.match(r"(?i)(select|with)\b", text) or ";" in text:
+        raise Refused("one SELECT statement is allowed")
+    for word in FORBIDDEN:
+        if re.search(rf"(?i)\b{word}\b", text):
+            raise Refused(f"{word} is not allowed")
+    for pattern in REFUSED:
+        if re.search(f"(?i){pattern}", text):
+            raise Refused("the predicate is not allowed")
+    return text
+
+
+def identifiers(header: list[str]) -> list[str]:
+    """Column names for labels: other characters become ``_``, a leading digit gets ``c_``, repeated names ``_c`` and then ``_x``."""
+    out: list[str] = []
+    for label in header:
+        name = re.sub(r"[^0-9a-z]+", "_", label.lower()).strip("_") or "col"
+        name = f"c_{name}" if name[0].isdigit() else name
+        name = name if name not in out else f"{name}_c"
+        while name in out:
+            name += "_x"
+        out.append(name)
+    return out
+
+
+def load(spark, header: list[str], rows: list[list[str]]) -> DataFrame:
+    """The cells as text, plus a ``<name>__num`` companion for every column, and ``row_no``."""
+    names = identifiers(header)
+    data = [[i, *(r[j] if j < len(r) else "" for j in range(len(names)))] for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "row_no int, " + ", ".join(f"`{n}` string" for n in names))
+    return with_numbers(df, names)
+
+
+def with_numbers(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumns({f"{n}__num": coerce_number(F.col(f"`{n}`")) for n in names})
+
+
+def numeric_columns(cells: DataFrame) -> DataFrame:
+    """``table_id, col_no, numeric`` of a long cell table: some cell is not empty, and all such are numbers."""
+    told = F.trim("cell") != ""
+    return cells.groupBy("doc_id", "table_id", "col_no").agg((F.max(told.cast("int")) == 1).alias("_any"), F.bool_and(~told | coerce_number(F.col("cell")).isNotNull()).alias("_all")).select("doc_id", "table_id", "col_no", (F.col("_any") & F.col("_all")).alias("numeric"))
+
+
+def split_top(text: str, word: str) -> list[str]:
+    """Parts between a keyword (or a comma) outside of quotes and brackets."""
+    parts, depth, quote, start = [], 0, "", 0
+    step = re.compile(re.escape(word) if word == "," else rf"\b{word}\b", re.I)
+    i = 0
+    while i < len(text):
+        c = text[i]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif depth == 0 and (m := step.match(text, i)) and (word == "," or i == 0 or not (text[i - 1].isalnum() or text[i - 1] == "_")):
+            parts.append(text[start:i])
+            i = start = m.end()
+            continue
+        i += 1
+    return [p.strip() for p in [*parts, text[start:]]]
+
+
+def _literal(text: str) -> str:
+    m = re.fullmatch(r"'((?:[^']|'')*)'|\"([^\"]*)\"|(-?[0-9][0-9,.]*)", text.strip())
+    if not m:
+        raise Refused(f"not a literal: {text}")
+    return m[1].replace("''", "'") if m[1] is not None else m[2] if m[2] is not None else m[3]
+
+
+NAME = r"[\"`]?([A-Za-z_][A-Za-z0-9_]*)[\"`]?"
+
+
+def _atom(text: str, names: list[str]) -> Column:
+    """One comparison, two-valued: an empty cell is null for IS NULL only, and every other test of it is false before NOT."""
+    text = text.strip()
+    while text.startswith("(") and text.endswith(")") and len(split_top(text[1:-1], ",")) == 1:
+        text = text[1:-1].strip()
+    m = re.match(rf"(?is)^{NAME}\s*(.*)$", text)
+    if not m:
+        raise Refused(f"not a predicate: {text}")
+    base, rest = m[1].lower(), m[2].strip()
+    base = base.removesuffix("__num")
+    if base not in names:
+        raise Refused(f"no such column: {base}")
+    cell = F.trim(F.coalesce(F.col(f"`{base}`"), F.lit("")))
+    number = coerce_number(cell)
+
+    def equal(value: str) -> Column:
+        wanted = coerce_number(F.lit(value))
+        both = number.isNotNull() & wanted.isNotNull()
+        return F.coalesce(F.when(both, number == wanted).otherwise(F.lower(cell) == value.strip().lower()), F.lit(False))
+
+    if m := re.fullmatch(r"(?is)is\s+(not\s+)?null", rest):
+        return cell != "" if m[1] else cell == ""
+    if m := re.fullmatch(r"(?is)(not\s+)?in\s*\((.*)\)", rest):
+        hit = F.lit(False)
+        for v in split_top(m[2], ","):
+            hit = hit | equal(_literal(v))
+        return ~hit if m[1] else hit
+    if m := re.fullmatch(r"(?is)between\s+(\S+)\s+and\s+(\S+)", rest):
+        low, high = coerce_number(F.lit(_literal(m[1]))), coerce_number(F.lit(_literal(m[2])))
+        return F.coalesce((number >= low) & (number <= high), F.lit(False))
+    if m := re.fullmatch(r"(?is)(not\s+)?like\s+(.+)", rest):
+        pattern = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in _literal(m[2]))
+        hit = cell.rlike(f"(?is)^{pattern}$")
+        return ~hit if m[1] else hit
+    if m := re.fullmatch(r"(?s)(==|=|!=|<>|<=|>=|<|>)\s*(.+)", rest):
+        value = _literal(m[2])
+        if m[1] in ("=", "=="):
+            return equal(value)
+        if m[1] in ("!=", "<>"):
+            return ~equal(value)
+        wanted = coerce_number(F.lit(value))
+        hit = {"<": number < wanted, ">": number > wanted, "<=": number <= wanted, ">=": number >= wanted}[m[1]]
+        return F.coalesce(hit, F.lit(False))
+    raise Refused(f"unknown operator: {rest}")
+
+
+def predicate(text: str, names: list[str]) -> Column:
+    """OR of ANDs of atoms."""
+    out = F.lit(False)
+    for part in split_top(text, "or"):
+        if re.match(r"(?is).*\bbetween\b", part):
+            atoms = [part] if len(re.findall(r"(?i)\band\b", part)) == 1 else None
+            if atoms is None:
+                raise Refused("BETWEEN inside AND is not allowed")
+        else:
+            atoms = split_top(part, "and")
+        both = F.lit(True)
+        for a in atoms:
+            both = both & _atom(a, names)
+        out = out | both
+    return out
+
+
+@dataclass
+class Plan:
+    kind: str  # rows, aggregate or superlative
+    where: Column
+    function: str = ""
+    column: str = ""
+    descending: bool = False
+
+
+def plan(sql: str, names: list[str]) -> Plan:
+    text = read_only(sql)
+    m = re.fullmatch(rf"(?is)select\s+(.+?)\s+from\s+{NAME}(?:\s+where\s+(.+?))?(?:\s+order\s+by\s+{NAME}(\s+asc|\s+desc)?)?(?:\s+limit\s+(\d+))?", text)
+    if not m:
+        raise Refused("unknown form of statement")
+    what, where = m[1].strip(), predicate(m[3], names) if m[3] else F.lit(True)
+    if agg := re.fullmatch(rf"(?is)(sum|count|avg|min|max)\s*\(\s*(distinct\s+)?(\*|{NAME})\s*\)(?:\s+as\s+\w+)?", what):
+        if agg[2] or m[4]:
+            raise Refused("DISTINCT and ORDER BY are not allowed with an aggregate")
+        column = "*" if agg[3] == "*" else agg[4].lower().removesuffix("__num")
+        if column != "*" and column not in names or column == "*" and agg[1].lower() != "count":
+            raise Refused(f"no such column: {column}")
+        return Plan("aggregate", where, agg[1].lower(), column)
+    if what != "*":
+        raise Refused("only SELECT * may return rows")
+    if m[4]:
+        column = m[4].lower().removesuffix("__num")
+        if column not in names or m[6] != "1":
+            raise Refused("ORDER BY goes with LIMIT 1 and a known column")
+        return Plan("superlative", where, "", column, bool(m[5] and m[5].strip().lower() == "desc"))
+    return Plan("rows", where)
+
+
+def query(table: DataFrame, sql: str, names: list[str]) -> DataFrame:
+    """Rows, or one row ``value`` that is null where the two computations differ or a cell is ambiguous."""
+    p = plan(sql, names)
+    rows = table.filter(p.where)
+    if p.kind == "rows":
+        return rows.select("row_no", *[f"`{n}`" for n in names]).orderBy("row_no").limit(ROW_LIMIT)
+    if p.kind == "superlative":
+        num = F.col(f"`{p.column}__num`")
+        best = rows.filter(num.isNotNull()).orderBy(num.desc() if p.descending else num.asc(), "row_no").limit(1)
+        told = F.trim(F.col(f"`{p.column}`")) != ""
+        sound = rows.agg(F.coalesce(F.bool_and(~told | is_canonical_number(F.col(f"`{p.column}`"))), F.lit(True)).alias("_ok"))
+        return best.crossJoin(F.broadcast(sound)).filter("_ok").select("row_no", *[f"`{n}`" for n in names])
+    return rows.agg(aggregate(p.function, p.column).alias("value"))
+
+
+def aggregate(function: str, column: str) -> Column:
+    """The gated aggregate over the rows of a group."""
+    if column == "*":
+        return F.count(F.lit(1)).cast("double")
+    cell, typed = F.col(f"`{column}`"), F.col(f"`{column}__num`")
+    told = F.trim(F.coalesce(cell, F.lit(""))) != ""
+    if function == "count":
+        return F.sum(told.cast("long")).cast("double")
+    apply = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[function]
+    first, again = apply(typed), apply(coerce_number(cell))
+    canonical = F.coalesce(F.bool_and(~told | typed.isNull() | is_canonical_number(cell)), F.lit(True))
+    agree = F.abs(first - again) <= F.greatest(F.lit(1.0), F.abs(again) * 1e-6)
+    return F.when(canonical & agree, first)
+
+
+def grounded(question: str, labels: list[str]) -> bool:
+    """Every telling word of the labels that a statement uses stands in the question."""
+    words = lambda t: set(re.findall(r"[a-z0-9]{2,}", t.lower()))
+    return all(words(x) <= words(question) for x in labels)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+from tesserae.queries import search
+from tesserae.queries.base import ORACLES, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+FLAGSHIP = QUERIES[search.bm25_or_topk.__name__]
