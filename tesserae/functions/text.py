@@ -267,5 +267,6 @@ HINTS = {"fr": "le la les des une est dans pour que qui sur avec".split(), "en":
 
 def guess_language(text: Column) -> Column:
     """French if it has more French than English hint words, else English."""
-    count = lambda k: F.size(F.regexp_extract_all(F.lower(text), F.lit(r"\b(?:" + "|".join(HINTS[k]) + r")\b"), F.lit(0)))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    count = lambda k: F.size(F.filter(words, lambda w: w.isin(*HINTS[k])))
     return F.when(count("fr") > count("en"), "fr").otherwise("en")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.queries import search
+from tesserae.queries import relations, search, texts  # noqa: F401
 from tesserae.queries.base import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
