@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def viterbi(scores: np.ndarray, stay: float = 0.0, step: float = 0.05, jump: float = 0.3) -> list[int]:
@@ -54,4 +55,5 @@ def align(transcripts: DataFrame, decks: DataFrame, method: str = "viterbi") ->
         pages = d["pos"].to_numpy()
         return pd.DataFrame([(p, c, None if k is None else int(pages[k]), None if k is None else float(scores[i, k])) for i, (p, c, k) in enumerate(zip(t["pair_id"], t["pos"], path, strict=True))], columns=cols).astype({"page": "Int64"})
 
+    decks = decks.select(*[F.col(c).alias(c) for c in ("pair_id", "pos", "vector")])  # columns of its own, also if both sides are one table
     return transcripts.groupBy("pair_id").cogroup(decks.groupBy("pair_id")).applyInPandas(one, "pair_id string, chunk_pos long, page long, score double")

@@ -67,7 +67,7 @@ def average_precision(labels: Column, n_gold: Column) -> Column:
 def mention_recall(answer: Column, groups: Column) -> Column:
     """Share of slots (arrays of alternatives) of which one stands in the answer as whole words; an empty slot never does."""
     text = metric_text(answer)
-    hit = lambda alt: text.rlike(F.concat(F.lit(r"(?<!\w)\Q"), metric_text(alt), F.lit(r"\E(?!\w)")))
+    hit = lambda alt: F.rlike(text, F.concat(F.lit(r"(?<!\w)\Q"), metric_text(alt), F.lit(r"\E(?!\w)")))
     met = F.filter(groups, lambda g: F.exists(g, lambda alt: (metric_text(alt) != "") & hit(alt)))
     return F.when(F.size(groups) == 0, 1.0).otherwise(F.size(met) / F.size(groups))
 

@@ -56,7 +56,7 @@ def watch(spark: SparkSession, root: str, react: Callable[[DataFrame, int], None
     """
     from tesserae.sources import vault
 
-    source = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.md").load(f"{root.rstrip('/')}/documents")
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.md").load(f"{root.rstrip('/')}/documents")
 
     def on_batch(_: DataFrame, batch: int) -> None:
         docs = vault.scan(spark, root)
