@@ -112,7 +112,7 @@ def index_text(text: Column) -> Column:
 
 def heading_texts(text: Column) -> Column:
     """Texts of ATX headings outside of chart blocks, in order."""
-    return F.filter(F.transform(F.regexp_extract_all(strip_chart_blocks(text), F.lit(HEADING), F.lit(2)), F.trim), lambda h: h != "")
+    return F.filter(F.transform(F.regexp_extract_all(strip_chart_blocks(text), F.lit(HEADING), F.lit(2)), lambda x: F.trim(x)), lambda h: h != "")
 
 
 def is_name_only(text: Column) -> Column:
@@ -221,7 +221,7 @@ def normalize_transcript(text: Column) -> Column:
     out = F.regexp_replace(text, r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(FILLERS) + r")(?![\p{L}\p{N}])\s*[,.…]*", "")
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ([,.;:!?])", "$1")
     out = F.regexp_replace(out, r"(?m)^[ ,.;:]+", "")
-    return F.array_join(F.filter(F.transform(F.split(out, "\n"), F.trim), lambda x: x.rlike(r"[\p{L}\p{N}]")), "\n")
+    return F.array_join(F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"[\p{L}\p{N}]")), "\n")
 
 
 def structure_is_faithful(block: Column, source: Column) -> Column:

@@ -57,7 +57,7 @@ def test_fusion_ties_keep_first_appearance(spark):
 def test_related_and_bridges(spark):
     m = spark.createDataFrame([("d1", 1, "A", "concept"), ("d2", 1, "A", "concept"), ("d1", 2, "P", "person"), ("d3", 2, "P", "person"), ("d4", 3, "Z", "tool"), ("d5", 3, "Z", "tool")], "doc_id string, entity_id int, name string, kind string")
     seed = spark.createDataFrame([("d1",)], "doc_id string")
-    got = rows(graph.related(m, seed), "doc_id", "score", "shared_entities")
+    got = rows(graph.related(m, seed).orderBy("rank"), "doc_id", "score", "shared_entities")
     assert got == [("d2", round(np.log(5 / 2), 4), ["A"]), ("d3", round(np.log(5 / 2) / 4, 4), ["P"])]
     assert rows(graph.bridges(m, seed), "entity", "doc_count", "strength")[0] == ("A", 1, round(float(np.log(5 / 2) * np.log(2)), 4))
 
