@@ -187,7 +187,8 @@ def build_index(rows: DataFrame, k: int = K, m: int = M, ef: int = EF_BUILD, sha
         row = {"dim": dim, "shard": t.column("shard")[0].as_py(), **g.dump(), "vectors": v.tobytes(), "ids": ids.tobytes()}
         return pa.Table.from_pylist([row], schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("entry", pa.int32()), ("widths", pa.list_(pa.int32())), ("flat", pa.binary()), ("vectors", pa.binary()), ("ids", pa.binary())]))
 
-    built = nodes.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, n int, entry int, widths array<int>, flat binary, vectors binary, ids binary")
+    n = nodes.select("dim", "shard").distinct().count()
+    built = nodes.repartition(max(1, 2 * n), "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, n int, entry int, widths array<int>, flat binary, vectors binary, ids binary")
     return materialise(built)
 
 
