@@ -64,6 +64,17 @@ def semi_join(df: DataFrame, keys: DataFrame, on: list[str], rows: int | None =
     return df.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, on, "left_semi")
 
 
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``gone``; a null id counts as an id.
+
+    Documents are not shuffled where the ids that go were counted as few; else the join shuffles.
+    """
+    gone = materialise(gone.toDF("__gone"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialise, table
+from tesserae.llm.common import materialise, table, without
 
 DOCS, CHUNKS, WINDOW, HIDDEN, STEPS, BATCH, SEED, MEMO = 300, 4000, 32, 16, 500, 384, 5, 250_000
 UNKNOWN = "und"
@@ -236,8 +236,7 @@ def identify(docs: DataFrame, net: ByteGru | None, id_col: str = "doc_id", text_
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
     """``docs`` without those that no learned language fits, all columns kept."""
     got = identify(docs, train(docs, id_col, text_col, lang_col), id_col, text_col)
-    gone = got.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    return without(docs, id_col, got.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Memo, materialise, semi_join, table
+from tesserae.llm.common import Memo, materialise, semi_join, table, without
 
 WORDS, THRESHOLD, TREES, MAX_DEPTH, RECALL, SEED = 5, (4, 5), 20, 6, 0.9995, 11
 #: Shingles in a block; a task compares two blocks.
@@ -253,8 +253,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class, all columns kept."""
-    gone = jaccard_join(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    return without(docs, id_col, jaccard_join(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
