@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Memo, materialise, table
+from tesserae.llm.common import Memo, materialise, semi_join, table
 
 MIN_WORDS, GRAM, STRETCH, HOT = 50, 5, 32, 50_000
 HEAD = MIN_WORDS - STRETCH + 1
@@ -196,12 +196,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = materialise(heads.select("head", (F.col("n") > hot).alias("is_hot")))
     small = heads.count() <= 1_000_000
     left = all_suffixes.join(F.broadcast(heads) if small else heads, "head", "left_semi")
-    wanted = left.groupBy("doc_id").agg(F.collect_set("head").alias("heads"))  # bounded by the document
-    rows = materialise(extensions(texts.join(wanted, "doc_id"), min_words, gram, stretch))
-    if heads.filter("is_hot").isEmpty():
+    wanted = materialise(left.groupBy("doc_id").agg(F.collect_set("head").alias("heads")))  # bounded by the document
+    told = semi_join(texts, wanted.select("doc_id"), ["doc_id"])  # only texts with such a suffix are shuffled, if their ids are few
+    rows = extensions(told.join(wanted, "doc_id"), min_words, gram, stretch)
+    hot_heads = heads.filter("is_hot").select("head")  # few: each stands for more than `hot` suffixes
+    if hot_heads.isEmpty():
         found = _matches(rows)
     else:
-        hot_heads = heads.filter("is_hot").select("head")  # few: each stands for more than `hot` suffixes
+        rows = materialise(rows)
         found = _matches(rows.join(hot_heads, "head", "left_anti")).unionByName(_hot_matches(rows.join(hot_heads, "head", "left_semi")))
     per_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "first_id"))).alias("m"))
     # Fold the sorted starts into spans: a start inside or next to the last span lengthens it.
