@@ -15,15 +15,20 @@ BROADCAST_ROWS = 1_000_000
 _written: list[tuple[SparkSession, str]] = []
 
 
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session leaves it unset (tests, a laptop) a temporary folder is chosen and set.
+    Where the session leaves it unset (tests, a laptop) a temporary folder is chosen, once for each application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tesserae-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _temporary:
+            _temporary[app] = "file://" + tempfile.mkdtemp(prefix="tesserae-")
+        found = _temporary[app]
     return found
 
 
