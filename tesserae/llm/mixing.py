@@ -13,13 +13,14 @@ Main path: DataFrame functions only; the driver plans on counts of sources, neve
   shards splits into halves; how many of each source's blocks go left is one multivariate
   hypergeometric draw, so every leaf has its exact size and every block is equally likely anywhere.
 * Leaves.  A shard takes its count of each source as the next disjoint run of the permuted blocks,
-  and orders what it got by a hash: a local shuffle.
+  and orders what it got by a hash: a local shuffle.  These draws are written down, one row for each
+  time a block is drawn; what a document gave is summed from them.
 
 The running sums over one source, which may hold a third of all rows, are done in two levels
 (hash-range buckets, then inside a bucket), so no task sees a whole source.
 
 Defined results: null text has size 0 and takes nothing; null sources form one source; repeated
-rows count as documents of their own; an empty table gives no rows; other columns are ignored.
+rows and repeated ids count as documents of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from tesserae.llm.common import materialise, table
 WEIGHTS, EPOCHS, MAX_REPEAT, BLOCK_WORDS, SEED, SHARDS = (3, 1, 2), 1.5, 2, 1024, 17, 64
 #: Running sums are taken inside at most this many rows at once on average.
 BUCKET_ROWS = 20_000
+#: The drawn order of a source's blocks; the last two only part the blocks of repeated ids.
+ORDER = ("_key", "doc_id", "block", "size", "_row")
 
 
 def size_of(text: Column) -> Column:
@@ -57,14 +60,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, max_repea
 
 
 def _ranked(rows: DataFrame, n_rows: int, add: str) -> DataFrame:
-    """Adds ``_before``, the sum of ``add``, and ``_rank``, the count, over the rows of the same source that stand earlier by ``(_key, doc_id, block)``."""
+    """Adds ``_before``, the sum of ``add``, and ``_rank``, the count, over the rows of the same source that stand earlier by ``ORDER``."""
     digits = max(1, min(6, len(f"{max(1, n_rows // BUCKET_ROWS):x}")))
     rows = rows.withColumn("_bucket", F.substring("_key", 1, digits))
     sums = rows.groupBy("no", "_bucket").agg(F.sum(add).alias("_s"), F.count(F.lit(1)).alias("_c"))
     ahead = Window.partitionBy("no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("no", "_bucket", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_c0"))
-    inside = Window.partitionBy("no", "_bucket").orderBy("_key", "doc_id", "block").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum(add).over(inside), F.lit(0))).withColumn("_at", F.row_number().over(Window.partitionBy("no", "_bucket").orderBy("_key", "doc_id", "block")) - 1)
+    inside = Window.partitionBy("no", "_bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum(add).over(inside), F.lit(0))).withColumn("_at", F.row_number().over(Window.partitionBy("no", "_bucket").orderBy(*ORDER)) - 1)
     return rows.join(sums, ["no", "_bucket"]).withColumn("_before", F.col("_in") + F.col("_s0")).withColumn("_rank", F.col("_at") + F.col("_c0")).drop("_in", "_at", "_s0", "_c0", "_bucket")
 
 
@@ -86,44 +89,44 @@ def splitting_tree(quotas: list[int], shards: int, seed: int = SEED) -> list[lis
 
 
 def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, block_words: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with size and target, and the blocks with ``takes``, how often the mix draws each, and ``_rank`` in its source."""
-    sized = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")))
+    """The documents with ``_row``, size and target, and the blocks with ``takes``, how often the mix draws each, and ``_rank`` in its source."""
+    sized = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")))
     sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
     sized = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    blocks = sized.filter("size > 0").select("doc_id", "no", "source_size", "target", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block_words).cast("int") - 1)).alias("block"))
+    blocks = sized.filter("size > 0").select("_row", "doc_id", "no", "source_size", "target", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block_words).cast("int") - 1)).alias("block"))
     blocks = blocks.withColumn("words", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block").cast("long") * block_words))
     blocks = blocks.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("block").cast("string"))))
     passes = F.floor(F.col("target") / F.col("source_size"))
     blocks = _ranked(blocks, blocks.count(), "words").withColumn("_passes", passes)
     rest = F.col("target") - F.col("_passes") * F.col("source_size")
     blocks = blocks.withColumn("takes", (F.col("_passes") + (F.col("_before") * 2 + F.col("words") <= rest * 2).cast("int")).cast("int"))
-    return sized, blocks.select("doc_id", "no", "block", "words", "size", "_key", "_rank", "takes")
+    return sized, blocks.select("_row", "doc_id", "no", "block", "words", "_key", "_rank", "takes")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: ``doc_id, block, copy, words, shard, slot``; a document's block may be drawn more than once, in different passes."""
-    blocks = materialise(plan(docs, id_col, text_col, source_col, block_words, seed)[1])
+def draw(blocks: DataFrame, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
+    """The draws of the blocks of :func:`plan`, written down: ``_row, doc_id, block, copy, words, shard, slot``."""
+    blocks = materialise(blocks)
     per = blocks.groupBy("no").agg(F.sum("takes").alias("quota"), F.count(F.lit(1)).alias("n")).orderBy("no").collect()  # one row a source
-    drawn = splitting_tree([r["quota"] for r in per], shards, seed)
+    drawn = splitting_tree([r["quota"] for r in per], shards, seed) if per else []
     ends = [(r["no"], r["n"], np.cumsum([row[i] for row in drawn]).tolist()) for i, r in enumerate(per)]
-    runs = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"no": a, "n": b, "ends": c} for a, b, c in ends])), "array<struct<no:int,n:long,ends:array<long>>>")).alias("r")).select("r.*")
-    drawn = blocks.filter("takes > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("takes") - 1))).join(runs, "no")
+    runs = blocks.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"no": a, "n": b, "ends": c} for a, b, c in ends])), "array<struct<no:int,n:long,ends:array<long>>>")).alias("r")).select("r.*")
+    drawn = blocks.filter("takes > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("takes") - 1))).join(F.broadcast(runs), "no")
     drawn = drawn.withColumn("_at", F.col("_rank") + F.col("copy") * F.col("n"))
     shard = F.size(F.filter("ends", lambda end: end <= F.col("_at")))
-    drawn = drawn.select("doc_id", "block", "copy", "words", shard.alias("shard"), F.md5(F.concat_ws(":", F.lit(f"{seed}/shuffle"), "_key", F.col("copy").cast("string"))).alias("_draw"))
-    return drawn.withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy("_draw", "doc_id", "block", "copy")) - 1).drop("_draw")
+    drawn = drawn.select("_row", "doc_id", "block", "copy", "words", shard.alias("shard"), F.md5(F.concat_ws(":", F.lit(f"{seed}/shuffle"), "_key", F.col("copy").cast("string"))).alias("_draw"))
+    return materialise(drawn.withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy("_draw", "doc_id", "block", "copy", "_row")) - 1).drop("_draw"))
+
 
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
+    """The mix itself: ``doc_id, block, copy, words, shard, slot``; a document's block may be drawn more than once, in different passes."""
+    return draw(plan(docs, id_col, text_col, source_col, block_words, seed)[1], seed, shards).drop("_row")
 
-def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``.
 
-    Repeated ids share what their blocks took in proportion to the block sizes of one of them.
-    """
+def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
+    """One row per document: ``doc_id, size, source_size, target, taken``, the words of its draws in all shards."""
     sized, blocks = plan(docs, id_col, text_col, source_col, block_words, seed)
-    sums = blocks.groupBy("doc_id", "no", "size").agg(F.sum(F.col("takes") * F.col("words")).alias("_t"), F.sum(F.when(F.col("block") == 0, 1)).alias("_rows"))
-    sums = sums.select(F.col("doc_id").alias("_id"), F.col("no").alias("_no"), F.col("size").alias("_size"), F.floor(F.col("_t") / F.col("_rows")).alias("_t"))
-    on = sized["doc_id"].eqNullSafe(sums["_id"]) & (sized["no"] == sums["_no"]) & (sized["size"] == sums["_size"])
-    return sized.join(sums, on, "left").select("doc_id", "size", "source_size", "target", F.coalesce("_t", F.lit(0)).cast("long").alias("taken"))
+    sums = draw(blocks, seed, shards).groupBy("_row").agg(F.sum("words").alias("_t"))
+    return sized.join(sums, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("_t", F.lit(0)).cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -120,6 +120,21 @@ def test_mix_odd(odd, empty):
     assert mixing.apply_mix(odd).columns == odd.columns
 
 
+def test_mix_queries_draw_from_the_tree(spark, monkeypatch):
+    """Both queries take their words from the shards' draws, each row its own."""
+    drawn, tree = [], mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda quotas, shards, seed: drawn.append((quotas, shards)) or tree(quotas, shards, seed))
+    words = lambda n: " ".join(["w"] * n)
+    df = spark.createDataFrame([(i % 20, words(700 * i), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    got = mixing.taken(df).toPandas()
+    assert len(drawn) == 1
+    assert drawn[0][1] == mixing.SHARDS
+    rows = mixing.mix(df).toPandas()
+    assert got.groupby("doc_id").taken.sum().to_dict() == rows.groupby("doc_id").words.sum().reindex(range(20), fill_value=0).to_dict()
+    mixing.apply_mix(df).collect()
+    assert len(drawn) == 3
+
+
 # --- packing --------------------------------------------------------------------------------------
 def test_ids_equal_the_library(real):
     from tokenizers import Tokenizer
