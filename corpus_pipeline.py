@@ -7,6 +7,7 @@ last return the columns of ``documents``; the last returns one row per piece of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tesserae.llm import exact_dedup, language_id, minhash_join, mixing, packing
 from tesserae.llm.common import materialise, table
@@ -28,8 +29,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.apply_mix(docs)
+    """The blocks of documents that the mix of sources draws, one row a draw; ``n_chars`` is the block's."""
+    return mixing.apply_mix(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,11 +31,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialise, table
+from tesserae.llm.common import BROADCAST_ROWS, materialise, table
 
 WEIGHTS, EPOCHS, MAX_REPEAT, BLOCK_WORDS, SEED, SHARDS = (3, 1, 2), 1.5, 2, 1024, 17, 64
 #: Running sums are taken inside at most this many rows at once on average.
 BUCKET_ROWS = 20_000
+WORD = r"[^\x20\x09-\x0D]"
 #: The drawn order of a source's blocks; the last two only part the blocks of repeated ids.
 ORDER = ("_key", "doc_id", "block", "size", "_row")
 
@@ -88,9 +89,13 @@ def splitting_tree(quotas: list[int], shards: int, seed: int = SEED) -> list[lis
     return out
 
 
-def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, block_words: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with ``_row``, size and target, and the blocks with ``takes``, how often the mix draws each, and ``_rank`` in its source."""
-    sized = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")))
+def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, block_words: int, seed: int, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents with ``_row``, size and target, and the blocks with ``takes``, how often the mix draws each, and ``_rank`` in its source.
+
+    ``row_col`` names a written column that tells rows apart; without one, numbers are given here.
+    """
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    sized = materialise(docs.select(row.alias("_row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")))
     sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
     sized = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     blocks = sized.filter("size > 0").select("_row", "doc_id", "no", "source_size", "target", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block_words).cast("int") - 1)).alias("block"))
@@ -129,13 +134,30 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return sized.join(sums, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("_t", F.lit(0)).cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` as often as the mix takes them, to the nearest whole document; documents without words stay once."""
-    weights = taken(docs, id_col, text_col, source_col)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    weights = weights.groupBy("doc_id").agg(F.max(times).alias("__times")).withColumnRenamed("doc_id", "__id")
-    out = docs.join(weights, docs[id_col].eqNullSafe(weights["__id"])).filter("__times > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+def block_texts(text: Column, block_words: int) -> Column:
+    """The text cut after every ``block_words`` words; a text without words stays one piece.
+
+    The quantifiers are possessive, so Java takes one word after the other without recursion.
+    """
+    cut = rf"[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){{1,{block_words}}}+"
+    return F.when(text.rlike(WORD), F.regexp_extract_all(text, F.lit(cut), F.lit(0))).otherwise(F.array(text))
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
+    """The mix as rows of ``docs``: one for each draw, with the drawn block as its text; documents without words stay once.
+
+    A shard's rows lie in one partition, in the order of their slots.  The texts are shuffled by shard,
+    and before that by row where the draws were counted as too many to broadcast.
+    """
+    keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
+    drawn = draw(plan(keyed, id_col, text_col, source_col, block_words, seed, "__row")[1], seed, shards)
+    drawn = drawn.select(F.col("_row").alias("__row"), F.col("block").alias("__block"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    if drawn.count() <= BROADCAST_ROWS // 2:
+        drawn = F.broadcast(drawn)
+    cut = keyed.select(*[c for c in docs.columns if c != text_col], "__row", F.posexplode(block_texts(F.col(text_col), block_words)).alias("__block", text_col))
+    out = cut.join(drawn, ["__row", "__block"], "left").filter(F.col("__shard").isNotNull() | ~F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)))
+    out = out.withColumn("__shard", F.coalesce("__shard", F.pmod("__row", F.lit(shards)).cast("int")))
+    return out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__slot").select(*docs.columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,6 +135,31 @@ def test_mix_queries_draw_from_the_tree(spark, monkeypatch):
     assert len(drawn) == 3
 
 
+def test_applied_mix_meets_the_targets(spark):
+    """A hot source of long documents, of which the mix wants about a third, beside short ones."""
+    rng = random.Random(10)
+    long = [(i, "\n" + "  ".join(f"{i}_{k}" for k in range(20_000 + i)) + " ", "b") for i in range(4)]
+    short = [(1000 + i, " ".join(["w"] * rng.randint(1, 900)), rng.choice([*"aaaccdddeffgggh", None, None])) for i in range(520)]
+    df = spark.createDataFrame([*long, *short, (9000, " \n", "a"), (9001, None, "b"), (3, long[3][1], "b")], "doc_id long, text string, source string")
+    wanted = {r["source"]: (r["source_size"], r["target"]) for r in mixing.targets(df.groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("source_size"))).collect()}
+    assert 0.25 < wanted["b"][1] / wanted["b"][0] < 0.5
+    rows = mixing.apply_mix(df, shards=4).withColumn("part", F.spark_partition_id()).collect()
+    words = collections.Counter()
+    for r in rows:
+        words[r["source"]] += len((r["text"] or "").split())
+    assert all(abs(words[s] - target) <= mixing.BLOCK_WORDS for s, (_, target) in wanted.items())
+    draws = mixing.mix(df, shards=4).collect()
+    assert collections.Counter((r["doc_id"], len(r["text"].split())) for r in rows if (r["text"] or "").strip()) == collections.Counter((r["doc_id"], r["words"]) for r in draws)
+    texts = {i: t for i, t, _ in long}
+    for i, t in texts.items():
+        cut = spark.range(1).select(mixing.block_texts(F.lit(t), 1024).alias("b")).first()["b"] if i < 2 else []
+        assert not cut or ("".join(cut) == t and {len(b.split()) for b in cut[:-1]} == {1024})
+    assert all(r["text"] in texts[r["doc_id"]] for r in rows if r["doc_id"] in texts)
+    assert len({r["doc_id"] for r in rows} & set(texts)) == 4
+    assert [r["doc_id"] for r in rows if not (r["text"] or "").strip()] in ([9000, 9001], [9001, 9000])
+    assert max(collections.Counter(r["part"] for r in rows).values()) < len(rows)
+
+
 # --- packing --------------------------------------------------------------------------------------
 def test_ids_equal_the_library(real):
     from tokenizers import Tokenizer
