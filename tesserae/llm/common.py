@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key table is broadcast only when it holds at most this many rows (about 16 bytes each).
@@ -69,15 +69,23 @@ def semi_join(df: DataFrame, keys: DataFrame, on: list[str], rows: int | None =
     return df.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, on, "left_semi")
 
 
-def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in the one column of ``gone``; a null id counts as an id.
+def without_copies(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``verdicts`` reject.
 
-    Documents are not shuffled where the ids that go were counted as few; else the join shuffles.
+    ``key`` gives a row of ``docs`` a value that only rows with the same id and text share; ``verdicts``
+    has the columns ``key, kept``, one row for each row judged.  Rows whose key has no verdict stay, rows
+    of a key that is never kept go, and of several rows of a kept key one stays.  Documents are not
+    shuffled where the keys were counted as few; else the joins shuffle.
     """
-    gone = materialise(gone.toDF("__gone"))
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    keys = verdicts.toDF("__key", "__kept").groupBy("__key").agg(F.max("__kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
+    keys = materialise(keys.filter("NOT __kept OR __n > 1").drop("__n"))
+    few = keys.count() <= BROADCAST_ROWS // 4  # wider keys than elsewhere
+    gone, twins = ((F.broadcast(k) if few else k) for k in (keys.select("__key"), keys.filter("__kept").select("__key")))
+    keyed = docs.withColumn("__key", key)
+    out = keyed.join(gone, "__key", "left_anti")
+    if not keys.filter("__kept").isEmpty():
+        out = out.unionByName(keyed.join(twins, "__key", "left_semi").dropDuplicates(["__key"]))
+    return out.select(*docs.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialise, semi_join, table, without
+from tesserae.llm.common import materialise, semi_join, table, without_copies
 
 BLOCK_CHARS = 4096
 
@@ -76,8 +76,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the copies, all columns kept; ids are expected to be unique here."""
-    return without(docs, id_col, exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id"))
+    """``docs`` with one row of each text, all columns kept; ids may be repeated or null."""
+    judged = exact_dedup(docs, id_col, text_col).filter("group_size > 1").select(F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")), "kept")
+    return without_copies(docs, F.struct(F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha")), judged)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialise, table, without
+from tesserae.llm.common import materialise, table
 
 DOCS, CHUNKS, WINDOW, HIDDEN, STEPS, BATCH, SEED, MEMO = 300, 4000, 32, 16, 500, 384, 5, 250_000
 UNKNOWN = "und"
@@ -234,9 +234,21 @@ def identify(docs: DataFrame, net: ByteGru | None, id_col: str = "doc_id", text_
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without those that no learned language fits, all columns kept."""
-    got = identify(docs, train(docs, id_col, text_col, lang_col), id_col, text_col)
-    return without(docs, id_col, got.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id"))
+    """``docs`` without the rows that no learned language fits, all columns kept; each row is judged by its own text."""
+    net = train(docs, id_col, text_col, lang_col)
+    if net is None:
+        return docs.filter(F.lit(False))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(net)
+        for b in batches:
+            for k in range(0, b.num_rows, 2000):
+                part = b.slice(k, 2000)
+                got = reader.score(part.column(at).to_pylist())
+                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

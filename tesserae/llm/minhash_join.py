@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Memo, materialise, semi_join, table, without
+from tesserae.llm.common import Memo, materialise, semi_join, table, without_copies
 
 WORDS, THRESHOLD, TREES, MAX_DEPTH, RECALL, SEED = 5, (4, 5), 20, 6, 0.9995, 11
 #: Shingles in a block; a task compares two blocks.
@@ -252,8 +252,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, all columns kept."""
-    return without(docs, id_col, jaccard_join(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id"))
+    """``docs`` with one row of each class, all columns kept: that of the smallest id, null after all others.
+
+    Rows are joined under their id and text, so ids may be repeated or null.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("sha"))
+    judged = jaccard_join(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text").filter("n_links > 0")
+    return without_copies(docs, key, judged.select("doc_id", "kept"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

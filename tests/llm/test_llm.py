@@ -486,6 +486,27 @@ def test_quality_odd(spark, odd, empty):
     assert quality.score(empty, quality.train(empty, some)).collect() == []
 
 
+# --- filters --------------------------------------------------------------------------------------
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_filters_drop_rows_not_ids(spark, odd, monkeypatch, most):
+    """Of each text one row survives, whatever ids it shares with others; nulls are ids like any other."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    norm = lambda t: __import__("re").sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    got = exact_dedup.keep_one(odd)
+    assert got.columns == odd.columns
+    assert collections.Counter(norm(t) for (t,) in collect(got, "text")) == collections.Counter({norm(t) for _, t in ODD})
+    assert {i for i, t in collect(got, "doc_id", "text") if t in ("a b", "a\tb")} == {6}
+    base = " ".join(f"v{k}" for k in range(200))
+    rows = [(1, "x y"), (1, "x y"), (2, "x y"), (None, "x y"), (None, "clean null"), (None, base), (3, base), (3, "clean three"), (4, base + " end"), (4, base + " fin"), (4, "clean four"), (None, "12 3"), (None, None), (5, "")]
+    df = docs(spark, rows)
+    wanted = sorted([(1, "x y"), (None, "clean null"), (3, base), (3, "clean three"), (4, base + " end"), (4, base + " fin"), (4, "clean four"), (None, "12 3")], key=str)
+    assert sorted((r for r in collect(exact_dedup.keep_one(df), "doc_id", "text") if r[1]), key=str) == wanted
+    near = sorted(((i, t) for i, t in wanted if not t.startswith(base + " ")), key=str)
+    assert sorted((r for r in collect(minhash_join.keep_one(df), "doc_id", "text") if r[1]), key=str) == near
+    known = collect(language_id.keep_known(df), "doc_id", "text")
+    assert sorted(known, key=str) == sorted((r for r in rows if r[1] not in ("12 3", None, "")), key=str)
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 def test_pipeline_stages(spark):
     import corpus_pipeline
