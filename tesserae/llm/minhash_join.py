@@ -1,13 +1,13 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash LSH banding at one fixed depth, with exact verification.
 
 A document is the set of its five-word shingles (words: runs of non-white space, lower-cased; a text
 of fewer words is one shingle).  Documents with equal sets are one *node* with a count.
 
-* Forest.  A node's signature is cut into ``trees`` labels of ``max_depth`` MinHash values.  A tree
-  is the sorted order of its labels, and nodes that share a prefix are its subtrees.  The prefix
-  starts at full depth and is shortened until a pair at the threshold shares it in some tree with
-  probability of at least ``recall`` (:func:`prefix_depth`).
-* Candidates.  Every subtree of that depth ties its nodes to its smallest one (a star, never all
+* Bands.  A node's signature is cut into ``trees`` labels of ``max_depth`` MinHash values, of which
+  a prefix is read.  Its depth is the largest at which a pair at the threshold shares it in some
+  label with probability of at least ``recall`` (:func:`prefix_depth`): it follows from constants,
+  never from matches, so this is not an LSH forest and may lose a link with the remaining probability.
+* Candidates.  Every group of an equal prefix ties its nodes to its smallest one (a star, never all
   pairs).  The connected parts of these stars hold every candidate pair; a node's shingles are
   shipped once for its part, not once for each tree.
 * Verification.  Parts are cut into blocks by their number of shingles; pairs of blocks are compared
