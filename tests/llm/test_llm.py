@@ -318,6 +318,22 @@ def test_hnsw_recall_and_order(spark):
     assert got[got.query_id == 0].vec_id.tolist() == [700, 701, 702, 703, 704]
 
 
+def test_hnsw_recall_in_production(spark):
+    """The query as it is registered, over a whole table of more than one shard."""
+    sf = "/root/testdata/check_s"
+    rows = sorted(tuple(r) for r in common.table(spark, sf, "embeddings").select("vec_id", "embedding").collect())
+    assert len(rows) > hnsw.SHARD_ROWS
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = QUERIES["op5_hnsw_search"](spark, sf).toPandas().groupby("query_id").vec_id.agg(set)
+    hits = []
+    for at in np.flatnonzero(ids % hnsw.EVERY == 0):
+        s = np.round(unit @ unit[at], 12)
+        s[at] = -9
+        hits.append(len(set(ids[np.lexsort((ids, -s))[:5]].tolist()) & got[ids[at]]))
+    assert np.mean(hits) / 5 >= 0.9
+
+
 def test_hnsw_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (6, [1.0, 1.0]), (7, [1.0, 0.0, 0.0]), (8, []), (None, [1.0, 1.0]), (9, [1e-30, 0.0])]
