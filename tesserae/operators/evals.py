@@ -83,6 +83,12 @@ def fabricated_figures(answer: Column, blocked: Column, least: float = 1e4) -> C
     return F.filter(numbers_in(answer), lambda x: (x >= least) & F.exists(blocked, lambda b: scale_matches(b, x)))
 
 
+def fabricated_quotes(answer: Column, evidence: Column, blocked: Column) -> Column:
+    """Blocked names or quotes that the answer holds as whole tokens and no evidence snippet does."""
+    whole = lambda text, q: F.regexp_like(metric_text(text), F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(metric_text(q), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)")))
+    return F.filter(blocked, lambda q: (metric_text(q) != "") & whole(answer, q) & ~F.exists(evidence, lambda e: whole(e, q)))
+
+
 #: Words that hedge.
 HEDGES = r"\b(?:may|might|could|perhaps|possibly|likely|appears?|seems?|suggests?)\b"
 
@@ -126,6 +132,13 @@ def distinctness(texts: DataFrame, by: str, id_col: str, token_col: str) -> Data
     return j.groupBy(by).agg((1 - F.avg("s")).alias("distinctness"))
 
 
+def unique_openers(texts: DataFrame, by: str, text_col: str, token_col: str, n: int = 8) -> DataFrame:
+    """Distinct first ``n`` content words by the texts of a group that are not blank; 1 if all are."""
+    opener = F.when(F.trim(metric_text(F.col(text_col))) != "", F.array_join(F.slice(token_col, 1, n), " "))
+    share = F.count_distinct(opener) / F.nullif(F.count(opener), F.lit(0))
+    return texts.groupBy(by).agg(F.coalesce(share, F.lit(1.0)).alias("unique_openers"))
+
+
 def gold_ranks(ranking: DataFrame, gold: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """1-based rank of each gold id, null if it was not found."""
     return gold.select("query_id", id_col).join(ranking.select("query_id", id_col, "rank"), ["query_id", id_col], "left")

@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from tesserae.operators import audits as A
+from tesserae.operators import evals as E
 
 
 def test_entities_and_expansion(spark):
@@ -17,6 +18,15 @@ def test_entities_and_expansion(spark):
     assert [r[0] for r in A.anchor_labels(chunks, "fox text", "d1", k=9).collect()] == ["c10"]
 
 
+def test_fabricated_quotes_and_unique_openers(spark):
+    row = spark.createDataFrame([("He said:  Big C++ Day, Ann\\E b. Annex", ["big c++ day here"], ["Big C++ day", "Ann", "Ann\\E b", "nex", "", "he SAID"])], "a string, e array<string>, b array<string>")
+    assert row.select(E.fabricated_quotes(F.col("a"), F.col("e"), F.col("b"))).first()[0] == ["Ann", "Ann\\E b", "he SAID"]
+    long = [f"w{k}" for k in range(9)]
+    texts = [("r", "x", long), ("r", "x", [*long[:8], "other"]), ("r", "x", ["q"]), ("r", " \n", []), ("r", "of", []), ("s", " ", [])]
+    got = E.unique_openers(spark.createDataFrame(texts, "g string, t string, k array<string>"), "g", "t", "k").collect()
+    assert {r["g"]: r["unique_openers"] for r in got} == {"r": 0.75, "s": 1.0}
+
+
 def test_scores_and_framing(spark):
     df = spark.createDataFrame([("# A\n$x$ b", "# A\n$y$ b")], "r string, f string")
     s = A.parse_quality(F.col("r"), F.col("f"))
