@@ -1,54 +1,80 @@
 """Suffix-array dedup with sparse suffix arrays: passages that repeat across documents.
 
-Only suffixes at *minimiser* positions are retained: the position of the smallest ``GRAM``-word hash
-in each stretch of ``STRETCH`` positions.  They are chosen by content, so two copies of a passage of
-``MIN_WORDS`` words retain the same suffixes inside it, and the first of them starts at most
-``STRETCH - 1`` words after the passage does.  Hence its first ``HEAD`` words lie inside the passage.
-Each window of ``MIN_WORDS`` words belongs to one retained suffix, by its own content.
-
-1. Every retained suffix gives (document, position, hash of its first ``HEAD`` words).  Heads met in
-   one document only are dropped; they cannot begin a repeated passage.
-2. The suffixes that are left are extended: leftwards word by word, over all windows that belong to
-   them, and rightwards to the full ``MIN_WORDS`` words.  An extension is compared by the 64-bit
-   rolling hash of that window.
-3. Suffixes are dealt by head and sorted by head and extension, once for each *l*; equal neighbours
-   from different documents are matches.  That finds every window that repeats, as a match of a pair
-   at that *l* makes both adjacent to an equal one.  A head with more than ``HOT`` suffixes is not
-   gathered in a task: its extensions are counted by a grouping that combines before it shuffles.
+Words are runs of letters, digits and underscores, in NFKC and lower-cased, so copies that differ in case,
+punctuation or white space are copies.  Only suffixes at *minimiser* positions are retained: the
+position of the smallest ``GRAM``-word hash in each stretch of ``STRETCH`` positions.  They are chosen
+by content, so two copies of a passage of ``MIN_WORDS`` words retain the same suffixes inside it, and
+the first of them starts at most ``STRETCH - 1`` words after the passage does.  Hence its first ``HEAD``
+words lie inside the passage.  Each window of ``MIN_WORDS`` words belongs to one retained suffix.
+
+1. Retained suffixes are dealt by the hash of their first ``HEAD`` words and sorted by it.  A suffix
+   whose neighbours of an equal head all come from the same text cannot begin a repeated passage and
+   is dropped.  This is only a filter: a chance meeting of hashes costs time, never a result.
+2. What is left is shipped with its words: those of all windows that belong to it, that is, up to
+   ``STRETCH - 1`` words to the left of the suffix and ``MIN_WORDS`` words to the right.  It goes to the bucket of its head.
+3. In a bucket the suffixes, extended by every number of words to the left, are put in order by
+   naming words, then pairs of words, then pairs of pairs (prefix doubling), up to ``MIN_WORDS`` words.
+   Equal names are equal words.  Equal neighbours from different documents are matches.
 4. A document's matched windows are united to maximal spans.
 
-Words are runs of non-white space.  Defined results: null text is empty; rows with a null id take no
-part; repeated rows with one id are one document and do not match each other; an empty table gives
-no rows; other columns are ignored.
+Hot groups: equal texts are handled once, by the smallest id that has them, and their spans are
+handed to all copies by a join that Spark may split.  A head, or a stretch of words, that several
+documents of one Arrow batch hold is known to repeat there; only one of them is shipped.  So a
+passage that a third of all documents hold reaches its bucket once for each batch; only its edges,
+where the documents differ, are shipped for each document.
+
+Defined results: null text is empty; rows with a null id take no part; rows with one id are one
+document and do not match each other; an empty table gives no rows; other columns are ignored; ids
+are whole numbers.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tesserae.llm.common import Memo, materialise, semi_join, table
 
-MIN_WORDS, GRAM, STRETCH, HOT = 50, 5, 32, 50_000
+MIN_WORDS, GRAM, STRETCH = 50, 5, 32
 HEAD = MIN_WORDS - STRETCH + 1
+#: Bytes of a text's SHA-256 that tell texts apart.
+TEXT_BYTES = 12
+#: Buckets for each shuffle partition; a task holds one bucket at a time.
+BUCKETS = 4
 _PRIME = 0x9E3779B97F4A7C15
+_ENTRY = np.dtype([("head", "<u8"), ("text", f"S{TEXT_BYTES}"), ("pos", "<i4")])
+_WORD = re.compile(r"\w+")
+
+
+def _split(chunk: str) -> tuple[str, ...]:
+    return tuple(_WORD.findall(normalize("NFKC", chunk).lower()))
+
 
+def _hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
-def _word(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
 
+_words = Memo(_split, 100_000)
+_hashes = Memo(lambda chunk: tuple(map(_hash, _split(chunk))), 100_000)
 
-_words = Memo(_word, 300_000)
+
+def words_of(text: str | None) -> list[str]:
+    return list(chain.from_iterable(map(_words.__getitem__, text.split()))) if text else []
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    words = text.split() if text else []
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    found = list(chain.from_iterable(map(_hashes.__getitem__, text.split()))) if text else []
+    return np.array(found, np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -58,7 +84,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def windows(w: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the ``n`` words from each position that has so many."""
+    """Hash of the ``n`` words from each position that has so many; it selects and deals, and decides no match."""
     if len(w) < n:
         return np.empty(0, np.uint64)
     out, at, span = np.zeros(len(w) - n + 1, np.uint64), 0, 1
@@ -85,141 +111,222 @@ def minimisers(w: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM, stre
     return np.unique(np.arange(n) + stretch - 1 - view[:, ::-1].argmin(1), return_index=True, return_counts=True)
 
 
-def suffixes(docs: DataFrame, min_words: int, gram: int, stretch: int) -> DataFrame:
-    """``doc_id, pos, head`` of every retained suffix that has room for a head."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    head = min_words - stretch + 1
+def _groups(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, of sorted ``keys``."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+
+
+def _repeated(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries sorted by head; whether each has a neighbour of its head from another text; the first of each head."""
+    entries = entries[np.argsort(entries["head"], kind="stable")]
+    edge = _groups(entries["head"])
+    sizes = np.diff(np.append(edge, len(entries)))
+    lead = np.repeat(edge, sizes)
+    other = (entries["text"] != entries["text"][lead]) | (entries["pos"] < 0)
+    met = np.zeros(len(edge), bool)
+    np.logical_or.at(met, np.repeat(np.arange(len(edge)), sizes), other)
+    return entries, np.repeat(met, sizes), edge
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, pos, heads = [], [], []
-            for k, text in enumerate(b.column(1).to_pylist()):
-                w = word_hashes(text)
-                if len(w) < min_words:
-                    continue
-                p, h = minimisers(w, min_words, gram, stretch)[0], windows(w, head)
-                at.append(np.full(len(p), k))
-                pos.append(p)
-                heads.append(h[p])
-            join = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(join(at, np.int64))), pa.array(join(pos, np.int32)), pa.array(join(heads, np.uint64).view(np.int64))], ["doc_id", "pos", "head"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, pos int, head long")
+def _rows(rows: list[tuple[int, bool, bytes]], name: str) -> pa.RecordBatch:
+    """Rows ``bucket, known, blob``; those that are known need no comparison and are only carried along."""
+    cols = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "known", name])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], known, answer) -> Iterator[pa.RecordBatch]:
+    """Gathers the blobs of one bucket after the other, which come sorted by bucket."""
+    held, at = [], None
+    for b in batches:
+        for bucket, carried, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if carried:
+                yield known(blob)
+                continue
+            if at != bucket and held:
+                yield answer(held)
+                held = []
+            at = bucket
+            held.append(blob)
+    if held:
+        yield answer(held)
 
 
-def extensions(docs: DataFrame, min_words: int, gram: int, stretch: int) -> DataFrame:
-    """``(doc_id, text, heads)`` to ``doc_id, head, first, keys``: window hashes from word ``first`` up to the suffix."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def repeated_heads(docs: DataFrame, min_words: int, gram: int, stretch: int, buckets: int) -> DataFrame:
+    """``(sha, text)`` to ``sha, pos``: retained suffixes whose head another text has too, in one shuffle of packed entries."""
     head = min_words - stretch + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, first, heads, keys = [], [], [], []
-            for k, (text, wanted) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                w = word_hashes(text)
-                p, begin, count = minimisers(w, min_words, gram, stretch)
-                h, full = windows(w, head).view(np.int64)[p], windows(w, min_words).view(np.int64)
-                for i in np.flatnonzero(np.isin(h, np.array(wanted, np.int64))).tolist():
-                    at.append(k)
-                    first.append(int(begin[i]))
-                    heads.append(int(h[i]))
-                    keys.append(full[begin[i] : begin[i] + count[i]])
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(heads, pa.int64()), pa.array(first, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "head", "first", "keys"])
-
-    return docs.select("doc_id", "text", "heads").mapInArrow(run, f"doc_id {kind}, head long, first int, keys array<long>")
-
-
-def _matches(rows: DataFrame) -> DataFrame:
-    """``doc_id, start, first_id`` of each window that an equal neighbour from another document has; rows come dealt by head."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.repartition("head").sortWithinPartitions("head").select("doc_id", "head", "first", "keys")
-
-    def answer(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts).combine_chunks()
-        ids, keys = t.column("doc_id").combine_chunks(), t.column("keys").combine_chunks()
-        _, doc = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)  # ranks of the ids
-        n = np.diff(keys.offsets.to_numpy())
-        row = np.repeat(np.arange(len(n)), n)
-        flat = keys.flatten().to_numpy()
-        start = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + t.column("first").combine_chunks().to_numpy()[row]
-        order = np.lexsort((doc[row], flat))  # equal extensions stand side by side, by document
-        key, who = flat[order], row[order]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        size = np.diff(np.append(edge, len(key)))
-        low, high = who[edge], who[np.append(edge[1:], len(key)) - 1] if len(key) else edge
-        hit = np.repeat(doc[low] != doc[high], size)
-        lead = np.repeat(low, size)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(who[hit])), pa.array(start[order][hit].astype(np.int32)), ids.take(pa.array(lead[hit]))], ["doc_id", "start", "first_id"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows_held = 0
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            heads = b.column(1).to_numpy()
-            if rows_held > 50_000:  # hand on what ends before the head that this batch begins with ends
-                new = np.flatnonzero(heads != held[-1].column(1)[-1].as_py())
-                cut = int(new[0]) if len(new) else b.num_rows
-                held.append(b.slice(0, cut))
-                b = b.slice(cut)
-                if b.num_rows:
-                    yield answer(held)
-                    held, rows_held = [], 0
-                else:
+            parts = []
+            for sha, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = word_hashes(text)
+                if len(w) < min_words:
                     continue
-            held.append(b)
-            rows_held += b.num_rows
-        if held:
-            yield answer(held)
+                pos = minimisers(w, min_words, gram, stretch)[0]
+                part = np.empty(len(pos), _ENTRY)
+                part["head"], part["text"], part["pos"] = windows(w, head)[pos], sha, pos
+                parts.append(part)
+            entries, known, edge = _repeated(np.concatenate(parts) if parts else np.empty(0, _ENTRY))
+            told = entries[edge][known[edge]]  # of heads that repeat within the batch one goes on, to tell others
+            told["text"], told["pos"] = b"", -1
+            send = np.concatenate([entries[~known], told])
+            at = (send["head"] >> np.uint64(20)) % np.uint64(buckets)
+            order = np.argsort(at, kind="stable")
+            at, send = at[order].astype(np.int64), send[order]
+            cut = _groups(at)
+            blobs = [x.tobytes() for x in np.split(send, cut[1:])] if len(cut) else []
+            rows = list(zip(at[cut].tolist(), [False] * len(cut), blobs, strict=True))
+            if known.any():
+                rows.append((int(entries["head"][known][0] % np.uint64(buckets)), True, entries[known].tobytes()))
+            yield _rows(rows, "entries")
+
+    def answer(blobs: list[bytes]) -> pa.RecordBatch:
+        entries, met, _ = _repeated(np.frombuffer(b"".join(blobs), _ENTRY))
+        return _out(entries[met & (entries["pos"] >= 0)])
+
+    def _out(kept: np.ndarray) -> pa.RecordBatch:
+        raw = np.ascontiguousarray(kept["text"]).tobytes()
+        sha = pa.Array.from_buffers(pa.binary(TEXT_BYTES), len(kept), [None, pa.py_buffer(raw)]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([sha, pa.array(kept["pos"])], ["sha", "pos"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _by_bucket(batches, lambda blob: _out(np.frombuffer(blob, _ENTRY)), answer)
+
+    sent = docs.select("sha", "text").mapInArrow(select, "bucket int, known boolean, entries binary")
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(compare, "sha binary, pos int")
+
+
+def names(codes: np.ndarray, n: int) -> np.ndarray:
+    """One integer for the ``n`` words from each position: equal for equal words only, by naming pairs of names."""
+    import pandas as pd
+
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        k = min(len(a), len(b))
+        return pd.factorize(a[:k].astype(np.int64) * (int(b.max(initial=0)) + 1) + b[:k])[0]
+
+    out, done, span, power = None, 0, 1, codes
+    while span <= n:
+        if n & span:
+            out = power if out is None else pair(out, power[done:])
+            done += span
+        span *= 2
+        if span <= n:
+            power = pair(power, power[span // 2 :])
+    return out
+
 
-    return rows.mapInArrow(run, f"doc_id {kind}, start int, first_id {kind}")
+def _pack(t: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(t)
+    return sink.getvalue().to_pybytes()
 
 
-def _hot_matches(rows: DataFrame) -> DataFrame:
-    """The same for heads that are too frequent for one task: counted with partial sums, joined back by key."""
-    flat = rows.select("doc_id", F.posexplode("keys").alias("i", "key"), "first").select("doc_id", (F.col("first") + F.col("i")).alias("start"), "key")
-    met = flat.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("_last")).filter("first_id <> _last").select("key", "first_id")
-    return flat.join(met, "key").select("doc_id", "start", "first_id")
+_FOUND = pa.schema([("sha", pa.binary()), ("a", pa.int32()), ("b", pa.int32())])
+_CONTEXT = pa.schema([("sha", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("start", pa.int32()), ("words", pa.string())])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM, stretch: int = STRETCH, hot: int = HOT) -> DataFrame:
-    """``doc_id, start_word, end_word, n_words, first_id``: maximal spans of words, each of whose
-    ``min_words``-word windows stands in another document too; ``first_id`` is the smallest id it is found in."""
+def matches(docs: DataFrame, min_words: int, gram: int, stretch: int, buckets: int) -> DataFrame:
+    """``(sha, low, high, text, at)`` to ``sha, a, b``: stretches of the text's words all of whose windows another document has.
+
+    ``low`` and ``high`` are the smallest and largest id of the text, ``at`` the suffixes to look at.
+    """
+    head = min_words - stretch + 1
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, rows, heads, same = [], [], [], {}
+            for sha, low, high, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words, w = words_of(text), word_hashes(text)
+                if low != high and len(w) >= min_words:
+                    found.append((sha, 0, len(w)))
+                pos, begin, count = minimisers(w, min_words, gram, stretch)
+                keys = windows(w, head)
+                for i in np.flatnonzero(np.isin(pos, np.array(wanted or [], np.int64))).tolist():
+                    k, n = int(begin[i]), int(count[i]) + min_words - 1
+                    context = " ".join(words[k : k + n])
+                    same.setdefault(context, []).append(len(rows))
+                    rows.append((sha, low, high, k, context, n))
+                    heads.append(int(keys[pos[i]]))
+            send, at = [], []
+            for group in same.values():
+                low, high = min(rows[i][1] for i in group), max(rows[i][2] for i in group)
+                if low != high:  # the batch itself holds it twice: one row speaks for them
+                    found += [(rows[i][0], rows[i][3], rows[i][3] + rows[i][5]) for i in group]
+                    send.append((None, low, high, 0, rows[group[0]][4]))
+                    at.append(heads[group[0]] // 2**20 % buckets)
+                else:
+                    send += [rows[i][:5] for i in group]
+                    at += [heads[i] // 2**20 % buckets for i in group]
+            order = sorted(range(len(at)), key=at.__getitem__)
+            cut = _groups(np.array([at[i] for i in order], np.int64)).tolist()
+            out: list[tuple[int, bool, bytes]] = []
+            for x, y in zip(cut, [*cut[1:], len(order)], strict=True):
+                part = [send[i] for i in order[x:y]]
+                out.append((at[order[x]], False, _pack(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), _CONTEXT, strict=True)], schema=_CONTEXT))))
+            if found:
+                out.append((len(found) % buckets, True, _pack(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _FOUND, strict=True)], schema=_FOUND))))
+            yield _rows(out, "rows")
+
+    def answer(blobs: list[bytes]) -> pa.RecordBatch:
+        t = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in blobs]).combine_chunks()
+        split = pc.split_pattern(t.column("words"), " ").combine_chunks()
+        codes = split.flatten().dictionary_encode().indices.to_numpy()
+        offsets = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        count = np.diff(offsets) - (min_words - 1)
+        row = np.repeat(np.arange(len(count)), count)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        name = names(codes, min_words)[offsets[row] + inside]
+        low, high, start = (t.column(c).to_numpy() for c in ("low", "high", "start"))
+        least, most = np.full(int(name.max()) + 1, np.iinfo(np.int64).max), np.full(int(name.max()) + 1, np.iinfo(np.int64).min)
+        np.minimum.at(least, name, low[row])
+        np.maximum.at(most, name, high[row])
+        hit = (least[name] != most[name]) & np.asarray(t.column("sha").is_valid())[row]
+        row, inside = row[hit], inside[hit]
+        edge = _groups(row)  # windows of one suffix overlap, so they unite to one stretch
+        last = (np.append(edge[1:], len(row)) - 1)[: len(edge)]
+        return pa.RecordBatch.from_arrays([t.column("sha").take(pa.array(row[edge])).combine_chunks(), pa.array((start[row[edge]] + inside[edge]).astype(np.int32)), pa.array((start[row[edge]] + inside[last] + min_words).astype(np.int32))], schema=_FOUND)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _by_bucket(batches, lambda blob: pa.ipc.open_stream(blob).read_next_batch(), answer)
+
+    sent = docs.select("sha", "low", "high", "text", "at").mapInArrow(extend, "bucket int, known boolean, rows binary")
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(compare, "sha binary, a int, b int")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM, stretch: int = STRETCH) -> DataFrame:
+    """``doc_id, start_word, end_word, n_words``: maximal spans of words, each of whose ``min_words``-word windows stands in another document too."""
     if gram + stretch - 1 > min_words or min_words - stretch + 1 < gram:
         raise ValueError("a passage must hold a whole stretch and a whole head")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    all_suffixes = materialise(suffixes(texts, min_words, gram, stretch))
-    heads = all_suffixes.groupBy("head").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b")
-    heads = materialise(heads.select("head", (F.col("n") > hot).alias("is_hot")))
-    small = heads.count() <= 1_000_000
-    left = all_suffixes.join(F.broadcast(heads) if small else heads, "head", "left_semi")
-    wanted = materialise(left.groupBy("doc_id").agg(F.collect_set("head").alias("heads")))  # bounded by the document
-    told = semi_join(texts, wanted.select("doc_id"), ["doc_id"])  # only texts with such a suffix are shuffled, if their ids are few
-    rows = extensions(told.join(wanted, "doc_id"), min_words, gram, stretch)
-    hot_heads = heads.filter("is_hot").select("head")  # few: each stands for more than `hot` suffixes
-    if hot_heads.isEmpty():
-        found = _matches(rows)
-    else:
-        rows = materialise(rows)
-        found = _matches(rows.join(hot_heads, "head", "left_anti")).unionByName(_hot_matches(rows.join(hot_heads, "head", "left_semi")))
-    per_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "first_id"))).alias("m"))
-    # Fold the sorted starts into spans: a start inside or next to the last span lengthens it.
-    span = lambda s: F.struct(s["start"].alias("a"), (s["start"] + min_words).alias("b"), s["first_id"].alias("f"))
-    kind = found.schema["first_id"].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise ValueError("ids must be whole numbers")
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = texts.withColumn("sha", F.substring(F.unhex(F.sha2("text", 256)), 1, TEXT_BYTES))
+    ids = materialise(texts.select("doc_id", "sha"))
+    groups = ids.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    at = repeated_heads(texts, min_words, gram, stretch, buckets).groupBy("sha").agg(F.collect_set("pos").alias("at"))  # bounded by a text's length
+    wanted = materialise(groups.join(at, "sha", "left").filter("at IS NOT NULL OR low <> high"))
+    one = semi_join(texts, wanted.select(F.col("low").alias("doc_id"), "sha"), ["doc_id", "sha"])  # one row of each text that is looked at
+    one = one.join(wanted.withColumnRenamed("low", "doc_id"), ["doc_id", "sha"]).withColumnRenamed("doc_id", "low")
+    found = matches(one, min_words, gram, stretch, buckets)
+    per_text = found.groupBy("sha").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("m"))
+    # Fold the sorted stretches into spans: one that begins inside or next to the last span lengthens it.
 
     def add(acc, s):
         last = acc["last"]
-        joined = F.struct(last["a"].alias("a"), (s["start"] + min_words).alias("b"), F.least(last["f"], s["first_id"]).alias("f"))
-        more = s["start"] <= last["b"]
-        return F.when(more, F.struct(acc["done"].alias("done"), joined.alias("last"))).otherwise(F.struct(F.concat(acc["done"], F.array(last)).alias("done"), span(s).alias("last")))
-
-    start = F.struct(F.array().cast(f"array<struct<a:int,b:int,f:{kind}>>").alias("done"), span(F.element_at("m", 1)).alias("last"))
-    spans = F.aggregate("m", start, add, lambda acc: F.concat(acc["done"], F.array(acc["last"])))
-    out = per_doc.select("doc_id", F.explode(spans).alias("s"))
-    return out.select("doc_id", F.col("s.a").alias("start_word"), F.col("s.b").alias("end_word"), (F.col("s.b") - F.col("s.a")).alias("n_words"), F.col("s.f").alias("first_id"))
+        joined = F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))
+        return F.when(s["a"] <= last["b"], F.struct(acc["done"].alias("done"), joined.alias("last"))).otherwise(F.struct(F.concat(acc["done"], F.array(last)).alias("done"), s.alias("last")))
+
+    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), F.element_at("m", 1).alias("last"))
+    spans = F.aggregate(F.slice("m", 2, F.size("m")), start, add, lambda acc: F.concat(acc["done"], F.array(acc["last"])))
+    out = materialise(per_text.select("sha", spans.alias("spans"))).join(ids.distinct(), "sha").select("doc_id", F.explode("spans").alias("s"))
+    return out.select(F.col("doc_id").cast(kind), F.col("s.a").alias("start_word"), F.col("s.b").alias("end_word"), (F.col("s.b") - F.col("s.a")).alias("n_words"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
