@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: A key table is broadcast only when it holds at most this many rows (about 16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
+BATCH_BYTES = 16 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -21,10 +23,13 @@ _temporary: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session leaves it unset (tests, a laptop) a temporary folder is chosen, once for each application.
+    Where a local session leaves it unset (tests, a laptop) a temporary folder is chosen, once for each
+    application.  On a cluster that folder would exist on one machine only, so there it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _temporary:
             _temporary[app] = "file://" + tempfile.mkdtemp(prefix="tesserae-")
@@ -32,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``, unless the session chose a size: texts may be long, and a task holds a few batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -39,6 +50,7 @@ def materialise(df: DataFrame) -> DataFrame:
     ``monotonically_increasing_id`` that a re-run could change.  The files go when Python ends.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/tesserae/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
@@ -89,6 +101,7 @@ def without_copies(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFra
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -3,12 +3,12 @@
 Texts are equal when they are identical after each run of ``[\\x20\\x09-\\x0D]`` became one space.
 Every text is cut into blocks of ``block_chars`` characters.  The distinct blocks are sorted and
 numbered, so equal blocks - and no others - get one integer.  Then adjacent pairs of integers are
-numbered in the same way, level by level, until one integer per document is left.  Numbers come
-from comparing contents, never from a hash, so two different texts cannot share an identity.
+numbered in the same way, level by level, until one integer per document is left.
 
-A text whose (length, 64-bit fingerprint) occurs once is different from every other text, whatever
-the hash function does; it needs no name.  Only the rest, where fingerprints meet, are named, and
-that is where equality is decided.
+Blocks are dealt and sorted by a 128-bit hash with the block itself behind it; the distinct blocks,
+by content, travel once.  Documents find their blocks' names under the hash alone, after it was
+proved that no two distinct blocks share one; if two ever did, another seed would be taken.  So two
+different texts cannot share an identity, and only numbers are shuffled but for the distinct blocks.
 
 Defined results: a null text counts as empty; a null ``doc_id`` sorts after all others; repeated
 rows (same id, same text) form a group of which one row stays; an empty table gives no rows; other
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialise, semi_join, table, without_copies
+from tesserae.llm.common import BROADCAST_ROWS, materialise, table, without_copies
 
 BLOCK_CHARS = 4096
 
@@ -34,13 +34,33 @@ def _named(values: DataFrame, keys: list[str]) -> DataFrame:
     return materialise(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).drop("_n").orderBy(*keys).withColumn("name", F.monotonically_increasing_id()))
 
 
-def block_identities(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``(_row, norm)`` to ``(_row, n_blocks, name)``; equal texts share ``(n_blocks, name)`` and no others do."""
-    cut = F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
-    blocks = rows.select("_row", F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(cut).alias("_b"))
-    blocks = blocks.select("_row", F.size("_b").alias("n_blocks"), F.posexplode("_b").alias("pos", "block"))
-    names = _named(blocks, ["block"])
-    level = materialise(blocks.join(names, "block").select("_row", "n_blocks", F.col("n_blocks").alias("left"), "pos", "name"))
+def _blocks(norm: Column, block_chars: int) -> Column:
+    cut = F.regexp_extract_all(norm, F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
+    return F.when(norm == "", F.array(F.lit(""))).otherwise(cut)
+
+
+def _hash(block: Column, seed: int) -> Column:
+    return F.struct(F.xxhash64(F.lit(seed), block).alias("h"), F.xxhash64(F.lit(seed + 1), block).alias("g"))
+
+
+def block_names(texts: DataFrame, block_chars: int, seed: int) -> DataFrame:
+    """``norm`` to ``h, g, name`` of every distinct block, numbered in the order of hash and content."""
+    blocks = texts.select(F.explode(_blocks(F.col("norm"), block_chars)).alias("block"))
+    blocks = blocks.select(_hash(F.col("block"), seed).alias("k"), "block").select("k.h", "k.g", "block")
+    distinct = blocks.groupBy("h", "g", "block").agg(F.count(F.lit(1)).alias("_n"))  # equal blocks are combined before they travel
+    return materialise(distinct.sortWithinPartitions("h", "g", "block").select("h", "g", F.monotonically_increasing_id().alias("name")))
+
+
+def identities(texts: DataFrame, block_chars: int = BLOCK_CHARS, seed: int = 0) -> DataFrame:
+    """``(doc_id, norm)`` to ``_row, doc_id, text_sha256, n_blocks, name``; equal texts share ``(n_blocks, name)`` and no others do."""
+    names = block_names(texts, block_chars, seed)
+    while not names.groupBy("h", "g").count().filter("count > 1").isEmpty():
+        seed += 2
+        names = block_names(texts, block_chars, seed)
+    keys = F.transform(_blocks(F.col("norm"), block_chars), lambda b: _hash(b, seed))
+    rows = materialise(texts.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.sha2("norm", 256).alias("text_sha256"), keys.alias("_k")))
+    level = rows.select("_row", F.size("_k").alias("n_blocks"), F.posexplode("_k").alias("pos", "k")).select("_row", "n_blocks", F.col("n_blocks").alias("left"), "pos", "k.h", "k.g")
+    level = materialise(level.join(names, ["h", "g"]).drop("h", "g"))
     done = level.filter("left = 1").select("_row", "n_blocks", "name")
     most = level.agg(F.max("left")).first()[0] or 0
     while most > 1:
@@ -53,26 +73,18 @@ def block_identities(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
         level = materialise(pairs.join(names, ["a", "b"]).select("_row", "n_blocks", "left", "pos", "name"))
         done = done.unionByName(level.filter("left = 1").select("_row", "n_blocks", "name"))
         most = (most + 1) // 2
-    return done
+    return materialise(rows.drop("_k").join(done, "_row"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    base = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    base = base.select("doc_id", "norm", F.length("norm").alias("_len"), F.xxhash64("norm").alias("_fp"))
-    narrow = materialise(base.select("doc_id", "_len", "_fp", F.sha2("norm", 256).alias("text_sha256")))
-    met = materialise(narrow.groupBy("_fp", "_len").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_fp", "_len"))
-    n_met = met.count()
-    alone = narrow.join(F.broadcast(met) if n_met <= 1_000_000 else met, ["_fp", "_len"], "left_anti")
-    alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    if not n_met:
-        return alone
-    rows = materialise(semi_join(base, met, ["_fp", "_len"], n_met).select("doc_id", "norm", F.monotonically_increasing_id().alias("_row")))
-    named = rows.select("_row", "doc_id", F.sha2("norm", 256).alias("text_sha256")).join(block_identities(rows, block_chars), "_row")
-    named = materialise(named)
-    groups = named.groupBy("n_blocks", "name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_k"), F.count(F.lit(1)).alias("group_size"))
-    copies = named.join(groups, ["n_blocks", "name"]).select("doc_id", F.col("_k.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_k._row")).alias("kept"), "text_sha256")
-    return alone.unionByName(copies)
+    named = identities(docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")), block_chars)
+    groups = named.groupBy("n_blocks", "name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_k"), F.count(F.lit(1)).alias("n"))
+    groups = materialise(groups.filter("n > 1"))  # a document without equals needs no partner
+    few = groups.count() <= BROADCAST_ROWS // 4  # wider than a key
+    out = named.join(F.broadcast(groups) if few else groups, ["n_blocks", "name"], "left")
+    alone = F.col("n").isNull()
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("_k.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("_row") == F.col("_k._row"))).alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
