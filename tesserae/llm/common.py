@@ -5,9 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 #: A key table is broadcast only when it holds at most this many rows (about 16 bytes each).
 BROADCAST_ROWS = 1_000_000
@@ -105,6 +110,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Words read at once by :func:`read_words`.
+READ_WORDS = 200_000
+
+
+def read_words(texts: list[str | None], words_of: Callable[[str], list[str]]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The words of each text and their 64-bit hashes; a distinct word is hashed once for some texts."""
+
+    def told() -> Iterator[tuple[list[str], np.ndarray]]:
+        codes = pa.array(list(chain.from_iterable(held)), pa.string()).dictionary_encode()
+        hashes = np.fromiter((xxh64_intdigest(x) for x in codes.dictionary.to_pylist()), np.uint64, len(codes.dictionary))
+        found = hashes[codes.indices.to_numpy()]
+        yield from zip(held, np.split(found, np.cumsum([len(x) for x in held])[:-1]), strict=True)
+
+    held, n = [], 0
+    for text in texts:
+        held.append(words_of(text) if text else [])
+        n += len(held[-1])
+        if n >= READ_WORDS:
+            yield from told()
+            held, n = [], 0
+    if held:
+        yield from told()
+
+
 class Memo(dict):
     """A bounded memo of a pure function: two generations, of which the older goes when the younger is full.
 

@@ -1,19 +1,21 @@
-"""N-gram Jaccard join by MinHash LSH banding at one fixed depth, with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 A document is the set of its five-word shingles (words: runs of non-white space, lower-cased; a text
 of fewer words is one shingle).  Documents with equal sets are one *node* with a count.
 
-* Bands.  A node's signature is cut into ``trees`` labels of ``max_depth`` MinHash values, of which
-  a prefix is read.  Its depth is the largest at which a pair at the threshold shares it in some
-  label with probability of at least ``recall`` (:func:`prefix_depth`): it follows from constants,
-  never from matches, so this is not an LSH forest and may lose a link with the remaining probability.
-* Candidates.  Every group of an equal prefix ties its nodes to its smallest one (a star, never all
-  pairs).  The connected parts of these stars hold every candidate pair; a node's shingles are
-  shipped once for its part, not once for each tree.
-* Verification.  Parts are cut into blocks by their number of shingles; pairs of blocks are compared
-  in numpy by exact intersection counts.  A task holds two blocks and returns, per node, how many
-  links it has and the smallest node it hangs together with: no pair is ever emitted, and a part
-  that holds a third of all documents is spread over many tasks.
+* Forest.  A node has a label of ``max_depth`` MinHash values in each of ``trees`` prefix tries.  A trie
+  node at depth *d* is the group of labels that share their first *d* values.  All prefixes begin at
+  their full length and are shortened by one value at a time.  At each length the groups propose
+  pairs, which are verified; from the exact similarities *s* of the links found, each of which this
+  length finds with the known probability ``1 - (1 - s**d)**trees``, follows how many links were
+  missed.  Shortening ends when the estimated recall reaches ``recall``, or at ``MIN_DEPTH``.
+* Candidates.  Every group ties its nodes to its smallest one (a star, never all pairs).  The
+  connected parts of these stars hold every proposed pair; a node's shingles are shipped for its
+  part, not once for each tree, and only for parts that grew since the last length.
+* Verification.  Parts are cut into blocks of at most about ``block`` shingles and ``most`` nodes; pairs of
+  blocks are compared in numpy by exact intersection counts.  A task holds two blocks and returns,
+  per node, how many links it has and the smallest node it hangs together with: no pair is ever
+  emitted, and a part that holds a third of all documents is spread over many tasks.
 * Classes are the connected components over verified links.
 
 Defined results: texts without words (or null) have no shingles, are in a class of their own and
@@ -31,35 +33,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Memo, materialise, semi_join, table, without_copies
+from tesserae.llm.common import materialise, read_words, semi_join, table, without_copies
 
-WORDS, THRESHOLD, TREES, MAX_DEPTH, RECALL, SEED = 5, (4, 5), 20, 6, 0.9995, 11
-#: Shingles in a block; a task compares two blocks.
-BLOCK_SHINGLES = 1_500_000
+WORDS, THRESHOLD, TREES, MAX_DEPTH, MIN_DEPTH, RECALL, SEED = 5, (4, 5), 20, 6, 3, 0.9995, 11
+#: Shingles and nodes in a block; a task compares two blocks.
+BLOCK_SHINGLES, BLOCK_NODES = 1_500_000, 4096
+#: Similarities of links are counted in so many equal steps up to 1.
+STEPS = 20
 
 
-def prefix_depth(threshold: float, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair as similar as ``threshold`` meets in one of the trees with probability ``recall``."""
-    for depth in range(max_depth, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
-            return depth
-    return 1
+def estimated_recall(bins: list[int], depth: int, threshold: float, trees: int = TREES) -> float:
+    """Share of the links that prefixes of ``depth`` find, judged by the similarities of those found (each link stands for 1 / its probability)."""
+    s = threshold + (1 - threshold) * np.arange(len(bins)) / len(bins)  # the lower edge of each step
+    all_links = float((np.array(bins) / (1 - (1 - s**depth) ** trees)).sum())
+    return sum(bins) / all_links if all_links else 1.0
 
 
-def _word(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-_words = Memo(_word, 300_000)
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+def words_of(text: str) -> list[str]:
+    return text.lower().split()
 
 
-def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+def shingles(w: np.ndarray, n: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word n-grams, from the hashes of the words."""
+    if not len(w):
+        return w
     k = min(n, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
@@ -92,8 +92,8 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str, n: int, trees: int, de
         a, b = _multipliers(trees * depth)
         for batch in batches:
             node, size, labels = [], [], []
-            for text in batch.column(1).to_pylist():
-                sh = shingles(text, n)
+            for _, w in read_words(batch.column(1).to_pylist(), words_of):
+                sh = shingles(w, n)
                 size.append(len(sh))
                 node.append(blake2b(sh.tobytes(), digest_size=16).digest())
                 sig = signature(sh, a, b).astype(">u4").tobytes() if len(sh) else b""
@@ -122,34 +122,56 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("u", "root")
 
 
-def compare(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: tuple[int, int]) -> np.ndarray:
-    """Which rows of ``left`` and ``right`` (None: left itself) are linked, as a boolean matrix, by exact Jaccard."""
+def compare(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of ``left`` and ``right`` (None: left itself) are linked, as a boolean matrix, by exact Jaccard; and the links by similarity.
+
+    A shingle that many rows hold is counted by a matrix product, another by its few pairs.
+    """
     p, q = threshold
     both = left + (right or [])
     sizes = np.array([len(x) for x in both], np.int64)
+    _, column, counts = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(both)), sizes)
-    values, column, counts = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
-    shared = counts > 1
-    column = (np.cumsum(shared) - 1)[column] * shared[column] - ~shared[column]
-    keep = column >= 0
-    owner, column = owner[keep], column[keep]
-    order = np.argsort(column, kind="stable")
+    order = np.lexsort((owner, column))
     owner, column = owner[order], column[order]
-    nl, n = len(left), len(both)
-    lo = nl if right is not None else 0
-    inter = np.zeros((nl, n - lo), np.float32)
-    width = int(shared.sum())
-    step = max(64, min(4096, (32 << 20) // max(1, n)))
-    for at in range(0, width, step):
+    nl, lo = len(left), len(left) if right is not None else 0
+    nr = len(both) - lo
+    inter = np.zeros((nl, nr), np.float32)  # counts are exact below 2**24 shingles a text
+    starts = np.cumsum(counts) - counts
+    sparse = (counts > 1) & (counts.astype(np.int64) ** 2 * 250 < nl * nr)
+    flat = inter.reshape(-1)
+    for k in np.unique(counts[sparse]).tolist():
+        at = starts[sparse & (counts == k)]
+        step = max(1, 1_000_000 // (k * k))
+        for x in range(0, len(at), step):
+            own = owner[at[x : x + step, None] + np.arange(k)]
+            i, j = np.broadcast_arrays(own[:, :, None], own[:, None, :])
+            i, j = i.ravel(), j.ravel()
+            if right is not None:
+                keep = (i < nl) & (j >= lo)
+                i, j = i[keep], j[keep] - lo
+            np.add.at(flat, i * nr + j, np.float32(1))
+    dense = (counts > 1) & ~sparse
+    number = np.cumsum(dense) - 1
+    held = dense[column]
+    owner, column = owner[held], number[column[held]]
+    step = max(64, (8 << 20) // len(both))
+    for at in range(0, int(dense.sum()), step):
         i, j = np.searchsorted(column, [at, at + step])
-        x = np.zeros((n, min(step, width - at)), np.float32)
+        x = np.zeros((len(both), min(step, int(dense.sum()) - at)), np.float32)
         x[owner[i:j], column[i:j] - at] = 1
         inter += x[:nl] @ x[lo:].T
-    # J >= p/q  <=>  (p + q) * inter >= p * (|a| + |b|)
-    link = (p + q) * inter.astype(np.int64) >= p * (sizes[:nl, None] + sizes[None, lo:])
-    if right is None:
-        np.fill_diagonal(link, False)
-    return link
+    link, bins = np.zeros((nl, nr), bool), np.zeros(STEPS, np.int64)
+    for x in range(0, nl, 256):  # J >= p/q  <=>  (p + q) * inter >= p * (|a| + |b|)
+        total = (sizes[x : min(nl, x + 256), None] + sizes[None, lo:]).astype(np.float64)
+        part = inter[x : x + 256].astype(np.float64)
+        link[x : x + 256] = (p + q) * part >= p * total
+        if right is None:
+            link[np.arange(x, min(nl, x + 256)), np.arange(x, min(nl, x + 256))] = False
+        at = link[x : x + 256]
+        j = part[at] / (total[at] - part[at])
+        bins += np.bincount(np.clip(((j - p / q) / (1 - p / q) * STEPS).astype(np.int64), 0, STEPS - 1), minlength=STEPS)
+    return link, bins // (2 if right is None else 1)
 
 
 def _local_roots(link: np.ndarray, same: bool) -> np.ndarray:
@@ -170,9 +192,9 @@ def _local_roots(link: np.ndarray, same: bool) -> np.ndarray:
         labels = new
 
 
-def verify(members: DataFrame, threshold: tuple[int, int], block: int) -> DataFrame:
-    """``(part, u, n, copies, shingles)`` to ``u, root, links, linked_docs``, a few rows per node: one for each pair of blocks it is in."""
-    parts = members.groupBy("part").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+def verify(members: DataFrame, threshold: tuple[int, int], block: int, most: int = BLOCK_NODES) -> DataFrame:
+    """``(part, u, n, copies, shingles)`` to ``part, u, root, links, linked_docs, bins``, a few rows per node: one for each pair of blocks it is in."""
+    parts = members.groupBy("part").agg(F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count(F.lit(1)) / most)).cast("int").alias("blocks"))
     rows = members.join(parts, "part").withColumn("mine", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("part", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "u", "copies", "shingles")
@@ -183,16 +205,17 @@ def verify(members: DataFrame, threshold: tuple[int, int], block: int) -> DataFr
         left, right = [r for r in held if r[3] == i], [r for r in held if r[3] != i]
         same = i == j
         rows, links, docs = left + right, np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
-        roots = np.arange(len(held))
+        roots, bins = np.arange(len(held)), np.zeros(STEPS, np.int64)
         if len(left) > 0 and (same or right):
-            link = compare([r[6] for r in left], None if same else [r[6] for r in right], threshold)
+            link, bins = compare([r[6] for r in left], None if same else [r[6] for r in right], threshold)
             copies = np.array([r[5] for r in rows], np.int64)
             links[: len(left)], docs[: len(left)] = link.sum(1), link @ copies[0 if same else len(left) :]
             if not same:
                 links[len(left) :], docs[len(left) :] = link.sum(0), copies[: len(left)] @ link
             roots = _local_roots(link, same)
         u = [r[4] for r in rows]
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([u[k] for k in roots.tolist()], pa.int64()), pa.array(links), pa.array(docs)], ["u", "root", "links", "linked_docs"])
+        told = [bins.tolist(), *[None] * (len(u) - 1)]  # once for the two blocks
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(u, pa.int64()), pa.array([u[k] for k in roots.tolist()], pa.int64()), pa.array(links), pa.array(docs), pa.array(told, pa.list_(pa.int64()))], ["part", "u", "root", "links", "linked_docs", "bins"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -205,7 +228,7 @@ def verify(members: DataFrame, threshold: tuple[int, int], block: int) -> DataFr
         if held:
             yield answer(held)
 
-    return rows.mapInArrow(run, "u long, root long, links long, linked_docs long")
+    return rows.mapInArrow(run, "part long, u long, root long, links long, linked_docs long, bins array<long>")
 
 
 def shingle_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -213,13 +236,13 @@ def shingle_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, n).tobytes() for t in batch.column(0).to_pylist()]
+            sets = [shingles(w, n).tobytes() for _, w in read_words(batch.column(0).to_pylist(), words_of)]
             yield pa.RecordBatch.from_arrays([pa.array([blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return docs.select(F.col(text_col)).mapInArrow(run, "node binary, shingles binary")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL, block: int = BLOCK_SHINGLES) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL, block: int = BLOCK_SHINGLES, most: int = BLOCK_NODES) -> DataFrame:
     """One row per document: ``doc_id, class_id, n_links, n_linked_texts, copy_id, kept``.
 
     ``class_id`` is the smallest id of the documents that hang together by links, ``copy_id`` that of
@@ -230,16 +253,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base, bare = base.filter("n > 0 AND doc_id IS NOT NULL"), base.filter("n = 0 OR doc_id IS NULL")
     nodes = base.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
     nodes = materialise(nodes.withColumn("u", F.monotonically_increasing_id()))
-    depth = prefix_depth(threshold[0] / threshold[1], trees, max_depth, recall)
-    twigs = nodes.select("u", F.posexplode("labels").alias("tree", "label")).select("u", "tree", F.substring("label", 1, 4 * depth).alias("prefix"))
-    forks = materialise(twigs.groupBy("tree", "prefix").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("tree", "prefix", "v"))
-    stars = twigs.join(forks, ["tree", "prefix"]).filter("u <> v").select("u", "v").distinct()
-    parts = materialise(components(stars).select("u", F.col("root").alias("part")))
-    inside = materialise(parts.join(nodes.select("u", "node", "copy_id", "copies", "n"), "u"))
+    twigs = nodes.select("u", F.posexplode("labels").alias("tree", "label"))
     texts = docs.select(F.col(id_col).alias("copy_id"), F.col(text_col).alias("text"))
-    sets = shingle_sets(semi_join(texts, inside.select("copy_id"), ["copy_id"]), "text", words)
-    members = inside.join(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "node")
-    found = materialise(verify(members.select("part", "u", "n", "copies", "shingles"), threshold, block))
+    found = old = None
+    for depth in range(max_depth, min(MIN_DEPTH, max_depth) - 1, -1):
+        cut = twigs.select("u", "tree", F.substring("label", 1, 4 * depth).alias("prefix"))
+        forks = materialise(cut.groupBy("tree", "prefix").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("tree", "prefix", "v"))
+        parts = materialise(components(cut.join(forks, ["tree", "prefix"]).filter("u <> v").select("u", "v").distinct()).select("u", F.col("root").alias("part")))
+        sizes = materialise(parts.groupBy("part").agg(F.count(F.lit(1)).alias("members")))
+        grown = parts if old is None else parts.join(sizes.join(old, ["part", "members"], "left_anti"), "part", "left_semi")
+        inside = materialise(grown.join(nodes.select("u", "node", "copy_id", "copies", "n"), "u"))
+        sets = shingle_sets(semi_join(texts, inside.select("copy_id"), ["copy_id"]), "text", words)
+        members = inside.join(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "node")
+        new = materialise(verify(members.select("part", "u", "n", "copies", "shingles"), threshold, block, most))
+        found = new if old is None else new.unionByName(found.join(sizes.join(old, ["part", "members"]), "part", "left_semi"))  # parts only grow: one of the same size is the same
+        bins = {r["i"]: r["n"] for r in found.select(F.posexplode("bins").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()}  # STEPS rows
+        if estimated_recall([bins.get(i, 0) for i in range(STEPS)], depth, threshold[0] / threshold[1], trees) >= recall:
+            break
+        old = sizes
     links = found.groupBy("u").agg(F.sum("links").alias("links"), F.sum("linked_docs").alias("linked_docs"))
     classes = components(found.select("u", F.col("root").alias("v")))
     nodes = nodes.select("u", "node", "copy_id", "copies").join(links, "u", "left").join(classes, "u", "left")

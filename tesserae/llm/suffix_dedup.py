@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 from unicodedata import normalize
 
 import numpy as np
@@ -41,9 +40,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
-from xxhash import xxh64_intdigest
 
-from tesserae.llm.common import materialise, semi_join, table
+from tesserae.llm.common import materialise, read_words, semi_join, table
 
 MIN_WORDS, GRAM, STRETCH = 50, 5, 32
 HEAD = MIN_WORDS - STRETCH + 1
@@ -56,32 +54,8 @@ _ENTRY = np.dtype([("head", "<u8"), ("text", f"S{TEXT_BYTES}"), ("pos", "<i4")])
 _WORD = re.compile(r"\w+")
 
 
-#: Words read at once.
-READ = 200_000
-
-
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(normalize("NFKC", text).lower()) if text else []
-
-
-def read(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
-    """The words of each text and their hashes; a distinct word is hashed once for some texts."""
-
-    def told() -> Iterator[tuple[list[str], np.ndarray]]:
-        codes = pa.array(list(chain.from_iterable(held)), pa.string()).dictionary_encode()
-        hashes = np.fromiter((xxh64_intdigest(x) for x in codes.dictionary.to_pylist()), np.uint64, len(codes.dictionary))
-        found = hashes[codes.indices.to_numpy()]
-        yield from zip(held, np.split(found, np.cumsum([len(x) for x in held])[:-1]), strict=True)
-
-    held, n = [], 0
-    for text in texts:
-        held.append(words_of(text))
-        n += len(held[-1])
-        if n >= READ:
-            yield from told()
-            held, n = [], 0
-    if held:
-        yield from told()
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(normalize("NFKC", text).lower())
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -167,7 +141,7 @@ def repeated_heads(docs: DataFrame, min_words: int, gram: int, stretch: int, buc
             if not b.num_rows:
                 continue
             parts = []
-            for sha, (_, w) in zip(b.column(0).to_pylist(), read(b.column(1).to_pylist()), strict=True):
+            for sha, (_, w) in zip(b.column(0).to_pylist(), read_words(b.column(1).to_pylist(), words_of), strict=True):
                 if len(w) < min_words:
                     continue
                 pos = minimisers(w, min_words, gram, stretch)[0]
@@ -245,7 +219,7 @@ def matches(docs: DataFrame, min_words: int, gram: int, stretch: int, buckets: i
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, rows, heads, same = [], [], [], {}
-            for sha, low, high, (words, w), wanted in zip(*(c.to_pylist() for c in b.columns[:3]), read(b.column(3).to_pylist()), b.column(4).to_pylist(), strict=True):
+            for sha, low, high, (words, w), wanted in zip(*(c.to_pylist() for c in b.columns[:3]), read_words(b.column(3).to_pylist(), words_of), b.column(4).to_pylist(), strict=True):
                 if low != high and len(w) >= min_words:
                     found.append((sha, 0, len(w)))
                 pos, begin, count = minimisers(w, min_words, gram, stretch)

@@ -366,6 +366,25 @@ def brute_links(rows):
     return {i: (find(i), n[i]) for i in sets}
 
 
+def test_estimated_recall():
+    assert minhash_join.estimated_recall([0] * 20, 6, 0.8) == 1
+    assert minhash_join.estimated_recall([0] * 19 + [5], 6, 0.8) > 0.999999
+    assert abs(minhash_join.estimated_recall([7] + [0] * 19, 5, 0.8) - (1 - (1 - 0.8**5) ** 20)) < 1e-12
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_compare_counts_exactly(same):
+    rng = random.Random(11)
+    sets = [np.unique(np.array([rng.randint(0, 12) if rng.random() < 0.7 else rng.randint(0, 10_000) for _ in range(rng.randint(1, 15))], np.uint64)) for _ in range(300)]
+    left, right = (sets, None) if same else (sets[:120], sets[120:])
+    link, bins = minhash_join.compare(left, right, (4, 5))
+    for i, a in enumerate(left):
+        for j, b in enumerate(right or left):
+            n = len(np.intersect1d(a, b))
+            assert link[i, j] == ((not same or i != j) and 5 * n >= 4 * (len(a) + len(b) - n))
+    assert bins.sum() == link.sum() // (2 if same else 1)
+
+
 @pytest.mark.parametrize("block", [200, 1_500_000])
 def test_jaccard_join_equals_brute_force(spark, block):
     rng = random.Random(6)
@@ -378,7 +397,7 @@ def test_jaccard_join_equals_brute_force(spark, block):
                 words[rng.randrange(len(words))] = f"x{rng.randint(0, 9999)}"
             rows.append((len(rows), " ".join(words).title() if rng.random() < 0.2 else " ".join(words)))
     rows += [(1000, None), (1001, ""), (1002, "one"), (1003, "ONE"), (1004, "one two")]
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash_join.jaccard_join(docs(spark, rows), block=block).collect()}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash_join.jaccard_join(docs(spark, rows), block=block, most=block).collect()}
     assert got == brute_links(rows)
 
 
@@ -389,7 +408,6 @@ def test_jaccard_join_odd(odd, empty):
     assert (None, None, 0, True) in got
     assert collect(minhash_join.jaccard_join(empty), "doc_id") == []
     assert minhash_join.keep_one(empty).columns == empty.columns
-    assert minhash_join.prefix_depth(0.8) == 5
 
 
 # --- repeated passages ----------------------------------------------------------------------------
