@@ -122,6 +122,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("u", "root")
 
 
+def join_parts(parts: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``u, part``: the connected parts after more ``edges``; what hangs together already is handled as its parts, not edge by edge."""
+    if parts is None:
+        return materialise(components(edges).select("u", F.col("root").alias("part")))
+    edges = materialise(edges)
+    ends = edges.join(parts.withColumnRenamed("part", "pu"), "u", "left").join(parts.select(F.col("u").alias("v"), F.col("part").alias("pv")), "v", "left")
+    ends = ends.select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v")).filter("u <> v").distinct()
+    merged = components(ends).select(F.col("u").alias("part"), "root")
+    fresh = edges.select("u").unionByName(edges.select(F.col("v").alias("u"))).distinct().join(parts, "u", "left_anti").withColumn("part", F.col("u"))
+    return materialise(parts.unionByName(fresh).join(merged, "part", "left").select("u", F.coalesce("root", "part").alias("part")))
+
+
 def compare(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Which rows of ``left`` and ``right`` (None: left itself) are linked, as a boolean matrix, by exact Jaccard; and the links by similarity.
 
@@ -255,11 +267,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = materialise(nodes.withColumn("u", F.monotonically_increasing_id()))
     twigs = nodes.select("u", F.posexplode("labels").alias("tree", "label"))
     texts = docs.select(F.col(id_col).alias("copy_id"), F.col(text_col).alias("text"))
-    found = old = None
+    found = old = parts = None
     for depth in range(max_depth, min(MIN_DEPTH, max_depth) - 1, -1):
         cut = twigs.select("u", "tree", F.substring("label", 1, 4 * depth).alias("prefix"))
         forks = materialise(cut.groupBy("tree", "prefix").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("tree", "prefix", "v"))
-        parts = materialise(components(cut.join(forks, ["tree", "prefix"]).filter("u <> v").select("u", "v").distinct()).select("u", F.col("root").alias("part")))
+        parts = join_parts(parts, cut.join(forks, ["tree", "prefix"]).filter("u <> v").select("u", "v").distinct())
         sizes = materialise(parts.groupBy("part").agg(F.count(F.lit(1)).alias("members")))
         grown = parts if old is None else parts.join(sizes.join(old, ["part", "members"], "left_anti"), "part", "left_semi")
         inside = materialise(grown.join(nodes.select("u", "node", "copy_id", "copies", "n"), "u"))
