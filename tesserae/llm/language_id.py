@@ -1,15 +1,13 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of a lower-cased chunk (a run of non-white space; longer runs are
-read in windows of ``WINDOW`` bytes) from both ends, and labels every byte position with a
-distribution over the learned languages.  A document's probabilities are the mean over all its
-labelled positions.  As the state starts afresh with each chunk, equal chunks are read once and
-remembered for a while; a whole document costs little more than splitting it.
+A text is lower-cased and its UTF-8 bytes are read, blanks included, in windows of at most ``WINDOW``
+bytes, cut between characters.  The network reads a window from both ends and labels every byte position with a
+distribution over the learned languages, from all that stands before and behind it in the window.  A
+document's probabilities are the mean over all its positions.
 
 Training is done here, in numpy, by backpropagation through time, on the driver, on a bounded
-sample of the rows that may be learned from: at most ``DOCS`` documents of each language (smallest
-md5 of the id) and of them at most ``CHUNKS`` distinct chunks of each language (the most frequent),
-weighted by the root of their count.
+sample of the rows that may be learned from: the ``LANGS`` most frequent languages, of each about
+``DOCS`` documents (smallest hash of the id), and of these ``PIECES`` pieces of ``PIECE`` characters.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text
 if no row can be learned from; ties go to the smaller language name; a text of any length is read
@@ -27,10 +25,15 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import materialise, table
 
-DOCS, CHUNKS, WINDOW, HIDDEN, STEPS, BATCH, SEED, MEMO = 300, 4000, 32, 16, 500, 384, 5, 250_000
+LANGS, DOCS, PIECES, PIECE, WINDOW, HIDDEN, STEPS, BATCH, SEED = 200, 300, 1500, 64, 256, 8, 400, 256, 5
+#: Windows read side by side, and the bytes of texts gathered for them.
+ABREAST, GATHER = 1024, 1 << 20
 UNKNOWN = "und"
-#: A document is rejected by the pipeline's filter below this score.
-LEAST_SCORE = 0.3
+
+
+def least_score(n_labels: int) -> float:
+    """A document is rejected by the pipeline's filter below this score: half as much again as chance, or one half."""
+    return min(0.5, 1.5 / n_labels)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -54,16 +57,19 @@ class ByteGru:
     def _run(self, codes: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
         """States (T, N, H) in the order of ``codes`` (T, N); a masked position passes the state on."""
         h, (t, n) = self.h, codes.shape
-        x, u, c = self.p[f"x{d}"], self.p[f"u{d}"], self.p[f"c{d}"]
-        state, out, tape = np.zeros((n, h), np.float32), np.empty((t, n, h), np.float32), []
+        x, u = self.p[f"x{d}"] + self.p[f"c{d}"], self.p[f"u{d}"]
+        whole = mask.all(1)
+        state, out, tape = np.zeros((n, h), x.dtype), np.empty((t, n, h), x.dtype), []
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
-            gates = x[codes[k]] + c
+            gates = x[codes[k]]
             rec = state @ u
             zr = _sigmoid(gates[:, : 2 * h] + rec[:, : 2 * h])
             z, r = zr[:, :h], zr[:, h:]
             cand = np.tanh(gates[:, 2 * h :] + r * rec[:, 2 * h :])
+            new = state + z * (cand - state)
             m = mask[k][:, None]
-            new = np.where(m, state + z * (cand - state), state)
+            if not whole[k]:
+                new = np.where(m, new, state)
             if keep:
                 tape.append((k, state, z, r, cand, rec[:, 2 * h :], m))
             state = out[k] = new
@@ -142,52 +148,57 @@ def pad(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.arange(t)[:, None] < lengths[None]
 
 
-class Reader:
-    """Sums of position probabilities of chunks, with a bounded memory of chunks already read."""
+def cut(data: bytes, window: int = WINDOW) -> list[bytes]:
+    """Windows of at most ``window`` bytes, whole characters each."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + window)
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(data[at:end])
+        at = end
+    return out
 
-    def __init__(self, net: ByteGru, window: int = WINDOW, memo: int = MEMO):
-        self.net, self.window, self.limit = net, window, memo
-        self._forget()
 
-    def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.sums = np.zeros((0, len(self.net.labels) + 1))
+class Reader:
+    """Pools the position probabilities of whole texts, reading windows of many texts side by side."""
+
+    def __init__(self, net: ByteGru, window: int = WINDOW):
+        self.net, self.window = net, window
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _pool(self, texts: list[bytes]) -> np.ndarray:
         parts, owner = [], []
-        for i, c in enumerate(chunks):
-            data = c.encode()
-            for k in range(0, len(data), self.window):
-                parts.append(data[k : k + self.window])
-                owner.append(i)
-        sums = np.zeros((len(chunks), len(self.net.labels) + 1))
-        lengths, owner = np.array([len(p) for p in parts]), np.array(owner)
-        order = np.argsort(lengths, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):  # equal lengths: no padding
-            for k in range(0, len(group), 4096):
-                pick = group[k : k + 4096]
-                codes, mask = pad([parts[i] for i in pick])
-                prob = self.net.probabilities(codes, mask).sum(0)
-                np.add.at(sums, owner[pick], np.concatenate([prob, lengths[pick, None]], 1))
-        self.index.update(zip(chunks, range(len(self.sums), len(self.sums) + len(chunks)), strict=True))
-        self.sums = np.concatenate([self.sums, sums])
+        for i, data in enumerate(texts):
+            mine = cut(data, self.window)
+            parts += mine
+            owner += [i] * len(mine)
+        sums, owner = np.zeros((len(texts), len(self.net.labels))), np.array(owner, np.int64)
+        order = np.argsort([len(p) for p in parts], kind="stable")
+        for k in range(0, len(order), ABREAST):
+            pick = order[k : k + ABREAST]
+            codes, mask = pad([parts[i] for i in pick])
+            np.add.at(sums, owner[pick], (self.net.probabilities(codes, mask) * mask[:, :, None]).sum(0))
+        return sums
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if len(self.index) > self.limit:
-            self._forget()
-        split = [t.lower().split() if t else [] for t in texts]
-        fresh = sorted({c for words in split for c in words if c not in self.index})
-        if fresh:
-            self._learn(fresh)
-        out = []
-        for t, words in zip(texts, split, strict=True):
-            if not words or not any(map(str.isalpha, t)):
-                out.append((UNKNOWN, 0.0))
-                continue
-            total = self.sums[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(0)
-            prob = total[:-1] / total[-1]
-            best = int(prob.argmax())
-            out.append((self.net.labels[best], min(1.0, float(prob[best]))))
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        held: list[tuple[int, bytes]] = []
+
+        def answer() -> None:
+            for (i, data), total in zip(held, self._pool([d for _, d in held]), strict=True):
+                best = int(total.argmax())
+                out[i] = self.net.labels[best], min(1.0, float(total[best]) / len(data))
+            held.clear()
+
+        size = 0
+        for i, t in enumerate(texts):
+            if t and any(map(str.isalpha, t)):
+                held.append((i, t.lower().encode()))
+                size += len(held[-1][1])
+            if size >= GATHER:
+                answer()
+                size = 0
+        answer()
         return out
 
 
@@ -196,23 +207,25 @@ def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, n_docs: int = DOCS, n_chunks: int = CHUNKS, **options) -> ByteGru | None:
-    """The network, or None if there is nothing to learn from.  What comes to the driver is ``n_chunks`` rows a language."""
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, n_langs: int = LANGS, n_docs: int = DOCS, n_pieces: int = PIECES, **options) -> ByteGru | None:
+    """The network, or None if there is nothing to learn from.  What comes to the driver is ``n_pieces`` short rows a language, for ``n_langs`` languages."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    may = F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out("id")
-    by_hash = Window.partitionBy("lang").orderBy(F.md5(F.col("id").cast("string")), "id")
-    chosen = rows.filter(may).select("id", "lang").withColumn("_r", F.row_number().over(by_hash)).filter(F.col("_r") <= n_docs)
-    chosen = materialise(chosen.select("id", "lang").distinct())  # n_docs rows a language
-    words = rows.filter(may).join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("c"))
-    words = words.filter(F.col("c").rlike(r"\p{L}")).select("lang", F.explode(F.regexp_extract_all("c", F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))).alias("c"))
-    counts = words.groupBy("lang", "c").count()
-    top = counts.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "c"))).filter(F.col("_r") <= n_chunks)
-    sample = top.select("lang", "c", "count").orderBy("lang", "c").collect()
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("id"))
+    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(n_langs)
+    langs = materialise(langs.withColumn("_share", F.least(F.lit(1.0), 3.0 * n_docs / F.col("_n"))))  # a hash leaves about 3 times as many as are wanted
+    key = F.xxhash64(F.col("id").cast("string"))
+    some = rows.join(F.broadcast(langs), "lang").filter(F.pmod(key, F.lit(1_000_000)) < F.col("_share") * 1_000_000).select("lang", "id", key.alias("_h"))
+    some = some.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "id"))).filter(F.col("_r") <= n_docs)
+    some = materialise(some.select("lang", "id").distinct())  # n_docs rows a language
+    pieces = rows.join(F.broadcast(some), ["lang", "id"], "left_semi").select("lang", "id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("k", "c"))
+    pieces = pieces.filter(F.col("c").rlike(r"\p{L}")).select("lang", "c", F.xxhash64(F.col("id").cast("string"), "k").alias("_h"))
+    top = pieces.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "c"))).filter(F.col("_r") <= n_pieces)
+    sample = top.select("lang", "c").orderBy("lang", "_h", "c").collect()
     if not sample:
         return None
     labels = sorted({r["lang"] for r in sample})
     y = np.array([labels.index(r["lang"]) for r in sample])
-    return ByteGru(labels).fit([r["c"].encode()[:WINDOW] for r in sample], y, np.sqrt(np.array([r["count"] for r in sample], float)), **options)
+    return ByteGru(labels).fit([r["c"].lower().encode() for r in sample], y, np.ones(len(y)), **options)
 
 
 def identify(docs: DataFrame, net: ByteGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,11 +246,12 @@ def identify(docs: DataFrame, net: ByteGru | None, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float | None = None) -> DataFrame:
     """``docs`` without the rows that no learned language fits, all columns kept; each row is judged by its own text."""
     net = train(docs, id_col, text_col, lang_col)
     if net is None:
         return docs.filter(F.lit(False))
+    least = least_score(len(net.labels)) if least is None else least
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
