@@ -36,6 +36,8 @@ from tesserae.llm.common import BROADCAST_ROWS, materialise, table
 WEIGHTS, EPOCHS, MAX_REPEAT, BLOCK_WORDS, SEED, SHARDS = (3, 1, 2), 1.5, 2, 1024, 17, 64
 #: Running sums are taken inside at most this many rows at once on average.
 BUCKET_ROWS = 20_000
+#: Blocks in an output shard, above ``SHARDS`` of them: a shard is sorted in one task.
+SHARD_BLOCKS = 250_000
 WORD = r"[^\x20\x09-\x0D]"
 #: The drawn order of a source's blocks; the last two only part the blocks of repeated ids.
 ORDER = ("_key", "doc_id", "block", "size", "_row")
@@ -112,12 +114,18 @@ def draw(blocks: DataFrame, seed: int = SEED, shards: int = SHARDS) -> DataFrame
     """The draws of the blocks of :func:`plan`, written down: ``_row, doc_id, block, copy, words, shard, slot``."""
     blocks = materialise(blocks)
     per = blocks.groupBy("no").agg(F.sum("takes").alias("quota"), F.count(F.lit(1)).alias("n")).orderBy("no").collect()  # one row a source
-    drawn = splitting_tree([r["quota"] for r in per], shards, seed) if per else []
-    ends = [(r["no"], r["n"], np.cumsum([row[i] for row in drawn]).tolist()) for i, r in enumerate(per)]
-    runs = blocks.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"no": a, "n": b, "ends": c} for a, b, c in ends])), "array<struct<no:int,n:long,ends:array<long>>>")).alias("r")).select("r.*")
+    shards = max(shards, sum(r["quota"] for r in per) // SHARD_BLOCKS + 1)
+    drawn = np.array(splitting_tree([r["quota"] for r in per], shards, seed)) if per else np.zeros((shards, 0), np.int64)
+    runs = []
+    for r, ends in zip(per, drawn.cumsum(0).T, strict=True):
+        cell = max(1, -(-r["quota"] // shards))  # positions of a cell end in a shard or two, so few ends are looked at
+        runs.append({"no": r["no"], "n": r["n"], "cell": cell, "ends": ends.tolist(), "grid": np.searchsorted(ends, np.arange(r["quota"] // cell + 2) * cell, "right").tolist()})
+    runs = blocks.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(runs)), "array<struct<no:int,n:long,cell:long,ends:array<long>,grid:array<int>>>")).alias("r")).select("r.*")
     drawn = blocks.filter("takes > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("takes") - 1))).join(F.broadcast(runs), "no")
     drawn = drawn.withColumn("_at", F.col("_rank") + F.col("copy") * F.col("n"))
-    shard = F.size(F.filter("ends", lambda end: end <= F.col("_at")))
+    cell = F.floor(F.col("_at") / F.col("cell")).cast("int")
+    low, high = F.element_at("grid", cell + 1), F.element_at("grid", cell + 2)
+    shard = low + F.size(F.filter(F.slice("ends", low + 1, high - low), lambda end: end <= F.col("_at")))
     drawn = drawn.select("_row", "doc_id", "block", "copy", "words", shard.alias("shard"), F.md5(F.concat_ws(":", F.lit(f"{seed}/shuffle"), "_key", F.col("copy").cast("string"))).alias("_draw"))
     return materialise(drawn.withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy("_draw", "doc_id", "block", "copy", "_row")) - 1).drop("_draw"))
 
@@ -146,17 +154,19 @@ def block_texts(text: Column, block_words: int) -> Column:
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
     """The mix as rows of ``docs``: one for each draw, with the drawn block as its text; documents without words stay once.
 
-    A shard's rows lie in one partition, in the order of their slots.  The texts are shuffled by shard,
+    ``shards`` is the least number of shards.  A shard's rows lie in one partition, in the order of their slots.  The texts are shuffled by shard,
     and before that by row where the draws were counted as too many to broadcast.
     """
     keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
     drawn = draw(plan(keyed, id_col, text_col, source_col, block_words, seed, "__row")[1], seed, shards)
     drawn = drawn.select(F.col("_row").alias("__row"), F.col("block").alias("__block"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    if drawn.count() <= BROADCAST_ROWS // 2:
+    n_drawn = drawn.count()
+    if n_drawn <= BROADCAST_ROWS // 2:
         drawn = F.broadcast(drawn)
     cut = keyed.select(*[c for c in docs.columns if c != text_col], "__row", F.posexplode(block_texts(F.col(text_col), block_words)).alias("__block", text_col))
     out = cut.join(drawn, ["__row", "__block"], "left").filter(F.col("__shard").isNotNull() | ~F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)))
     out = out.withColumn("__shard", F.coalesce("__shard", F.pmod("__row", F.lit(shards)).cast("int")))
+    shards = max(shards, n_drawn // SHARD_BLOCKS + 1)
     return out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__slot").select(*docs.columns)
 
 

@@ -114,6 +114,17 @@ def test_splitting_tree():
     assert {sum(r) for r in leaves} <= {6, 7}
 
 
+def test_shards_grow_with_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 10)
+    rng = random.Random(12)
+    df = spark.createDataFrame([(i, " ".join(["w"] * rng.randint(1, 5000)), rng.choice("aabc")) for i in range(200)], "doc_id long, text string, source string")
+    rows = mixing.mix(df, shards=2).toPandas()
+    sizes = rows.groupby("shard").size()
+    assert len(sizes) == len(rows) // 10 + 1
+    assert sizes.max() - sizes.min() <= 1
+    assert rows.words.sum() == mixing.taken(df).toPandas().taken.sum()
+
+
 def test_mix_odd(odd, empty):
     got = collect(mixing.taken(odd), "doc_id", "size", "taken")
     assert len(got) == len(ODD)
@@ -490,6 +501,18 @@ def test_gradients():
             assert abs((up - down) / (2 * e) - g[k][i]) < 1e-5
 
 
+def test_windows_hold_whole_characters_and_context():
+    data = ("a\u00e9\u6f22\U0001f600 " * 200).encode()
+    parts = language_id.cut(data)
+    assert b"".join(parts) == data
+    assert all(p.decode() is not None and 252 < len(p) <= 256 for p in parts[:-1])
+    net = language_id.ByteGru(["a", "b"], seed=1)
+    codes, mask = language_id.pad([b"one two", b"oze two"])
+    p = net.probabilities(codes, mask)
+    assert (p[4:, 0] != p[4:, 1]).all()  # a position sees what stands before the blank
+    assert (p[0, 0] != p[0, 1]).all()  # and what stands behind it
+
+
 def test_language_held_out(spark, real):
     got = QUERIES["op9_language_id"](spark, SF).toPandas()
     lang = {i: x for i, _, x in real}
