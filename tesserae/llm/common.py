@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 from itertools import chain
 
 import numpy as np
@@ -17,7 +19,7 @@ from xxhash import xxh64_intdigest
 #: A key table is broadcast only when it holds at most this many rows (about 16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -110,6 +112,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a Python worker gives its free memory back: workers live on, idle, while the JVM works beside them."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 #: Words read at once by :func:`read_words`.
 READ_WORDS = 200_000
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialise, table
+from tesserae.llm.common import frugal, materialise, table
 
 K, M, EF_BUILD, EF_SEARCH, SHARD_ROWS, QUERY_BLOCK, EVERY = 5, 16, 64, 128, 8192, 1024, 50
 
@@ -222,7 +222,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = K, ef: int = EF_
                 cols = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = work.select("dim", "shard", "n", "entry", "widths", "flat", "vectors", "ids", "q").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = work.select("dim", "shard", "n", "entry", "widths", "flat", "vectors", "ids", "q").mapInArrow(frugal(run), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialise, table
+from tesserae.llm.common import frugal, materialise, table
 
 LANGS, DOCS, PIECES, PIECE, WINDOW, HIDDEN, STEPS, BATCH, SEED = 200, 300, 1500, 64, 256, 8, 400, 256, 5
 #: Windows read side by side, and the bytes of texts gathered for them.
@@ -243,7 +243,7 @@ def identify(docs: DataFrame, net: ByteGru | None, id_col: str = "doc_id", text_
                 got = reader.score(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float | None = None) -> DataFrame:
@@ -262,7 +262,7 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 got = reader.score(part.column(at).to_pylist())
                 yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialise, read_words, semi_join, table, without_copies
+from tesserae.llm.common import frugal, materialise, read_words, semi_join, table, without_copies
 
 WORDS, THRESHOLD, TREES, MAX_DEPTH, MIN_DEPTH, RECALL, SEED = 5, (4, 5), 20, 6, 3, 0.9995, 11
 #: Shingles and nodes in a block; a task compares two blocks.
@@ -100,7 +100,7 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str, n: int, trees: int, de
                 labels.append([sig[i : i + 4 * depth] for i in range(0, len(sig), 4 * depth)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(labels, pa.list_(pa.binary()))], ["doc_id", "node", "n", "labels"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, node binary, n long, labels array<binary>")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, node binary, n long, labels array<binary>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def verify(members: DataFrame, threshold: tuple[int, int], block: int, most: int
         if held:
             yield answer(held)
 
-    return rows.mapInArrow(run, "part long, u long, root long, links long, linked_docs long, bins array<long>")
+    return rows.mapInArrow(frugal(run), "part long, u long, root long, links long, linked_docs long, bins array<long>")
 
 
 def shingle_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -251,7 +251,7 @@ def shingle_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
             sets = [shingles(w, n).tobytes() for _, w in read_words(batch.column(0).to_pylist(), words_of)]
             yield pa.RecordBatch.from_arrays([pa.array([blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "node binary, shingles binary")
+    return docs.select(F.col(text_col)).mapInArrow(frugal(run), "node binary, shingles binary")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL, block: int = BLOCK_SHINGLES, most: int = BLOCK_NODES) -> DataFrame:

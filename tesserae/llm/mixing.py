@@ -159,12 +159,15 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
     drawn = draw(plan(keyed, id_col, text_col, source_col, block_words, seed, "__row")[1], seed, shards)
-    drawn = drawn.select(F.col("_row").alias("__row"), F.col("block").alias("__block"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
     n_drawn = drawn.count()
-    if n_drawn <= BROADCAST_ROWS // 2:
+    drawn = materialise(drawn.groupBy(F.col("_row").alias("__row")).agg(F.collect_list(F.struct("block", "shard", "slot")).alias("__draws")))  # bounded by the document
+    if drawn.count() <= BROADCAST_ROWS // 4:
         drawn = F.broadcast(drawn)
-    cut = keyed.select(*[c for c in docs.columns if c != text_col], "__row", F.posexplode(block_texts(F.col(text_col), block_words)).alias("__block", text_col))
-    out = cut.join(drawn, ["__row", "__block"], "left").filter(F.col("__shard").isNotNull() | ~F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)))
+    keyed = keyed.join(drawn, "__row", "left").filter(F.col("__draws").isNotNull() | ~F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)))
+    cut = keyed.select(*[c for c in docs.columns if c != text_col], "__row", "__draws", F.posexplode(block_texts(F.col(text_col), block_words)).alias("__block", text_col))
+    mine = F.filter("__draws", lambda d: d["block"] == F.col("__block"))
+    mine = F.when(F.col("__draws").isNull(), F.array(F.lit(None).cast("struct<block:int,shard:int,slot:int>"))).otherwise(mine)
+    out = cut.withColumn("__draw", F.explode(mine)).withColumn("__shard", F.col("__draw.shard")).withColumn("__slot", F.col("__draw.slot"))
     out = out.withColumn("__shard", F.coalesce("__shard", F.pmod("__row", F.lit(shards)).cast("int")))
     shards = max(shards, n_drawn // SHARD_BLOCKS + 1)
     return out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__slot").select(*docs.columns)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Memo, materialise, table
+from tesserae.llm.common import Memo, frugal, materialise, table
 
 TOKENIZER, CAPACITY, END_ID, MEMO = "word_bpe_49k.json", 2048, 0, 250_000
 BUCKET_ROWS = 50_000
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(cols, types, strict=False))], names)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def _fit(sizes: list[int], most: int) -> int:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Memo, materialise, table
+from tesserae.llm.common import Memo, frugal, materialise, table
 
 LABELLED, POOL, ROUNDS, GIVE, CONFIDENT, FOLDS = 2000, 2000, 3, 0.1, 0.9, 4
 SHAPES, WORDS, SOURCES, LANGS, DENSE = 256, 512, 128, 32, 11
@@ -201,7 +201,7 @@ def _features(rows: DataFrame) -> DataFrame:
             xm = [meta_features(*v).tobytes() for v in zip(r["source"], r["lang"], r["n_chars"], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("doc_id")), b.column(b.schema.names.index("y")), pa.array(xt, pa.binary()), pa.array(xm, pa.binary())], ["doc_id", "y", "xt", "xm"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y double, xt binary, xm binary")
+    return rows.mapInArrow(frugal(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y double, xt binary, xm binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, str, str] = ("source", "lang", "n_chars"), label_col: str = "quality", n_labelled: int = LABELLED, n_pool: int = POOL) -> Model:
@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.float64()) for v in out), pa.array(out[2] >= least, pa.bool_())], ["doc_id", "text_score", "meta_score", "score", "kept"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_score double, meta_score double, score double, kept boolean")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, text_score double, meta_score double, score double, kept boolean")
 
 
 def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

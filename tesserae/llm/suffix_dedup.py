@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tesserae.llm.common import materialise, read_words, semi_join, table
+from tesserae.llm.common import frugal, materialise, read_words, semi_join, table
 
 MIN_WORDS, GRAM, STRETCH = 50, 5, 32
 HEAD = MIN_WORDS - STRETCH + 1
@@ -174,9 +174,9 @@ def repeated_heads(docs: DataFrame, min_words: int, gram: int, stretch: int, buc
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _by_bucket(batches, lambda blob: _out(np.frombuffer(blob, _ENTRY)), answer)
 
-    sent = docs.select("sha", "text").mapInArrow(select, "bucket int, known boolean, entries binary")
+    sent = docs.select("sha", "text").mapInArrow(frugal(select), "bucket int, known boolean, entries binary")
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(compare, "sha binary, pos int")
+    return dealt.mapInArrow(frugal(compare), "sha binary, pos int")
 
 
 def names(codes: np.ndarray, n: int) -> np.ndarray:
@@ -272,9 +272,9 @@ def matches(docs: DataFrame, min_words: int, gram: int, stretch: int, buckets: i
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _by_bucket(batches, lambda blob: pa.ipc.open_stream(blob).read_next_batch(), answer)
 
-    sent = docs.select("sha", "low", "high", "text", "at").mapInArrow(extend, "bucket int, known boolean, rows binary")
+    sent = docs.select("sha", "low", "high", "text", "at").mapInArrow(frugal(extend), "bucket int, known boolean, rows binary")
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(compare, "sha binary, a int, b int")
+    return dealt.mapInArrow(frugal(compare), "sha binary, a int, b int")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM, stretch: int = STRETCH) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Memo, table
+from tesserae.llm.common import Memo, frugal, table
 
 MODEL, LIMIT, MEMO = "piece_bpe_32k.model", 4096, 250_000
 SPACE = "▁"
@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             size = [len(x.encode()) if x else 0 for x in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialise, shared_dir, table
+from tesserae.llm.common import frugal, materialise, shared_dir, table
 
 MIN_BYTES, ARCHIVE_BYTES, LEVEL, CHUNK = 0, 256 << 20, 3, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -167,7 +167,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
             done.append((name, n))
         yield pa.RecordBatch.from_pydict({"archive": pa.array([a for a, _ in done], pa.string()), "n_records": pa.array([n for _, n in done], pa.int64())})
 
-    return rows.select("page_id", "url", "html", "refers_to", "is_revisit").mapInArrow(run, "archive string, n_records long")
+    return rows.select("page_id", "url", "html", "refers_to", "is_revisit").mapInArrow(frugal(run), "archive string, n_records long")
 
 
 def normalise_archives(archives: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
@@ -183,7 +183,7 @@ def normalise_archives(archives: DataFrame, folder: str, level: int = LEVEL) ->
                     n = normalise(f, out, idx, level)
                 yield pa.RecordBatch.from_pydict({"archive": [to], "index": [f"{to}.idx"], "n_records": pa.array([n], pa.int64())})
 
-    return archives.select("archive").mapInArrow(run, "archive string, index string, n_records long")
+    return archives.select("archive").mapInArrow(frugal(run), "archive string, index string, n_records long")
 
 
 def read_records(archives: DataFrame, folder: str) -> DataFrame:
@@ -228,7 +228,7 @@ def read_records(archives: DataFrame, folder: str) -> DataFrame:
         names = ["record_id", "record_type", "target", "payload_digest", "payload_bytes", "refers_to", "payload"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return archives.select("archive", "index").mapInArrow(run, schema)
+    return archives.select("archive", "index").mapInArrow(frugal(run), schema)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", min_bytes: int = MIN_BYTES) -> DataFrame:
