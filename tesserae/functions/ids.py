@@ -35,6 +35,7 @@ def strip_content_hash(doc: Column) -> Column:
 
 
 def hash_draw(*parts: Column, below: int) -> Column:
-    """A number below ``below`` that depends on the parts alone."""
-    text = F.concat_ws("\x1f", *[p.cast("string") for p in parts])
-    return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"), F.lit(below))
+    """A number below ``below`` (less than 2**40) that depends on the parts alone: the SHA-256 of the parts joined by ``|``, modulo it."""
+    digest = F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+    digits = F.transform(F.regexp_extract_all(digest, F.lit("[0-9a-f]{4}"), F.lit(0)), lambda d: F.conv(d, 16, 10).cast("long"))
+    return F.aggregate(digits, F.lit(0).cast("long"), lambda rest, d: F.pmod(rest * 65536 + d, F.lit(below).cast("long")))

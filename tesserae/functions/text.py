@@ -138,7 +138,7 @@ def format_wikilink(doc: Column, section: Column) -> Column:
 
 # --- acronyms -------------------------------------------------------------------------------------
 #: Connectors that give no letter to an initialism.
-SKIPPED = ("a", "an", "and", "the", "of", "for", "in", "on", "to", "or", "de", "du", "des", "la", "le", "les", "et", "d", "l")
+SKIPPED = ("of", "the", "a", "an", "and", "or", "for", "to", "in", "on", "de", "des", "du", "la", "le", "les", "d", "l")
 
 
 def derive_initialism(name: Column) -> Column:
@@ -213,15 +213,23 @@ def slugify_heading(text: Column) -> Column:
 
 
 #: Interjections that carry no content in a transcript.
-FILLERS = ("uh", "um", "uhm", "erm", "hmm", "mhm", "euh", "heu", "hum")
+FILLERS = ("um", "umm", "ummm", "uh", "uhh", "uhhh", "uhm", "erm", "euh", "euhh", "heu", "heuh")
 
 
 def normalize_transcript(text: Column) -> Column:
-    """Drops filler words and the punctuation they leave; lines that become empty go."""
-    out = F.regexp_replace(text, r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(FILLERS) + r")(?![\p{L}\p{N}])\s*[,.…]*", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ([,.;:!?])", "$1")
-    out = F.regexp_replace(out, r"(?m)^[ ,.;:]+", "")
-    return F.array_join(F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"[\p{L}\p{N}]")), "\n")
+    """Drops filler words that stand alone, with a comma behind them, and the punctuation they leave; lines that become empty go."""
+    rules = (
+        (r"(?iU)(?<![\w-])(?:" + "|".join(FILLERS) + r")(?![\w-])[ \t]*,?", ""),
+        (r"([,;:])(?:\s*[,;:])+", "$1"),
+        (r",\s*([.!?])", "$1"),
+        (r"([.!?])\s*\.", "$1"),
+        (r"\s+([,.;:!?])", "$1"),
+        (r"[ \t]{2,}", " "),
+    )
+    for pattern, by in rules:
+        text = F.regexp_replace(text, pattern, by)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*[.!?]+\s*", "")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def structure_is_faithful(block: Column, source: Column) -> Column:
@@ -262,11 +270,14 @@ def unsupported_bigrams(query: Column, summary: Column, evidence: Column) -> Col
 
 
 #: Words that hint at one of two languages.
-HINTS = {"fr": "le la les des une est dans pour que qui sur avec".split(), "en": "the of and is in for that which on with".split()}
+HINTS = {
+    "fr": "le la les des une est dans pour avec qui sont été être aux cette".split(),
+    "en": "the of and is for with that are was this from".split(),
+}
 
 
 def guess_language(text: Column) -> Column:
     """French if it has more French than English hint words, else English."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     count = lambda k: F.size(F.filter(words, lambda w: w.isin(*HINTS[k])))
     return F.when(count("fr") > count("en"), "fr").otherwise("en")

@@ -39,11 +39,16 @@ def anchor_labels(chunks: DataFrame, anchor: str, document: str, n: int = 1, k:
 
 
 #: Picture classes that a page is sent to the vision model for.
-DIAGRAMS = ("flow_chart", "diagram", "electrical_diagram", "engineering_drawing", "map")
+DIAGRAMS = (
+    "flow_chart", "engineering_drawing", "electrical_diagram", "cad_drawing", "screenshot_from_computer", "screenshot_from_manual",
+    "screenshot",
+)
+DIAGRAM_AREA = 20_000.0
 
 
-def diagram_pages(figures: DataFrame, least: float = 0.5, area: float = 0.05) -> DataFrame:
-    return figures.filter(F.col("picture_class").isin(*DIAGRAMS) & (F.col("confidence") >= least) & (F.col("area_fraction") >= area)).select("doc_id", "page").distinct()
+def diagram_pages(figures: DataFrame, least: float = 0.5, area: float = DIAGRAM_AREA) -> DataFrame:
+    """Pages with a diagram of at least ``area`` square points that was classified with some confidence."""
+    return figures.filter(F.col("picture_class").isin(*DIAGRAMS) & (F.col("confidence") >= least) & (F.col("area") >= area)).select("doc_id", "page").distinct()
 
 
 def frame_result(sql: str, header: list[str], rows: list[list[str]], value: float | None = None, most: int = 900, shown: int = 12) -> str:

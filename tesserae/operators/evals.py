@@ -89,13 +89,30 @@ def fabricated_quotes(answer: Column, evidence: Column, blocked: Column) -> Colu
     return F.filter(blocked, lambda q: (metric_text(q) != "") & whole(answer, q) & ~F.exists(evidence, lambda e: whole(e, q)))
 
 
-#: Words that hedge.
-HEDGES = r"\b(?:may|might|could|perhaps|possibly|likely|appears?|seems?|suggests?)\b"
+#: Phrases that hedge, and phrases of an answer that refuses.
+HEDGES = (
+    "it depends", "in general", "difficult to say", "hard to say", "nuanced", "one should consider", "may touch on",
+    "worth examining", "without more", "it is difficult", "generally speaking", "various factors", "a number of factors",
+)
+REFUSALS = (
+    "i cannot answer", "i can't answer", "i am unable to answer", "i'm unable to answer", "no grounded answer",
+    "cannot provide an answer", "unable to provide",
+)
+REFUSAL_WORDS = 40
 
 
 def hedge_density(answer: Column) -> Column:
-    n = F.size(F.filter(F.split(F.trim(answer), r"\s+"), lambda w: w != ""))
-    return F.when(n == 0, 0.0).otherwise(F.size(F.regexp_extract_all(F.lower(answer), F.lit(HEDGES), F.lit(0))) / n)
+    """Hedging phrases by the words of the answer (at least 1)."""
+    text = metric_text(answer)
+    hits = sum((F.size(F.split(text, rf"\Q{h}\E")) - 1 for h in HEDGES), F.lit(0))
+    return hits / F.greatest(F.lit(1), F.size(F.filter(F.split(text, " "), lambda w: w != "")))
+
+
+def unexpected_refusal(answer: Column, expected: Column) -> Column:
+    """A short answer that refuses although ``expected`` says that the case can be answered."""
+    text = metric_text(answer)
+    refuses = F.exists(F.array(*map(F.lit, REFUSALS)), lambda p: F.contains(text, p))
+    return F.coalesce(expected & refuses & (F.size(F.split(text, " ")) < REFUSAL_WORDS), F.lit(False))
 
 
 def structural_f1(reference: DataFrame, found: DataFrame, keys: list[str], by: str) -> DataFrame:

@@ -300,16 +300,30 @@ def linearize_tables(body: str) -> str:
     return "".join([*out, body[at:]])
 
 
-def salience(rows: list[list[str]], header: list[str], keywords: tuple[str, ...] = ("total", "revenue", "net", "income", "growth"), wide: int = 12) -> float:
-    """How telling a table is: shares of figures and of money, a keyword bonus, halved when very wide."""
-    cells = [c for r in rows for c in r if c]
+#: Section words of tables that tell much, signs of money, and the widest narrow table.
+SALIENT = (
+    "revenue", "income", "sales", "earnings", "profit", "margin", "expense", "cost", "asset", "liabilit", "equity", "cash flow",
+    "dividend", "repurchase", "compensation", "balance sheet", "segment", "operations", "financial", "statement", "results",
+    "performance",
+)
+MONEY = re.compile(r"[$€£%]|\b(?:thousand|million|billion|trillion)\b", re.IGNORECASE)
+WIDE = 6
+
+
+def salience(rows: list[list[str]], header: list[str], section: str | None = None) -> float:
+    """How telling a table is: shares of figures and of money, a bonus for words of its section, halved when it is wide."""
+    cells = [c.strip() for r in rows for c in r if c.strip()]
     if len(rows) < 2 or len(cells) < 2:
         return 0.0
     figures = sum(number(c) is not None for c in cells) / len(cells)
-    money = sum(any(x in c for x in "$€£") for c in cells) / len(cells)
-    text = " ".join(header + cells).lower()
-    score = 2 * figures + 1.5 * money + 0.6 * any(k in text for k in keywords)
-    return score / 2 if len(header) > wide else score
+    money = sum(MONEY.search(c) is not None for c in cells) / len(cells)
+    score = 2 * figures + 1.5 * money + 0.6 * any(k in (section or "").lower() for k in SALIENT)
+    return score / 2 if len(header or rows[0]) > WIDE else score
+
+
+def rank_tables(tables: list[dict]) -> list[dict]:
+    """Tables with ``rows``, ``header`` and ``section``, most telling first; equals keep their order."""
+    return sorted(tables, key=lambda t: -salience(t["rows"], t["header"], t.get("section")))
 
 
 def latex_to_markdown(text: str) -> str:

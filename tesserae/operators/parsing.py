@@ -98,13 +98,20 @@ def transcript(segments: DataFrame) -> DataFrame:
     return segments.groupBy("doc_id").agg(F.array_join(parts, "\n\n").alias("body"))
 
 
-#: Picture classes that may follow an image marker as a line of their own.
-PICTURE_CLASSES = ("bar_chart", "line_chart", "pie_chart", "flow_chart", "table", "map", "logo", "signature", "screenshot", "icon", "photograph", "diagram")
+#: Labels of pictures that may follow an image marker as a paragraph of their own.
+PICTURE_LABELS = (
+    "logo", "icon", "photograph", "picture", "natural image", "pictogram", "line chart", "bar chart", "pie chart", "scatter plot",
+    "box plot", "flow chart", "engineering drawing", "diagram", "screenshot", "screenshot from computer", "table", "signature",
+    "stamp", "map", "geographical map", "remote sensing", "bar code", "qr code", "calendar", "chemistry molecular structure",
+    "chemistry markush structure", "other",
+)
 
 
 def enrich_image_markers(text: Column) -> Column:
-    """Folds the line with a known picture class into the marker before it."""
-    return F.regexp_replace(text, r"<!-- image -->\s*\n+[ \t]*(" + "|".join(PICTURE_CLASSES) + r")[ \t]*(?=\n|$)", "<!-- image: kind=$1 -->")
+    """Folds the line with a known picture label into the marker before it; blanks of the label become hyphens."""
+    for label in PICTURE_LABELS:
+        text = F.regexp_replace(text, rf"(?im)^[ \t]*<!--\s*image\s*-->[ \t]*\n\s*?{label}[ \t]*$", f"<!-- image: kind={label.replace(' ', '-')} -->")
+    return text
 
 
 def clean_markdown(text: Column) -> Column:
@@ -129,12 +136,21 @@ def merge_header(cells: Column) -> Column:
     return F.array_join(F.filter(cells, lambda x, i: (i == 0) | (x != F.try_element_at(cells, i))), " ")
 
 
-#: Titles of sections before the body.
-FRONT_MATTER = ("abstract", "contents", "table of contents", "preface", "foreword", "acknowledgements", "acknowledgments", "copyright", "disclaimer", "cover", "title page")
+#: Titles of sections that are not the body.
+FRONT_MATTER = (
+    "authority", "comments", "comments on this publication", "reports on computer systems technology", "acknowledgments",
+    "acknowledgements", "trademark information", "trademarks", "patent disclosure notice", "patent disclosure",
+    "table of contents", "contents", "list of figures", "list of tables", "keywords", "references", "bibliography", "notices",
+    "legal notice", "disclaimer", "copyright", "how to cite this publication", "foreword", "preface", "acronyms", "glossary",
+    "abbreviations",
+)
+SECTION_NUMBER = r"(?i)^(?:appendix\s+[a-z0-9]+|[0-9ivxlc]+(?:\.[0-9]+)*)[\s.):—–-]+"
 
 
 def is_front_matter(title: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(title), r"[^\p{L} ]+", " ")).isin(*FRONT_MATTER)
+    """Whether a heading, without marks and section number, is such a title."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(title), r"^[*# ]+|[*# ]+$", ""), SECTION_NUMBER, "")
+    return F.lower(F.trim(F.regexp_replace(bare, r"^[*#:—– .]+|[*#:—– .]+$", ""))).isin(*FRONT_MATTER)
 
 
 def document_route(sections: DataFrame, short: int = 14_000, many: int = 12, tiny: int = 600, share: float = 0.6) -> DataFrame:

@@ -18,7 +18,7 @@ from tesserae.functions.numbers import coerce_number, is_canonical_number
 
 ROW_LIMIT = 1000
 #: Words that no guarded statement may hold, even inside a string.
-FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "replace", "attach", "detach", "pragma", "vacuum", "reindex")
+FORBIDDEN = ("pragma", "attach", "detach", "insert", "update", "delete", "drop", "create", "alter", "replace", "vacuum", "reindex")
 REFUSED = (r"\brandom\b", r"\browid\b", r"\bglob\b", r"\(\s*select\b")
 
 

@@ -98,7 +98,7 @@ def extracted_tables(t):
 
 @query("""
 SELECT doc_id, source || '-' || lang AS slug, regexp_replace(sha256(text)[1:8] || '-' || source, '^[0-9a-f]{8}-', '') AS bare,
-  CAST(('0x' || sha256(CAST(doc_id AS VARCHAR) || chr(31) || 'draw')[1:15])::BIGINT % 1000 AS BIGINT) AS draw FROM documents""")
+  CAST(list_reduce(list_transform(range(16), lambda i: ('0x' || substr(sha256(CAST(doc_id AS VARCHAR) || '|draw'), CAST(4 * i + 1 AS INT), 4))::BIGINT), lambda a, x: (a * 65536 + x) % 1000) AS BIGINT) AS draw FROM documents""")
 def slugs_and_draws(t):
     return t.documents.select("doc_id", ids.slug(F.concat_ws(" / ", "source", "lang")).alias("slug"), ids.strip_content_hash(F.concat_ws("-", F.substring(F.sha2("text", 256), 1, 8), "source")).alias("bare"), ids.hash_draw(F.col("doc_id"), F.lit("draw"), below=1000).alias("draw"))
 
@@ -111,9 +111,9 @@ def content_tokens(t):
 
 
 @query(r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents)
-SELECT doc_id, CASE WHEN len(list_filter(w, lambda x: x IN ('le', 'la', 'les', 'des', 'une', 'est', 'dans', 'pour', 'que', 'qui', 'sur', 'avec')))
-  > len(list_filter(w, lambda x: x IN ('the', 'of', 'and', 'is', 'in', 'for', 'that', 'which', 'on', 'with'))) THEN 'fr' ELSE 'en' END AS lang FROM w""")
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents)
+SELECT doc_id, CASE WHEN len(list_filter(w, lambda x: x IN ('le', 'la', 'les', 'des', 'une', 'est', 'dans', 'pour', 'avec', 'qui', 'sont', 'été', 'être', 'aux', 'cette')))
+  > len(list_filter(w, lambda x: x IN ('the', 'of', 'and', 'is', 'for', 'with', 'that', 'are', 'was', 'this', 'from'))) THEN 'fr' ELSE 'en' END AS lang FROM w""")
 def hint_language(t):
     return t.documents.select("doc_id", T.guess_language(F.col("text")).alias("lang"))
 

@@ -36,7 +36,7 @@ def test_scores_and_framing(spark):
     e = spark.createDataFrame([(1, "x")], "query_id int, chunk_id string")
     a = spark.createDataFrame([(1, "x"), (1, "y")], "query_id int, chunk_id string")
     assert [tuple(r) for r in A.unresolved_citations(a, e).collect()] == [(1, "y")]
-    f = spark.createDataFrame([("d", 1, "diagram", 0.9, 0.3), ("d", 2, "logo", 0.9, 0.3), ("d", 3, "map", 0.1, 0.3)], "doc_id string, page int, picture_class string, confidence double, area_fraction double")
+    f = spark.createDataFrame([("d", 1, "flow_chart", 0.9, 3e4), ("d", 2, "logo", 0.9, 3e4), ("d", 3, "screenshot", 0.1, 3e4), ("d", 4, "flow_chart", 0.9, 2500.0)], "doc_id string, page int, picture_class string, confidence double, area double")
     assert [tuple(r) for r in A.diagram_pages(f).collect()] == [("d", 1)]
 
 

@@ -67,7 +67,7 @@ def test_code_questions(spark):
 
 
 def test_transcripts(spark):
-    assert column(spark, ["Um, so uh we go.\nEuh..."], T.normalize_transcript) == ["so we go."]
+    assert column(spark, ["Um, so uh we go.\nEuh", "uh-huh, mhm, an umbrella", "Yes, um. I, uhh, think", "Um. Okay", ", and then"], T.normalize_transcript) == ["so we go.", "uh-huh, mhm, an umbrella", "Yes. I, think", "Okay", ", and then"]
     assert column(spark, [59, 61, 3661], N.timestamp_label, "int") == ["00:59", "01:01", "01:01:01"]
 
 

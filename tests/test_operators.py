@@ -184,8 +184,8 @@ def test_parse_steps(spark):
     found = parsing.furniture(lines)
     assert rows(found) == [("d", "FOOT")]
     assert parsing.without_furniture(lines, found).count() == 16
-    md = spark.createDataFrame([("<!-- image -->\n\nbar_chart\n\nx &amp;lt; y  ",)], "t string")
-    assert md.select(parsing.clean_markdown(F.col("t"))).first()[0] == "<!-- image: kind=bar_chart -->\n\nx < y"
+    md = spark.createDataFrame([("<!-- image -->\n\nBar chart\n\nx &amp;lt; y  ",)], "t string")
+    assert md.select(parsing.clean_markdown(F.col("t"))).first()[0] == "<!-- image: kind=bar-chart -->\n\nx < y"
     h = spark.createDataFrame([(["A", "A", "B"],)], "c array<string>")
     assert h.select(parsing.merge_header(F.col("c"))).first()[0] == "A B"
 
