@@ -60,18 +60,26 @@ def materialise(df: DataFrame) -> DataFrame:
     bound_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/tesserae/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    remove_later(spark, path)
     return spark.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that driver and executors share."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def remove_later(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when Python ends."""
+    _written.append((spark, path))
+
+
 def discard() -> None:
     """Delete every table that :func:`materialise` wrote and that is not needed any more."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            remove(*_written.pop())
         except Exception:  # the session may be gone already; the folder is temporary anyway
             return
 

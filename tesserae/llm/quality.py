@@ -2,14 +2,15 @@
 
 Views: the *text* (hashed word shapes and words, and a few shares such as signs, digits, repeated
 lines) and the *metadata* (source, language, stated length) of a document.  Each has a logistic
-classifier.  In every round both are fitted to their own labelled sets, calibrated (Platt) on a
-fold that is never trained on, and then each gives its most confident documents of a pool without
-labels, as pseudo-labels, to the *other* one - if the calibrated probability of the label is at
-least ``CONFIDENT``.  In the end a logistic combination of the two calibrated views, fitted on the
-calibration fold, scores all documents.
+classifier.  In every round both are fitted to their own labelled sets and calibrated (Platt) on a
+fold that is never trained on.  Then each scores all documents without a label, on the executors, and
+gives the ``GIVE`` of each label that it is surest of, as pseudo-labels, to the *other* view.  It gives
+a label only if, among the ``TOP`` share of the calibration fold that it is surest of, at least ``PRECISE`` and
+no less than the label's own share are right: a view that cannot tell a label does not teach it.
+In the end a logistic combination of the two calibrated views, fitted on the calibration fold, scores all documents.
 
-Fitting uses bounded samples, drawn by md5 of the id: at most ``LABELLED`` labelled documents and a
-pool of at most ``POOL`` others.  Scoring reads every whole text, where it lies, without a shuffle.
+Fitting starts from a bounded sample, drawn by md5 of the id: at most ``LABELLED`` labelled documents; no bound
+is put on the others.  Texts are read once: the features of all documents are written in the shared folder.
 
 Defined results: null text is empty, null source or language is a value of its own, null length is
 unknown; a document with several labels takes the mean of them; without both kinds of label the
@@ -21,17 +22,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import Memo, frugal, materialise, table
 
-LABELLED, POOL, ROUNDS, GIVE, CONFIDENT, FOLDS = 2000, 2000, 3, 0.1, 0.9, 4
+LABELLED, ROUNDS, GIVE, PRECISE, TOP, FOLDS = 2000, 3, 100, 0.85, 0.2, 4
 SHAPES, WORDS, SOURCES, LANGS, DENSE = 256, 512, 128, 32, 11
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
@@ -141,6 +142,13 @@ class Model:
     def __init__(self, share: float):
         self.share, self.text, self.meta, self.mix, self.bias, self.given = share, None, None, None, 0.0, []
 
+    @classmethod
+    def of(cls, text: Logistic, meta: Logistic) -> Model:
+        """The two views alone, as they are now."""
+        self = cls(0.5)
+        self.text, self.meta, self.mix = text, meta, np.ones(2)
+        return self
+
     def views(self, xt: np.ndarray, xm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.text.logit(xt), self.meta.logit(xm)
 
@@ -153,14 +161,23 @@ class Model:
         return sig(a), sig(b), sig(self.mix[0] * a + self.mix[1] * b + self.bias)
 
 
-def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, fold: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``fold`` marks the labelled rows that only calibrate."""
+def teaches(sure: np.ndarray, right: np.ndarray) -> bool:
+    """Whether the part of the fold that a view is surest of is right often enough."""
+    best = np.argsort(-sure, kind="stable")[: max(1, int(np.ceil(TOP * len(sure))))]
+    return len(sure) > 0 and right[best].mean() >= max(PRECISE, right.mean())
+
+
+def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, fold: np.ndarray, surest: Callable, rounds: int = ROUNDS) -> Model:
+    """``fold`` marks the labelled rows that only calibrate.
+
+    ``surest(model, view, label)`` gives both views' features of the documents without a label, and without a
+    pseudo-label so far, that the view (``t`` or ``m``) of the model is surest to have the label.
+    """
     model = Model(float(y.mean()) if len(y) else 0.5)
     fit = ~fold
     if len(set(y[fit] > 0.5)) < 2 or len(set(y[fold] > 0.5)) < 2:
         return model
     sets = {"t": ([xt[fit]], [y[fit]]), "m": ([xm[fit]], [y[fit]])}
-    open_ = np.ones(len(ut), bool)
     for k in range(rounds + 1):
         fitted = {}
         for name, cal in (("t", xt[fold]), ("m", xm[fold])):
@@ -168,18 +185,18 @@ def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, fold: np.ndarray, ut:
             weight = np.where(lab > 0.5, 0.5 / max(1, (lab > 0.5).sum()), 0.5 / max(1, (lab <= 0.5).sum()))
             fitted[name] = Logistic().fit(x, lab, weight).calibrate(cal, y[fold])
         model.text, model.meta = fitted["t"], fitted["m"]
-        if k == rounds or not open_.any():
+        if k == rounds:
             break
-        for mine, other, u, ou in (("t", "m", ut, um), ("m", "t", um, ut)):
-            at = np.flatnonzero(open_)
-            p = 1 / (1 + np.exp(-fitted[mine].logit(u[at])))
-            for label, sure, share in ((1.0, p, model.share), (0.0, 1 - p, 1 - model.share)):
-                best = np.argsort(-sure, kind="stable")[: int(np.ceil(GIVE * share * len(ut)))]
-                best = best[sure[best] >= CONFIDENT]
-                sets[other][0].append(ou[at[best]])
-                sets[other][1].append(np.full(len(best), label))
-                open_[at[best]] = False
-                model.given.append((k, mine, label, len(best)))
+        for mine, other, cal in (("t", "m", xt[fold]), ("m", "t", xm[fold])):
+            p = 1 / (1 + np.exp(-fitted[mine].logit(cal)))
+            for label in (1.0, 0.0):
+                n = 0
+                if teaches(p if label else 1 - p, (y[fold] > 0.5) == (label > 0.5)):
+                    ut, um = surest(model, mine, label)
+                    n = len(ut)
+                    sets[other][0].append(um if other == "m" else ut)
+                    sets[other][1].append(np.full(n, label))
+                model.given.append((k, mine, label, n))
     a, b = model.views(xt[fold], xm[fold])
     model.mix, model.bias = platt(np.column_stack([a, b]), y[fold])
     model.mix = np.maximum(model.mix, 0)  # a calibrated view never counts against itself
@@ -191,54 +208,74 @@ def _columns(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str,
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(s).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(n).cast("long").alias("n_chars"))
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """Feature vectors as bytes, computed on the executors: what reaches the driver does not depend on text lengths."""
+def features(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, str, str] = ("source", "lang", "n_chars"), label_col: str = "quality") -> DataFrame:
+    """``doc_id, y, xt, xm`` of every document, written down: mean label or null, and both views' features as bytes."""
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.avg("y").alias("y"))
+    rows = _columns(docs, id_col, text_col, meta_cols)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                r = b.to_pydict()
+                xt = [text_features(t).astype(np.float16).tobytes() for t in r["text"]]
+                xm = [meta_features(*v).astype(np.float16).tobytes() for v in zip(r["source"], r["lang"], r["n_chars"], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(xt, pa.binary()), pa.array(xm, pa.binary())], ["doc_id", "xt", "xm"])
+
+    told = materialise(rows.mapInArrow(frugal(run), f"doc_id {kind}, xt binary, xm binary"))
+    return told.join(known, "doc_id", "left")
+
+
+def _stack(rows: list, name: str) -> np.ndarray:
+    return np.stack([np.frombuffer(r[name], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, 1), np.float32)
+
+
+def predict(rows: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, text_score, meta_score, score`` from features."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = b.to_pydict()
-            xt = [text_features(t).astype(np.float16).tobytes() for t in r["text"]]
-            xm = [meta_features(*v).tobytes() for v in zip(r["source"], r["lang"], r["n_chars"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("doc_id")), b.column(b.schema.names.index("y")), pa.array(xt, pa.binary()), pa.array(xm, pa.binary())], ["doc_id", "y", "xt", "xm"])
+            for at in range(0, b.num_rows, 1000):
+                r = b.slice(at, 1000).to_pylist()
+                yield pa.RecordBatch.from_arrays([b.slice(at, 1000).column(0), *(pa.array(v, pa.float64()) for v in model.predict(_stack(r, "xt"), _stack(r, "xm")))], ["doc_id", "text_score", "meta_score", "score"])
 
-    return rows.mapInArrow(frugal(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y double, xt binary, xm binary")
+    return rows.select("doc_id", "xt", "xm").mapInArrow(frugal(run), f"doc_id {kind}, text_score double, meta_score double, score double")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, str, str] = ("source", "lang", "n_chars"), label_col: str = "quality", n_labelled: int = LABELLED, n_pool: int = POOL) -> Model:
-    rows = _columns(docs, id_col, text_col, meta_cols)
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.avg("y").alias("y"))
-    ids = rows.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left").withColumn("_h", F.md5(F.col("doc_id").cast("string")))
-    some = ids.filter("y IS NOT NULL").orderBy("_h").limit(n_labelled).unionByName(ids.filter("y IS NULL").orderBy("_h").limit(n_pool))
-    some = materialise(some.select("doc_id", "y"))  # at most n_labelled + n_pool rows
-    got = _features(rows.join(F.broadcast(some), "doc_id")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+def train(rows: DataFrame, n_labelled: int = LABELLED, give: int = GIVE) -> Model:
+    """The model for the rows of :func:`features`.  The driver gets ``n_labelled`` rows and at most ``give`` for each round, view and label."""
+    some = rows.filter("y IS NOT NULL").select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string"))).limit(n_labelled)
+    got = rows.filter("y IS NOT NULL").join(F.broadcast(materialise(some)), "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     if not got:
         return Model(0.5)
-    xt = np.stack([np.frombuffer(r["xt"], np.float16) for r in got]).astype(np.float32)
-    xm = np.stack([np.frombuffer(r["xm"], np.float32) for r in got])
-    has = np.array([r["y"] is not None for r in got])
-    y = np.array([r["y"] for r in got if r["y"] is not None], float)
-    fold = np.array([crc32(str(r["doc_id"]).encode()) % FOLDS == 0 for r in got if r["y"] is not None], bool)
-    return cotrain(xt[has], xm[has], (y >= 0.5).astype(float), fold, xt[~has], xm[~has])
+    y = np.array([r["y"] for r in got], float)
+    fold = np.array([crc32(str(r["doc_id"]).encode()) % FOLDS == 0 for r in got], bool)
+    spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
+    taken: list = []
+    scored: dict[str, tuple[tuple, DataFrame]] = {}
 
+    def surest(model: Model, view: str, label: float) -> tuple[np.ndarray, np.ndarray]:
+        if scored.get("at", (None,))[0] != (model.text, model.meta):  # once a round
+            scored["at"] = (model.text, model.meta), materialise(predict(rows.filter("y IS NULL AND doc_id IS NOT NULL"), Model.of(model.text, model.meta)))
+        used = F.broadcast(spark.createDataFrame([(i,) for i in taken], f"doc_id {kind}"))  # at most `give` for each round, view and label
+        by = F.col("text_score" if view == "t" else "meta_score")
+        best = scored["at"][1].join(used, "doc_id", "left_anti").groupBy("doc_id").agg(F.max(by).alias("p")).orderBy(F.desc("p") if label else F.asc("p"), F.md5(F.col("doc_id").cast("string"))).limit(give)
+        best = materialise(best.select("doc_id"))
+        found = rows.join(F.broadcast(best), "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+        taken.extend(r["doc_id"] for r in found)
+        width = len(got[0]["xt"]) // 2, len(got[0]["xm"]) // 2
+        return (_stack(found, "xt"), _stack(found, "xm")) if found else tuple(np.zeros((0, w), np.float32) for w in width)
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, str, str] = ("source", "lang", "n_chars"), least: float = 0.5) -> DataFrame:
-    """``doc_id, text_score, meta_score, score, kept`` of every document."""
-    rows = _columns(docs, id_col, text_col, meta_cols)
+    return cotrain(_stack(got, "xt"), _stack(got, "xm"), (y >= 0.5).astype(float), fold, surest)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
-                r = b.to_pydict()
-                xt = np.stack([text_features(t) for t in r["text"]])
-                xm = np.stack([meta_features(*v) for v in zip(r["source"], r["lang"], r["n_chars"], strict=True)])
-                out = model.predict(xt, xm)
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.float64()) for v in out), pa.array(out[2] >= least, pa.bool_())], ["doc_id", "text_score", "meta_score", "score", "kept"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(frugal(run), f"doc_id {kind}, text_score double, meta_score double, score double, kept boolean")
+def score(rows: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """``doc_id, text_score, meta_score, score, kept`` of every document, from the rows of :func:`features`."""
+    return predict(rows, model).withColumn("kept", F.col("score") >= least)
 
 
 def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+    rows = features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score(rows, train(rows))

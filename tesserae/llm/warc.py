@@ -23,12 +23,13 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import frugal, materialise, shared_dir, table
+from tesserae.llm.common import frugal, materialise, remove, remove_later, shared_dir, table
 
 MIN_BYTES, ARCHIVE_BYTES, LEVEL, CHUNK = 0, 256 << 20, 3, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -44,14 +45,14 @@ def record(page_id, url: str, payload: bytes, sha1: str, size: int, refers_to, i
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if is_revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else quote(str(page_id), safe='')}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{sha1}",
         f"X-Payload-Length: {size}",
     ]
     if is_revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else quote(str(refers_to), safe='')}>"]
     head += ["Content-Type: text/html", f"Content-Length: {len(payload)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
@@ -136,9 +137,9 @@ def roles(pages: DataFrame, id_col: str, payload_col: str, url_col: str, min_byt
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("hex"), F.octet_length(html).cast("long").alias("size"))
     narrow = rows.select("page_id", "hex", "size").filter(F.col("size") >= min_bytes)
     first = narrow.groupBy("hex", "size").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("k"), F.count(F.lit(1)).alias("n"))
-    met = materialise(first.filter("n > 1").select("hex", "size", F.col("k.page_id").alias("first_id")))
+    met = materialise(first.filter("n > 1").select("hex", "size", F.col("k.page_id").alias("first_id"), F.lit(True).alias("met")))
     small = met.count() <= 500_000
-    return rows.join(F.broadcast(met) if small else met, ["hex", "size"], "left").withColumn("met", F.col("first_id").isNotNull())
+    return rows.join(F.broadcast(met) if small else met, ["hex", "size"], "left").withColumn("met", F.coalesce("met", F.lit(False)))
 
 
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> DataFrame:
@@ -215,7 +216,7 @@ def read_records(archives: DataFrame, folder: str) -> DataFrame:
                                 raise ValueError(f"the payload of {record_id} in {name} is damaged")
                         else:
                             size, sha1 = int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:")
-                        rows.append((record_id[10:-1], head["warc-type"], head["warc-target-uri"], sha1, size, head["warc-refers-to"][10:-1] if "warc-refers-to" in head else None, payload))
+                        rows.append((unquote(record_id[10:-1]), head["warc-type"], head["warc-target-uri"], sha1, size, unquote(head["warc-refers-to"][10:-1]) if "warc-refers-to" in head else None, payload))
                         held += len(payload)
                         if held > 8 << 20:
                             yield _batch(rows)
@@ -236,20 +237,23 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     spark = pages.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/tesserae-warc/{uuid.uuid4().hex}"
     rows = roles(pages, id_col, payload_col, url_col, min_bytes)
-    first = (F.col("page_id") == F.col("first_id")) & F.col("met")
+    remove_later(spark, folder)
+    first = F.col("met") & F.col("page_id").eqNullSafe(F.col("first_id"))
+    rows = rows.withColumn("_id", F.coalesce(F.col("page_id").cast("string"), F.lit("\0")))  # a null id is an id like any other
     # Rows that repeat the first page's id and payload: one of them, the first written, is the response.
-    again = materialise(rows.filter(first).groupBy("page_id", "hex", "size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("page_id", "hex", "size"))
-    plain = rows.withColumn("is_revisit", F.col("met") & (F.col("page_id") != F.col("first_id")) | (F.col("met") & F.col("page_id").isNull()))
+    again = materialise(rows.filter(first).groupBy("_id", "hex", "size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id", "hex", "size"))
+    plain = rows.withColumn("is_revisit", F.col("met") & ~F.col("page_id").eqNullSafe(F.col("first_id")))
     if again.count():
-        doubled = materialise(plain.join(again, ["page_id", "hex", "size"], "left_semi"))
-        plain = plain.join(again, ["page_id", "hex", "size"], "left_anti")
-        one = doubled.dropDuplicates(["page_id", "hex", "size"])
-        copies = doubled.groupBy("page_id", "hex", "size").agg(F.count(F.lit(1)).alias("n"), F.first("url").alias("url"), F.first("first_id").alias("first_id"), F.first("met").alias("met"))
-        copies = copies.withColumn("i", F.explode(F.sequence(F.lit(2), F.col("n").cast("int")))).join(one.select("page_id", "hex", "size", "html"), ["page_id", "hex", "size"]).withColumn("is_revisit", F.lit(True))
+        doubled = materialise(plain.join(again, ["_id", "hex", "size"], "left_semi"))
+        plain = plain.join(again, ["_id", "hex", "size"], "left_anti")
+        one = doubled.dropDuplicates(["_id", "hex", "size"])
+        copies = doubled.groupBy("_id", "hex", "size").agg(F.count(F.lit(1)).alias("n"), F.first("url").alias("url"), F.first("page_id").alias("page_id"), F.first("first_id").alias("first_id"), F.first("met").alias("met"))
+        copies = copies.withColumn("i", F.explode(F.sequence(F.lit(2), F.col("n").cast("int")))).join(one.select("_id", "hex", "size", "html"), ["_id", "hex", "size"]).withColumn("is_revisit", F.lit(True))
         plain = plain.unionByName(one.select(plain.columns)).unionByName(copies.select(plain.columns))
     plain = plain.withColumn("refers_to", F.when(F.col("is_revisit"), F.col("first_id")))
-    whole = materialise(write_archives(plain, folder))
-    members = materialise(normalise_archives(whole.repartition(max(1, whole.count())), folder))
+    whole = materialise(write_archives(plain, f"{folder}/whole"))
+    members = materialise(normalise_archives(whole.repartition(max(1, whole.count())), f"{folder}/members"))
+    remove(spark, f"{folder}/whole")
     return read_records(members.repartition(max(1, members.count())), folder)
 
 
