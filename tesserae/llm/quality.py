@@ -5,8 +5,8 @@ lines) and the *metadata* (source, language, stated length) of a document.  Each
 classifier.  In every round both are fitted to their own labelled sets and calibrated (Platt) on a
 fold that is never trained on.  Then each scores all documents without a label, on the executors, and
 gives the ``GIVE`` of each label that it is surest of, as pseudo-labels, to the *other* view.  It gives
-a label only if, among the ``TOP`` share of the calibration fold that it is surest of, at least ``PRECISE`` and
-no less than the label's own share are right: a view that cannot tell a label does not teach it.
+a label only if, of the rows of the calibration fold that it is surest of (``TOP`` times as many as have the
+label), at least ``PRECISE`` and no less than the label's own share are right: a view that cannot tell a label does not teach it.
 In the end a logistic combination of the two calibrated views, fitted on the calibration fold, scores all documents.
 
 Fitting starts from a bounded sample, drawn by md5 of the id: at most ``LABELLED`` labelled documents; no bound
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import Memo, frugal, materialise, table
 
-LABELLED, ROUNDS, GIVE, PRECISE, TOP, FOLDS = 2000, 3, 100, 0.85, 0.2, 4
+LABELLED, ROUNDS, GIVE, PRECISE, TOP, FOLDS = 2000, 3, 100, 0.85, 0.5, 4
 SHAPES, WORDS, SOURCES, LANGS, DENSE = 256, 512, 128, 32, 11
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
@@ -163,7 +163,7 @@ class Model:
 
 def teaches(sure: np.ndarray, right: np.ndarray) -> bool:
     """Whether the part of the fold that a view is surest of is right often enough."""
-    best = np.argsort(-sure, kind="stable")[: max(1, int(np.ceil(TOP * len(sure))))]
+    best = np.argsort(-sure, kind="stable")[: max(1, int(np.ceil(TOP * right.sum())))]
     return len(sure) > 0 and right[best].mean() >= max(PRECISE, right.mean())
 
 
@@ -208,9 +208,8 @@ def _columns(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str,
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(s).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(n).cast("long").alias("n_chars"))
 
 
-def features(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, str, str] = ("source", "lang", "n_chars"), label_col: str = "quality") -> DataFrame:
-    """``doc_id, y, xt, xm`` of every document, written down: mean label or null, and both views' features as bytes."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.avg("y").alias("y"))
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, str, str] = ("source", "lang", "n_chars")) -> DataFrame:
+    """``doc_id, xt, xm`` of every document, written down where it is read: both views' features as bytes."""
     rows = _columns(docs, id_col, text_col, meta_cols)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -223,8 +222,7 @@ def features(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 xm = [meta_features(*v).astype(np.float16).tobytes() for v in zip(r["source"], r["lang"], r["n_chars"], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(xt, pa.binary()), pa.array(xm, pa.binary())], ["doc_id", "xt", "xm"])
 
-    told = materialise(rows.mapInArrow(frugal(run), f"doc_id {kind}, xt binary, xm binary"))
-    return told.join(known, "doc_id", "left")
+    return materialise(rows.mapInArrow(frugal(run), f"doc_id {kind}, xt binary, xm binary"))
 
 
 def _stack(rows: list, name: str) -> np.ndarray:
@@ -244,10 +242,12 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("doc_id", "xt", "xm").mapInArrow(frugal(run), f"doc_id {kind}, text_score double, meta_score double, score double")
 
 
-def train(rows: DataFrame, n_labelled: int = LABELLED, give: int = GIVE) -> Model:
-    """The model for the rows of :func:`features`.  The driver gets ``n_labelled`` rows and at most ``give`` for each round, view and label."""
-    some = rows.filter("y IS NOT NULL").select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string"))).limit(n_labelled)
-    got = rows.filter("y IS NOT NULL").join(F.broadcast(materialise(some)), "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+def train(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", n_labelled: int = LABELLED, give: int = GIVE) -> Model:
+    """The model for the rows of :func:`features`.  The driver gets ``n_labelled`` rows and at most ``give`` for each round, view and label; features are not shuffled."""
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
+    known = materialise(known.groupBy("doc_id").agg(F.avg("y").alias("y")))
+    some = known.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(F.md5(F.col("doc_id").cast("string"))).limit(n_labelled)
+    got = rows.join(F.broadcast(materialise(some)), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     if not got:
         return Model(0.5)
     y = np.array([r["y"] for r in got], float)
@@ -258,7 +258,7 @@ def train(rows: DataFrame, n_labelled: int = LABELLED, give: int = GIVE) -> Mode
 
     def surest(model: Model, view: str, label: float) -> tuple[np.ndarray, np.ndarray]:
         if scored.get("at", (None,))[0] != (model.text, model.meta):  # once a round
-            scored["at"] = (model.text, model.meta), materialise(predict(rows.filter("y IS NULL AND doc_id IS NOT NULL"), Model.of(model.text, model.meta)))
+            scored["at"] = (model.text, model.meta), materialise(predict(rows.filter("doc_id IS NOT NULL"), Model.of(model.text, model.meta)).join(known, "doc_id", "left_anti"))
         used = F.broadcast(spark.createDataFrame([(i,) for i in taken], f"doc_id {kind}"))  # at most `give` for each round, view and label
         by = F.col("text_score" if view == "t" else "meta_score")
         best = scored["at"][1].join(used, "doc_id", "left_anti").groupBy("doc_id").agg(F.max(by).alias("p")).orderBy(F.desc("p") if label else F.asc("p"), F.md5(F.col("doc_id").cast("string"))).limit(give)
@@ -277,5 +277,5 @@ def score(rows: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score(rows, train(rows))
+    rows = features(table(spark, sf_dir, "documents"))
+    return score(rows, train(rows, table(spark, sf_dir, "labels")))

@@ -542,8 +542,8 @@ def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs_, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
     hidden = F.col("doc_id") % 3 == 0
-    rows = quality.features(docs_, labels.filter(~hidden))
-    model = quality.train(rows)
+    rows = quality.features(docs_)
+    model = quality.train(rows, labels.filter(~hidden))
     got = quality.score(rows, model).toPandas()
     lab = connect(sf).sql("SELECT doc_id, any_value(quality) AS q FROM labels WHERE doc_id % 3 = 0 GROUP BY 1").df()
     j = got.merge(lab, on="doc_id")
@@ -579,12 +579,11 @@ def test_quality_exchanges_labels_between_views():
 
 def test_quality_odd(spark, odd, empty):
     some = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (None, 1), (6, None), (77, 0)], "doc_id long, quality int")
-    none = quality.features(odd, some.limit(0))
-    assert {r[0] for r in collect(quality.score(none, quality.train(none)), "score")} == {0.5}
-    rows = quality.features(odd, some)
-    assert quality.score(rows, quality.train(rows)).count() == len(ODD)
-    bare = quality.features(empty, some)
-    assert quality.score(bare, quality.train(bare)).collect() == []
+    rows = quality.features(odd)
+    assert {r[0] for r in collect(quality.score(rows, quality.train(rows, some.limit(0))), "score")} == {0.5}
+    assert quality.score(rows, quality.train(rows, some)).count() == len(ODD)
+    bare = quality.features(empty)
+    assert quality.score(bare, quality.train(bare, some)).collect() == []
 
 
 # --- filters --------------------------------------------------------------------------------------
