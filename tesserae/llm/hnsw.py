@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import frugal, materialise, table
+from tesserae.llm.common import BROADCAST_ROWS, frugal, materialise, table
 
 K, M, EF_BUILD, EF_SEARCH, SHARD_ROWS, QUERY_BLOCK, EVERY = 5, 16, 64, 128, 8192, 1024, 50
 
@@ -193,21 +193,26 @@ def build_index(rows: DataFrame, k: int = K, m: int = M, ef: int = EF_BUILD, sha
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = K, ef: int = EF_SEARCH, block: int = QUERY_BLOCK) -> DataFrame:
-    """``query_id, rank, vec_id, score`` for ``queries`` (id, v, dim); every block of queries meets every shard of its dimension."""
+    """``query_id, rank, vec_id, score`` for ``queries`` (id, v, dim); every block of queries meets every shard of its dimension.
+
+    A shard's graph is shipped once; the blocks of queries that stream past it follow in its partition.
+    """
     shards = index.select("dim", "shard")
     n = queries.count()
     blocks = queries.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(max(1, n // block)))).groupBy("dim", "_b").agg(F.collect_list(F.struct("id", "v")).alias("q"))
-    work = blocks.join(shards, "dim").repartition(max(1, shards.count()), "dim", "shard").join(index, ["dim", "shard"])
+    n_shards = shards.count()
+    asked = blocks.join(F.broadcast(shards) if n_shards <= BROADCAST_ROWS else shards, "dim").select("dim", "shard", "q")
+    work = index.unionByName(asked, allowMissingColumns=True).repartition(max(1, n_shards), "dim", "shard").sortWithinPartitions("dim", "shard", F.col("flat").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, graph = None, None
+        graph = None
         for b in batches:
             for row in b.to_pylist():
-                if at != (row["dim"], row["shard"]):
-                    at = (row["dim"], row["shard"])
+                if row["flat"] is not None:
                     vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
                     ids = np.frombuffer(row["ids"], np.int64).reshape(len(vectors), -1)
                     graph = Graph.load(_units(vectors), row)
+                    continue
                 out: list[tuple[int, int, float]] = []
                 for q in row["q"]:
                     v = np.array(q["v"], np.float64)
