@@ -149,7 +149,7 @@ def derive_initialism(name: Column) -> Column:
 
 
 def looks_like_acronym(text: Column) -> Column:
-    t = F.trim(text)
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
     return t.rlike(r"^[A-Za-z0-9.+-]{2,7}$") & t.rlike(r"[A-Za-z]") & (t.rlike("[A-Z]") | (F.length(t) <= 6))
 
 
