@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -180,3 +181,18 @@ class Memo(dict):
             found = self.function(key)
         self[key] = found
         return found
+
+
+#: Bytes of a text that are split into words at once.
+WINDOW_BYTES = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def byte_windows(data: bytes, size: int = WINDOW_BYTES) -> Iterator[bytes]:
+    """``data`` in pieces that end before a blank, so that the words of a very long text are never held all at once."""
+    at = 0
+    while at < len(data):
+        cut = _BLANK.search(data, at + size) if len(data) - at > size else None
+        end = cut.start() if cut else len(data)
+        yield data[at:end]
+        at = end
