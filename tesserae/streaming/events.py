@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.storage import cut
+
 
 def replay(events: DataFrame, since: Column | None = None, until: Column | None = None, kind: str | None = None, ts: str = "ts") -> DataFrame:
     """Events of an inclusive range of time, compared as timestamps, in order."""
@@ -25,7 +28,10 @@ def retain(events: DataFrame, now: Column, days: int = 30, ts: str = "ts") -> Da
 
 
 def debounce(events: DataFrame, keys: list[str], gap: str = "500 milliseconds", ts: str = "ts") -> DataFrame:
-    """One row for each burst of a key: ``keys, burst_start, burst_end, n_events``; a burst ends after ``gap`` without an event."""
+    """One row for each burst of a key of a table: ``keys, burst_start, burst_end, n_events``; a burst ends after ``gap`` without an event.
+
+    For streams see :func:`tesserae.streaming.stateful.debounce`.
+    """
     burst = F.session_window(ts, gap)
     out = events.groupBy(*keys, burst.alias("_w")).agg(F.count(F.lit(1)).alias("n_events"))
     return out.select(*keys, F.col("_w.start").alias("burst_start"), F.col("_w.end").alias("burst_end"), "n_events")
@@ -49,19 +55,27 @@ def publish(events: DataFrame, path: str, checkpoint: str):
 
 
 def watch(spark: SparkSession, root: str, react: Callable[[DataFrame, int], None], checkpoint: str):
-    """Calls ``react(changed, batch)`` with the documents whose hash is not that of ``root``/manifests, at each trigger.
+    """Calls ``react(changed, batch)`` with documents below ``root`` that were added, edited or removed.
 
-    The file source announces new files; an edit of a known file is found because every trigger
-    compares the whole listing with the manifests.
+    ``changed`` has ``doc_id, state`` (new, edited, removed), ``content_sha256`` and ``content``.  A batch reads only
+    the files that the listing shows as changed; those that the manifests know by the same hash (the
+    library's own writes) are left out, and a batch in which nothing is left calls nothing.
     """
-    from tesserae.sources import vault
-
-    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.md").load(f"{root.rstrip('/')}/documents")
-
-    def on_batch(_: DataFrame, batch: int) -> None:
-        docs = vault.scan(spark, root)
-        manifests = spark.read.json(f"{root.rstrip('/')}/manifests")
-        states = vault.changed(docs, manifests).filter("state IN ('new', 'edited')")
-        react(docs.join(states, "doc_id"), batch)
-
-    return source.select("path", "length").writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    from tesserae.streaming.listing import folder_changes
+
+    root = root.rstrip("/")
+    source = folder_changes(spark, f"{root}/documents", f"{checkpoint.rstrip('/')}-listings", "*.md")
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        seen = batch.select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("doc_id"), "event", F.sha2("content", 256).alias("content_sha256"), "content")
+        try:
+            known = spark.read.json(f"{root}/manifests").select("doc_id", F.col("content_sha256").alias("_was"))
+        except AnalysisException:  # none was written yet
+            known = spark.createDataFrame([], "doc_id string, _was string")
+        changed = seen.join(known, "doc_id", "left").filter("event = 'removed' OR NOT content_sha256 <=> _was")
+        state = F.when(F.col("event") == "removed", "removed").when(F.col("_was").isNull(), "new").otherwise("edited")
+        changed = cut(changed.select("doc_id", state.alias("state"), "content_sha256", "content"))
+        if not changed.isEmpty():
+            react(changed, number)
+
+    return source.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
