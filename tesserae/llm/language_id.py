@@ -11,7 +11,8 @@ sample of the rows that may be learned from: the ``LANGS`` most frequent languag
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text
 if no row can be learned from; ties go to the smaller language name; a text of any length is read
-whole; repeated rows are predicted alike; an empty table gives no rows; other columns are ignored.
+whole; repeated rows are predicted alike; a null ``doc_id`` is predicted, never learned from and not
+held out; languages beyond the ``LANGS`` most frequent are not learned; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -268,4 +269,4 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = identify(docs, train(docs, "doc_id", "text", "lang"))
-    return got.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return got.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")

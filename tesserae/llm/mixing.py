@@ -6,12 +6,14 @@ Main path: DataFrame functions only; the driver plans on counts of sources, neve
   ``epochs`` times all words; source *s* gets ``min(max_repeat * size_s, level * weight_s)`` where the
   water level is the one that spends exactly the wanted words.
 * Blocks.  A document is cut into blocks of ``block_words`` words.  A source's blocks stand in an
-  order drawn by md5 of (seed, doc_id, block); whole passes take every block once, and a prefix of
+  order drawn by md5 of (seed, doc_id, block), or with the row's number for its id where rows share
+  one or have none; whole passes take every block once, and a prefix of
   the order supplies the rest of the target, to the nearest block.  That fixes each source's exact
   block quota.
 * Splitting tree.  The root holds the quotas of all sources.  A node with capacity for k output
   shards splits into halves; how many of each source's blocks go left is one multivariate
   hypergeometric draw, so every leaf has its exact size and every block is equally likely anywhere.
+  The tree's leaves are written as a table of the places that each shard takes.
 * Leaves.  A shard takes its count of each source as the next disjoint run of the permuted blocks,
   and orders what it got by a hash: a local shuffle.  These draws are written down, one row for each
   time a block is drawn; what a document gave is summed from them.
@@ -26,20 +28,24 @@ rows and repeated ids count as documents of their own; an empty table gives no r
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import BROADCAST_ROWS, materialise, table
+from tesserae.llm.common import BROADCAST_ROWS, materialise, remove_later, shared_dir, table
 
 WEIGHTS, EPOCHS, MAX_REPEAT, BLOCK_WORDS, SEED, SHARDS = (3, 1, 2), 1.5, 2, 1024, 17, 64
 #: Running sums are taken inside at most this many rows at once on average.
 BUCKET_ROWS = 20_000
 #: Blocks in an output shard, above ``SHARDS`` of them: a shard is sorted in one task.
 SHARD_BLOCKS = 250_000
+#: Things up to which a hypergeometric draw is exact, and cells of shards that the driver writes at once.
+EXACT_DRAWS, CELLS_AT_ONCE = 1_000_000_000, 100_000
 WORD = r"[^\x20\x09-\x0D]"
-#: The drawn order of a source's blocks; the last two only part the blocks of repeated ids.
+#: The drawn order of a source's blocks; keys differ, the rest only parts keys that clash.
 ORDER = ("_key", "doc_id", "block", "size", "_row")
 
 
@@ -74,21 +80,67 @@ def _ranked(rows: DataFrame, n_rows: int, add: str) -> DataFrame:
     return rows.join(sums, ["no", "_bucket"]).withColumn("_before", F.col("_in") + F.col("_s0")).withColumn("_rank", F.col("_at") + F.col("_c0")).drop("_in", "_at", "_s0", "_c0", "_bucket")
 
 
-def splitting_tree(quotas: list[int], shards: int, seed: int = SEED) -> list[list[int]]:
-    """Blocks of each source for each shard; rows are shards of (almost) equal size, column sums are the quotas."""
-    rng, out = np.random.default_rng(seed), []
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of ``draws`` are good; exact up to ``EXACT_DRAWS`` things, beyond that a normal draw of the same mean and variance, to the nearest count that can be."""
+    total = good + bad
+    if not good or not draws:
+        return 0
+    if total < EXACT_DRAWS:
+        return int(rng.hypergeometric(good, bad, draws))
+    share = good / total
+    spread = (draws * share * (1 - share) * ((total - draws) / max(1, total - 1))) ** 0.5
+    mean = draws * good // total  # whole numbers of any size; the fraction is far below the spread
+    return min(good, draws, max(0, draws - bad, mean + round(float(rng.standard_normal()) * spread)))
 
-    def split(counts: np.ndarray, n: int) -> None:
+
+def splitting_tree(quotas: list[int], shards: int, seed: int = SEED) -> Iterator[list[int]]:
+    """Blocks of each source for each shard, shard by shard; rows are shards of (almost) equal size, column sums are the quotas.
+
+    The tree is walked depth first, so no more than a path of it is held.
+    """
+    rng = np.random.default_rng(seed)
+
+    def split(counts: list[int], n: int) -> Iterator[list[int]]:
         if n == 1:
-            out.append([int(x) for x in counts])
+            yield counts
             return
-        total, half = int(counts.sum()), n // 2
-        left = rng.multivariate_hypergeometric(counts, total * half // n, method="marginals")
-        split(left, half)
-        split(counts - left, n - half)
+        rest, half = sum(counts), n // 2
+        draws, left = rest * half // n, []
+        for c in counts:  # a multivariate draw, source by source
+            rest -= c
+            left.append(hypergeometric(rng, c, rest, draws))
+            draws -= left[-1]
+        yield from split(left, half)
+        yield from split([c - x for c, x in zip(counts, left, strict=True)], n - half)
 
-    split(np.asarray(quotas, dtype=np.int64), max(1, shards))
-    return out
+    return split([int(q) for q in quotas], max(1, shards))
+
+
+def shard_cells(spark: SparkSession, quotas: dict[int, int], shards: int, seed: int) -> DataFrame:
+    """``no, cell, first, last, shard``: which places of a source's draws a shard takes, as a written table.
+
+    A cell is a run of places about as long as a shard's share, so a place meets few rows of its cell.  The driver
+    holds ``CELLS_AT_ONCE`` of them, however many sources and shards there are.
+    """
+    path, held = f"{shared_dir(spark).rstrip('/')}/tesserae/{uuid.uuid4().hex}", []
+
+    def write() -> None:
+        rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(held)), "array<struct<no:int,cell:long,first:long,last:long,shard:int>>")).alias("c"))
+        rows.select("c.*").write.mode("append").parquet(path)
+        held.clear()
+
+    done = dict.fromkeys(quotas, 0)
+    for shard, leaf in enumerate(splitting_tree(list(quotas.values()), shards, seed)):
+        for (no, quota), n in zip(quotas.items(), leaf, strict=True):
+            if n:
+                size, first, last = max(1, -(-quota // shards)), done[no], done[no] + n - 1
+                held.extend({"no": no, "cell": c, "first": first, "last": last, "shard": shard} for c in range(first // size, last // size + 1))
+                done[no] = last + 1
+        if len(held) >= CELLS_AT_ONCE:
+            write()
+    write()
+    remove_later(spark, path)
+    return spark.read.parquet(path)
 
 
 def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, block_words: int, seed: int, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -100,9 +152,16 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, block_wor
     sized = materialise(docs.select(row.alias("_row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")))
     sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
     sized = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    blocks = sized.filter("size > 0").select("_row", "doc_id", "no", "source_size", "target", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block_words).cast("int") - 1)).alias("block"))
+    again = materialise(sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again")))
+    n_again = again.count()
+    if n_again:  # ids that several rows share, or none: such rows are told apart by their number
+        named = sized.join(F.broadcast(again) if n_again <= BROADCAST_ROWS else again, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_again", F.col("_again").isNotNull())
+    else:
+        named = sized.withColumn("_again", F.lit(False))
+    blocks = named.filter("size > 0").select("_row", "_again", "doc_id", "no", "source_size", "target", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block_words).cast("int") - 1)).alias("block"))
     blocks = blocks.withColumn("words", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block").cast("long") * block_words))
-    blocks = blocks.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("block").cast("string"))))
+    name = F.when(F.col("_again"), F.concat(F.lit("row "), F.col("_row").cast("string"))).otherwise(F.col("doc_id").cast("string"))  # no two blocks share a name
+    blocks = blocks.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("block").cast("string"))))
     passes = F.floor(F.col("target") / F.col("source_size"))
     blocks = _ranked(blocks, blocks.count(), "words").withColumn("_passes", passes)
     rest = F.col("target") - F.col("_passes") * F.col("source_size")
@@ -113,20 +172,17 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, block_wor
 def draw(blocks: DataFrame, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
     """The draws of the blocks of :func:`plan`, written down: ``_row, doc_id, block, copy, words, shard, slot``."""
     blocks = materialise(blocks)
-    per = blocks.groupBy("no").agg(F.sum("takes").alias("quota"), F.count(F.lit(1)).alias("n")).orderBy("no").collect()  # one row a source
-    shards = max(shards, sum(r["quota"] for r in per) // SHARD_BLOCKS + 1)
-    drawn = np.array(splitting_tree([r["quota"] for r in per], shards, seed)) if per else np.zeros((shards, 0), np.int64)
-    runs = []
-    for r, ends in zip(per, drawn.cumsum(0).T, strict=True):
-        cell = max(1, -(-r["quota"] // shards))  # positions of a cell end in a shard or two, so few ends are looked at
-        runs.append({"no": r["no"], "n": r["n"], "cell": cell, "ends": ends.tolist(), "grid": np.searchsorted(ends, np.arange(r["quota"] // cell + 2) * cell, "right").tolist()})
-    runs = blocks.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(runs)), "array<struct<no:int,n:long,cell:long,ends:array<long>,grid:array<int>>>")).alias("r")).select("r.*")
-    drawn = blocks.filter("takes > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("takes") - 1))).join(F.broadcast(runs), "no")
-    drawn = drawn.withColumn("_at", F.col("_rank") + F.col("copy") * F.col("n"))
-    cell = F.floor(F.col("_at") / F.col("cell")).cast("int")
-    low, high = F.element_at("grid", cell + 1), F.element_at("grid", cell + 2)
-    shard = low + F.size(F.filter(F.slice("ends", low + 1, high - low), lambda end: end <= F.col("_at")))
-    drawn = drawn.select("_row", "doc_id", "block", "copy", "words", shard.alias("shard"), F.md5(F.concat_ws(":", F.lit(f"{seed}/shuffle"), "_key", F.col("copy").cast("string"))).alias("_draw"))
+    per = blocks.groupBy("no").agg(F.sum("takes").alias("quota"), F.count(F.lit(1)).alias("n")).orderBy("no")
+    per = materialise(per.filter("quota > 0"))
+    quotas = {r["no"]: r["quota"] for r in per.collect()}  # one row a source
+    shards = max(shards, sum(quotas.values()) // SHARD_BLOCKS + 1)
+    cells = shard_cells(blocks.sparkSession, quotas, shards, seed)
+    few = cells.count() <= BROADCAST_ROWS // 4
+    places = per.select("no", "n", F.ceil(F.col("quota") / shards).alias("_size"))
+    drawn = blocks.filter("takes > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("takes") - 1))).join(F.broadcast(places) if len(quotas) <= BROADCAST_ROWS else places, "no")
+    drawn = drawn.withColumn("_at", F.col("_rank") + F.col("copy") * F.col("n")).withColumn("cell", F.floor(F.col("_at") / F.greatest(F.col("_size"), F.lit(1))))
+    drawn = drawn.join(F.broadcast(cells) if few else cells, ["no", "cell"]).filter(F.col("_at").between(F.col("first"), F.col("last")))
+    drawn = drawn.select("_row", "doc_id", "block", "copy", "words", "shard", F.md5(F.concat_ws(":", F.lit(f"{seed}/shuffle"), "_key", F.col("copy").cast("string"))).alias("_draw"))
     return materialise(drawn.withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy("_draw", "doc_id", "block", "copy", "_row")) - 1).drop("_draw"))
 
 

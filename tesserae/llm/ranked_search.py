@@ -41,6 +41,8 @@ TOP = 50
 SHARD_POSTINGS = 1 << 21
 #: Queries that are answered together on a shard.
 BLOCK_QUERIES = 256
+#: Pairs of a shard and a block of queries that a task answers.
+TASK_SHARDS = 2
 #: Bits of a contribution in a merged number; the rest is the document's number in its shard.
 SCORE_BITS = 36
 
@@ -237,7 +239,8 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "item_id", text_c
         if held:
             yield answer()
 
-    together = hits.unionByName(sizes).repartition("shard", "block").sortWithinPartitions("shard", "block", "w")
+    tasks = max(1, shards.count() * blocks // TASK_SHARDS)  # searching costs more than its bytes tell
+    together = hits.unionByName(sizes).repartition(tasks, "shard", "block").sortWithinPartitions("shard", "block", "w")
     found = together.mapInArrow(frugal(run), f"item_id {kind}, doc_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())))
     return ranked.filter(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")

@@ -11,6 +11,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,11 +110,53 @@ def test_water_level(spark):
 
 
 def test_splitting_tree():
-    leaves = mixing.splitting_tree([7, 0, 25], 5)
+    leaves = list(mixing.splitting_tree([7, 0, 25], 5))
     assert [sum(c) for c in zip(*leaves, strict=True)] == [7, 0, 25]
     assert {sum(r) for r in leaves} <= {6, 7}
 
 
+def test_splitting_tree_of_many_blocks():
+    """Quotas beyond what numpy draws from; sums are exact and shards are alike."""
+    quotas = [10**11, 3 * 10**12, 0, 7, 10**9 + 1]
+    leaves = list(mixing.splitting_tree(quotas, 37))
+    assert [sum(c) for c in zip(*leaves, strict=True)] == quotas
+    assert {sum(r) for r in leaves} <= {sum(quotas) // 37, sum(quotas) // 37 + 1}
+    share = quotas[0] / sum(quotas)
+    assert all(abs(r[0] / sum(r) - share) < 1e-3 for r in leaves)
+    assert len({r[0] for r in leaves}) > 1
+
+
+def test_hypergeometric_large_like_exact(monkeypatch):
+    rng = np.random.default_rng(5)
+    exact = [mixing.hypergeometric(rng, 40_000, 60_000, 30_000) for _ in range(4000)]
+    monkeypatch.setattr(mixing, "EXACT_DRAWS", 0)
+    normal = [mixing.hypergeometric(rng, 40_000, 60_000, 30_000) for _ in range(4000)]
+    assert abs(np.mean(exact) - np.mean(normal)) < 5
+    assert abs(np.std(exact) / np.std(normal) - 1) < 0.06
+    assert [mixing.hypergeometric(rng, 3, 5, 8), mixing.hypergeometric(rng, 3, 0, 2), mixing.hypergeometric(rng, 0, 5, 2)] == [3, 2, 0]
+
+
+def test_cells_are_written_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELLS_AT_ONCE", 7)
+    rows = mixing.shard_cells(spark, {0: 100, 2: 9, 5: 1}, 8, 1).collect()
+    for no, quota in ((0, 100), (2, 9), (5, 1)):
+        places = sorted({(r["first"], r["last"]) for r in rows if r["no"] == no})
+        assert [p for a, b in places for p in range(a, b + 1)] == list(range(quota))
+        size = -(-quota // 8)
+        assert {(r["cell"], r["first"]) for r in rows if r["no"] == no} == {(c, a) for a, b in places for c in range(a // size, b // size + 1)}
+
+
+def test_mix_of_rows_without_ids(spark):
+    """Rows that share an id, or have none, are drawn one by one."""
+    df = spark.createDataFrame([(None if i % 2 else 7, " ".join(["w"] * 1500), "a") for i in range(300)] + [(8, "b c", "b")], "doc_id long, text string, source string")
+    blocks = mixing.plan(df, "doc_id", "text", "source", 1024, 1)[1]
+    assert blocks.select("_key").distinct().count() == blocks.count() == 601
+    got = mixing.taken(df).toPandas()
+    assert len(got) == 301
+    for size, part in got.groupby("source_size"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= mixing.BLOCK_WORDS, size
+
+
 def test_shards_grow_with_the_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_BLOCKS", 10)
     rng = random.Random(12)
@@ -335,19 +378,22 @@ def test_hnsw_recall_and_order(spark):
     assert got[got.query_id == 0].vec_id.tolist() == [700, 701, 702, 703, 704]
 
 
-def test_hnsw_recall_in_production(spark):
+def test_hnsw_recall_in_production(spark, tmp_path):
     """The query as it is registered, over a whole table of more than one shard."""
-    sf = "/root/testdata/check_s"
-    rows = sorted(tuple(r) for r in common.table(spark, sf, "embeddings").select("vec_id", "embedding").collect())
-    assert len(rows) > hnsw.SHARD_ROWS
-    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    got = QUERIES["op5_hnsw_search"](spark, sf).toPandas().groupby("query_id").vec_id.agg(set)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 24))
+    v = (centres[rng.integers(0, 60, hnsw.SHARD_ROWS + 2000)] + 0.6 * rng.standard_normal((hnsw.SHARD_ROWS + 2000, 24))).astype(np.float32)
+    ids = np.arange(len(v))
+    spark.createDataFrame(pa.table({"vec_id": ids, "embedding": list(v)})).write.parquet(f"{tmp_path}/embeddings.parquet")
+    d = v.astype(np.float64)
+    unit = d / np.linalg.norm(d, axis=1, keepdims=True)
+    got = QUERIES["op5_hnsw_search"](spark, str(tmp_path)).toPandas().groupby("query_id").vec_id.agg(set)
     hits = []
     for at in np.flatnonzero(ids % hnsw.EVERY == 0):
         s = np.round(unit @ unit[at], 12)
         s[at] = -9
         hits.append(len(set(ids[np.lexsort((ids, -s))[:5]].tolist()) & got[ids[at]]))
+    assert len(hits) > 200
     assert np.mean(hits) / 5 >= 0.9
 
 
@@ -536,6 +582,14 @@ def test_language_odd(spark, odd, empty):
     assert language_id.keep_known(odd).columns == odd.columns
 
 
+def test_language_null_ids(spark, odd, empty, tmp_path):
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    got = collect(QUERIES["op9_language_id"](spark, f"{tmp_path}/odd"), "doc_id", "held_out")
+    assert sorted(got, key=str) == sorted(((i, i is not None and zlib.crc32(str(i).encode()) % 3 == 1) for i, _ in ODD), key=str)
+    assert QUERIES["op9_language_id"](spark, f"{tmp_path}/none").collect() == []
+
+
 # --- quality --------------------------------------------------------------------------------------
 def test_quality_held_out(spark):
     """Labels that were never seen; on the real table both views teach each other."""
