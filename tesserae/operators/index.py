@@ -89,13 +89,47 @@ def matched_tables(tables: DataFrame, terms: Column, own: Column, least: int = 2
     return tables.withColumn("overlap", F.size(F.array_intersect(own, terms))).filter(F.col("overlap") >= least).orderBy(F.desc("overlap"), "char_start").limit(most)
 
 
-def artifact_votes(hits: DataFrame, least_hits: int = 2, dominance: float = 2.0, band: float = 0.5, most: int = 2) -> DataFrame:
-    """Documents that qualifier hits (doc_id, token, score) point to: the dominant one, or up to ``most`` within the band of the best."""
-    votes = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("score")).filter(F.col("hits") >= least_hits)
-    w = Window.orderBy(F.desc("hits"), F.desc("score"), "doc_id")
-    ranked = votes.withColumn("_r", F.row_number().over(w)).withColumn("_top", F.first("hits").over(w)).withColumn("_second", F.nth_value("hits", 2).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    alone = F.col("_second").isNull() | (F.col("_top") >= dominance * F.col("_second"))
-    return ranked.filter(F.when(alone, F.col("_r") == 1).otherwise((F.col("hits") >= band * F.col("_top")) & (F.col("_r") <= most))).select("doc_id", "hits", "score")
+#: Hits that make a document count, and those that do without its title; how far the first must lead; share of the first's hits that the others need; documents of a scope.
+LEAST_HITS, STRONG_HITS, DOMINANCE, BAND, SCOPE_DOCS = 2, 3, 2.0, 0.5, 2
+
+
+def artifact_scopes(hits: DataFrame, qualifiers: DataFrame) -> DataFrame:
+    """``ref_id, doc_ids, via``: the documents in which each named artifact lives; none where that is not sure.
+
+    ``hits`` (ref_id, token, doc_id, title, score) are the best chunks of one search for each token, so they are
+    few for each reference; ``qualifiers``: ref_id, tokens.  A document needs two hits.  One that has twice the
+    hits of the next one, or no next one, is dominant; else those with half of the first's hits that
+    name a token in the title or have three hits form a set, if they are no more than two.  A single
+    token must stand in the title of a chosen document, unless no other document has a hit.  Where a
+    chosen document's title names a token, others of that kind are added, up to two.
+    """
+    votes = hits.groupBy("ref_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("score"), F.min_by("title", F.struct("token", F.coalesce("title", F.lit("")))).alias("title"))
+    atoms = lambda t: F.regexp_extract_all(_folded(t), F.lit("[0-9a-z]+"), F.lit(0))
+    q = qualifiers.select("ref_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    voted = votes.join(q, "ref_id").withColumn("named", F.arrays_overlap(F.transform("tokens", _folded), atoms(F.coalesce("title", F.lit("")))))
+    row = F.struct((-F.col("hits")).alias("h"), (-F.col("score")).alias("s"), "doc_id", "named")
+    listed = voted.groupBy("ref_id").agg(F.sort_array(F.collect_list(row)).alias("_all"))
+    j = q.join(listed, "ref_id", "left").withColumn("_all", F.coalesce("_all", F.filter(F.array(F.lit(None).cast(listed.schema["_all"].dataType.elementType)), lambda x: x.isNotNull())))
+    j = j.withColumn("_d", F.filter("_all", lambda x: x["h"] <= -LEAST_HITS)).withColumn("_top", F.try_element_at("_d", F.lit(1))["h"])
+    alone = (F.size("_d") == 1) | (F.col("_top") <= DOMINANCE * F.try_element_at("_d", F.lit(2))["h"])
+    band = F.filter("_d", lambda x: (x["h"] <= F.least(F.lit(-LEAST_HITS), BAND * F.col("_top"))) & (x["named"] | (x["h"] <= -STRONG_HITS)))
+    j = j.withColumn("_alone", alone).withColumn("_band", band)
+    small = F.size("_band").between(1, SCOPE_DOCS)
+    base = F.when(F.col("_alone"), F.slice("_d", 1, 1)).when(small, F.col("_band"))
+    via = F.when(F.size("tokens") == 0, "none-no-qualifier").when(F.size("_d") == 0, "none-weak").when(F.col("_alone"), "dominant").when(small, "small-set").otherwise("none-spread")
+    j = j.withColumn("_base", base).withColumn("_via", via)
+    titled = F.exists("_base", lambda x: x["named"])
+    unsure = F.col("_via").isin("dominant", "small-set") & (F.size("tokens") == 1) & (F.size("_all") > 1) & ~titled
+    more = F.filter("_d", lambda x: x["named"] & ~F.array_contains(F.transform("_base", lambda b: b["doc_id"]), x["doc_id"]))
+    chosen = F.slice(F.transform(F.when(titled, F.concat("_base", more)).otherwise(F.col("_base")), lambda x: x["doc_id"]), 1, SCOPE_DOCS)
+    sure = F.col("_via").isin("dominant", "small-set") & ~unsure
+    return j.select("ref_id", F.when(sure, chosen).otherwise(F.slice(F.transform("_d", lambda x: x["doc_id"]), 1, 0)).alias("doc_ids"), F.when(unsure, "none-singletoken-ambiguous").otherwise(F.col("_via")).alias("via"))
+
+
+def _folded(token: Column) -> Column:
+    from tesserae.functions.text import fold
+
+    return fold(token)
 
 
 def dominant_route(scores: DataFrame, least: int = 2) -> DataFrame:

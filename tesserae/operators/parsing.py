@@ -49,17 +49,54 @@ def image_fraction(pages: DataFrame, figures: DataFrame) -> DataFrame:
     return pages.join(area, ["doc_id", "page"], "left").select("doc_id", "page", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("_a", F.lit(0.0)) / F.nullif(F.col("area"), F.lit(0.0)))).alias("fraction"))
 
 
-def route(chars_per_page: Column, image_share: Column, table_share: Column, pages: Column) -> Column:
-    """Type, confidence and need of text recognition of a document from its signals; the first rule that holds wins."""
-    rule = lambda kind, confidence, ocr: F.struct(F.lit(kind).alias("doc_type"), F.lit(confidence).alias("confidence"), F.lit(ocr).alias("needs_ocr"))
-    return (
-        F.when((chars_per_page < 50) & (image_share > 0.5), rule("scan", 0.95, True))
-        .when(chars_per_page < 50, rule("scan", 0.7, True))
-        .when((image_share > 0.4) & (chars_per_page < 800), rule("deck", 0.85, False))
-        .when(table_share > 0.3, rule("report", 0.8, False))
-        .when((pages >= 4) & (chars_per_page > 1500), rule("paper", 0.8, False))
-        .otherwise(rule("document", 0.6, False))
+#: Parts of producer names that mean a native text layer, and those that mean a scan.
+BORN_DIGITAL = (
+    "powerpoint", "keynote", "word", "pages", "openoffice", "libreoffice", "google docs", "google slides", "latex", "tex", "xetex", "lualatex",
+    "pandoc", "wkhtmltopdf", "chromium", "weasyprint", "prince", "acrobat distiller", "indesign", "quark",
+)
+SCANNERS = ("scanner", "omnipage", "abbyy", "readiris", "tesseract", "kofax", "capture", "scansoft", "iris")
+#: Share of image area, and of pages full of images, that make mixed content; aspect, letters and image area of a deck of slides.
+MIXED_AREA, MIXED_PAGES, DECK_ASPECT, DECK_CHARS, DECK_AREA = 0.35, 0.30, 1.3, 800.0, 0.20
+
+
+def route(signals: DataFrame) -> DataFrame:
+    """``signals`` with ``doc_type, confidence, tier, needs_ocr``; the first rule that holds wins.
+
+    Signals: creator, producer, chars_per_page, chars_p90, aspect, image_area (share), image_pages (share), empty_pages (share),
+    broken_chars (share), fonts, tagged, has_headings, has_tables, has_lists, has_code.
+    """
+    made_by = F.lower(F.concat_ws(" ", F.coalesce("creator", F.lit("")), F.coalesce("producer", F.lit(""))))
+    any_of = lambda names: F.exists(F.array(*map(F.lit, names)), lambda x: F.contains(made_by, x))
+    digital, scanned, chars, aspect = any_of(BORN_DIGITAL), any_of(SCANNERS), F.col("chars_per_page"), F.col("aspect")
+    mixed = (chars >= 50) & (F.col("image_area") >= MIXED_AREA) & (F.col("image_pages") >= MIXED_PAGES)
+    deck = (aspect >= DECK_ASPECT) & (chars >= 50) & ((chars < DECK_CHARS) | (F.col("image_area") >= DECK_AREA))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
+    bonus = 0.10 * yes("has_headings") + 0.05 * yes("has_tables") + 0.05 * yes("has_lists") + 0.05 * yes("has_code")
+    wide, tall = aspect >= 1.3, aspect < 1.0
+    density = F.least(F.lit(1.0), F.least(F.lit(0.85), chars / F.when(wide, 200.0).when(tall, 800.0).otherwise(400.0)) + bonus)
+
+    def rule(kind: str, confidence: float | Column, tier: str, ocr: bool | Column = False) -> Column:
+        return F.struct(F.lit(kind).alias("doc_type"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"), F.lit(tier).alias("tier"), (ocr if isinstance(ocr, Column) else F.lit(ocr)).alias("needs_ocr"))
+
+    def unless_mixed(kind: str, confidence: float | Column, tier: str, when: Column | None = None) -> Column:
+        return F.when(mixed if when is None else mixed & when, rule("mixed-content", 0.20, f"{tier}-mixed", True)).otherwise(rule(kind, confidence, tier))
+
+    told = (
+        F.when(deck & ~scanned, F.when(mixed, rule("slide-deck-mixed", 0.10, "0.5-slide-deck-mixed", True)).otherwise(rule("slide-deck", 0.10, "0.5-slide-deck")))
+        .when(digital & (chars >= 50), unless_mixed("born-digital", 0.98, "1.A"))
+        .when(scanned, rule("scan", 0.0, "1.B", True))
+        .when(digital, rule("born-digital-but-rasterised", 0.10, "1.C", True))
+        .when(F.coalesce("tagged", F.lit(False)) & (chars >= 80), unless_mixed("tagged-pdf", 0.90, "2"))
+        .when((F.col("fonts") >= 3) & (chars >= 80), unless_mixed("fonted-born-digital", 0.85, "2"))
+        .when((F.col("image_pages") > 0.5) & (chars < 100), rule("image-heavy", 0.15, "2", True))
+        .when(F.col("broken_chars") > 0.05, rule("mojibake", 0.10, "3"))
+        .when((chars < 10) & (F.col("chars_p90") < 30), rule("scan-like", 0.0, "3", True))
+        .when(F.col("empty_pages") > 0.5, rule("mostly-empty", 0.15, "3", True))
+        .when(wide, unless_mixed("slide", density, "4", density >= 0.5))
+        .when(tall, unless_mixed("paper", density, "4", density >= 0.5))
+        .otherwise(unless_mixed("unknown", density, "4", density >= 0.5))
     )
+    return signals.withColumn("_r", told).select(*signals.columns, "_r.*")
 
 
 def escalate(pages: DataFrame, least: float = 0.6, most_image: float = 0.5) -> DataFrame:
@@ -165,14 +202,29 @@ def section_groups(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id", title.alias("title")).agg(F.min("char_start").alias("pos"), F.sum(F.length("text")).alias("n_chars"))
 
 
+#: How the reasons of each step begin.
+REFUSAL_STARTS = (
+    ("assess-empty", "No relevant content found in the vault"),
+    ("assess-failclosed", "The sufficiency check failed"),
+    ("relevance", "The retrieved material addresses a related topic"),
+    ("verify-zero", "I drafted an answer but couldn't ground"),
+    ("compose-zero", "Verification returned no grounded claims"),
+    ("over-budget", "I exceeded my reasoning budget"),
+    ("catch-all", "I couldn't construct a confident answer"),
+)
+
+
 def refusal_cause(reason: Column) -> Column:
-    r = F.lower(reason)
-    return F.when(r.rlike("insufficient|not enough|no evidence"), "sufficiency").when(r.rlike("ungrounded|unsupported|not grounded"), "grounding").when(r.rlike("out of scope|out-of-scope|unrelated"), "scope").otherwise("other")
+    """The step that refused, by the beginning of its reason; any other text is the sufficiency model's own, and no reason means an answer."""
+    known = F.coalesce(*[F.when(F.startswith(reason, F.lit(start)), step) for step, start in REFUSAL_STARTS])
+    return F.when(F.coalesce(reason, F.lit("")) == "", "answered").otherwise(F.coalesce(known, F.lit("sufficiency-model")))
 
 
 def run_verdicts(runs: DataFrame) -> DataFrame:
-    """``query_id, verdict`` over several runs: always refused, never refused, or in between."""
-    return runs.groupBy("query_id").agg(F.when(F.bool_and("refused"), "always").when(F.bool_or("refused"), "sometimes").otherwise("never").alias("verdict"))
+    """``query_id, verdict`` over several runs (query_id, should_refuse, refused): any answer where a refusal is due is a false one; else all runs should answer."""
+    all_, any_ = F.bool_and(~F.col("refused")), F.bool_or(~F.col("refused"))
+    answerable = F.when(all_, "correct-answer").when(~any_, "FALSE-REFUSAL-deterministic").otherwise("FALSE-REFUSAL-flaky")
+    return runs.groupBy("query_id").agg(F.when(F.bool_or("should_refuse"), F.when(any_, "FALSE-ANSWER").otherwise("correct-refusal")).otherwise(answerable).alias("verdict"))
 
 
 def verify_verdicts(n_claims: Column, grounded: Column, contested: Column) -> Column:

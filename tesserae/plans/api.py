@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,10 +83,13 @@ class Corpus:
         who, docs = graph.profile(self.entities, self.mentions, name)
         ids = self.entities.filter(F.lower("name") == name.lower()).select("entity_id")
         attested = self.chunks.join(docs.filter("chunk_id IS NOT NULL").select("chunk_id"), "chunk_id", "left_semi").limit(k)
-        found = [r["doc_id"] for r in docs.limit(1000).collect()]
         if attested.isEmpty():
-            attested = self.search(name, k, found) if found else self.search(name, k)
+            attested = self.search(name, k) if docs.isEmpty() else self._within(docs).search(name, k)
         return {"profile": who, "mentions": docs, "cooccurring": graph.cooccurring(self.mentions, ids), "passages": attested}
 
+    def _within(self, docs: DataFrame) -> Corpus:
+        """The same with the chunks of some documents (doc_id); statistics are then those of these chunks."""
+        return replace(self, chunks=self.chunks.join(docs.select(F.col("doc_id").alias("document_id")).distinct(), "document_id", "left_semi"))
+
     def _one(self, doc: str) -> DataFrame:
         return self.mentions.sparkSession.range(1).select(F.lit(doc).alias("doc_id"))

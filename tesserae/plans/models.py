@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import content_tokens, lexical_overlap, tokens
+from tesserae.operators.patterns import named_spans
 
 
 def hashing_embedder(text: Column, dim: int = 64) -> Column:
@@ -45,10 +46,14 @@ def batched(function: Callable[[list[str]], list[float]], size: int = 32) -> Cal
 
 
 def extract_entities(chunks: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Default extractor: names of a dictionary (name, kind) of one token that stand in a chunk."""
-    words = chunks.select("doc_id", "chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t"))
-    names = dictionary.select("name", "kind", F.element_at(tokens(F.col("name")), 1).alias("t"))
-    return words.join(names, "t").select("doc_id", "chunk_id", "name", "kind", F.lit(0.95).alias("confidence"))
+    """Default extractor: names of a dictionary (name, kind) that stand in a chunk as whole words, leftmost and longest, with their spans.
+
+    ``doc_id, chunk_id, name, kind, confidence, char_start, char_end``: one row for each occurrence.  Chunks are told apart
+    by both ids; where rows share them the texts are searched one by one.
+    """
+    keyed = chunks.select(F.struct("doc_id", "chunk_id", F.xxhash64("text").alias("h")).alias("key"), "text").dropDuplicates(["key"])
+    found = named_spans(keyed, dictionary.select("name"))
+    return found.join(dictionary.select("name", "kind").distinct(), "name").select("key.doc_id", "key.chunk_id", "name", "kind", F.lit(0.95).alias("confidence"), F.col("start").alias("char_start"), F.col("end").alias("char_end"))
 
 
 @dataclass

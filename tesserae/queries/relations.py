@@ -109,16 +109,6 @@ def entity_dedupe(t):
     return out.select("kind", "name", "confidence", F.array_join("chunk_ids", ",").alias("chunks"))
 
 
-@query("""
-WITH c AS (SELECT p_partkey AS citation_id, list_distinct(string_split(lower(p_type), ' ')) AS tokens FROM part), d AS (SELECT min(p_partkey) AS doc_id, list_distinct(string_split(lower(p_name), ' ')) AS tokens FROM part GROUP BY lower(p_name))
-SELECT citation_id, doc_id, round(len(list_intersect(c.tokens, d.tokens)) / len(d.tokens)::DOUBLE, 4) AS score FROM c, d WHERE len(list_intersect(c.tokens, d.tokens)) / len(d.tokens)::DOUBLE >= 0.3
-QUALIFY row_number() OVER (PARTITION BY citation_id ORDER BY len(list_intersect(c.tokens, d.tokens)) / len(d.tokens)::DOUBLE DESC, doc_id) = 1""")
-def citation_resolution(t):
-    c = t.part.select(F.col("p_partkey").alias("citation_id"), F.split(F.lower("p_type"), " ").alias("tokens"))
-    d = t.part.groupBy(F.lower("p_name").alias("n")).agg(F.min("p_partkey").alias("doc_id")).select("doc_id", F.split("n", " ").alias("tokens"))
-    return graph.resolve_citations(c, d, 0.3)
-
-
 @query("""
 WITH d AS (SELECT c_nationkey AS series, c_custkey % 40 AS ordinal, min(c_custkey) AS target FROM customer GROUP BY 1, 2)
 SELECT DISTINCT c_custkey AS doc_id, lower(c_name) AS surface, target FROM customer JOIN d ON series = c_nationkey AND ordinal = c_custkey % 40 WHERE c_custkey <> target""")
@@ -275,22 +265,6 @@ def transcript_assembly(t):
     return parsing.transcript(t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("index"), (F.col("turn") * 75).alias("start_s"), "text"))
 
 
-@query("""
-SELECT l_orderkey AS doc_id, CASE WHEN bool_and(l_returnflag = 'R') THEN 'always' WHEN bool_or(l_returnflag = 'R') THEN 'sometimes' ELSE 'never' END AS verdict FROM lineitem GROUP BY 1""")
-def run_verdicts(t):
-    r = t.lineitem.select(F.col("l_orderkey").alias("query_id"), (F.col("l_returnflag") == "R").alias("refused"))
-    return parsing.run_verdicts(r).withColumnRenamed("query_id", "doc_id")
-
-
-@query("""
-WITH h AS (SELECT l_suppkey AS doc_id, count(*) AS hits, max(l_extendedprice) AS score FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT *, row_number() OVER (ORDER BY hits DESC, score DESC, doc_id) AS r, max(hits) OVER () AS top FROM h),
-z AS (SELECT hits AS second FROM r WHERE r = 2)
-SELECT doc_id, hits, score FROM r LEFT JOIN z ON true WHERE CASE WHEN second IS NULL OR top >= 2 * second THEN r = 1 ELSE hits >= 0.5 * top AND r <= 2 END""")
-def artifact_votes(t):
-    h = t.lineitem.filter("l_shipdate >= TIMESTAMP '1997-01-01'").select(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").alias("token"), F.col("l_extendedprice").alias("score"))
-    return index.artifact_votes(h)
-
-
 @query("""
 SELECT quality, toxic, count(*) AS docs, round(avg(n_chars), 4) AS mean_chars, round(avg((lang = 'en')::INT), 6) AS english FROM labels JOIN documents USING (doc_id) GROUP BY ALL""")
 def label_rates(t):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import align, evals, fulltext, graph, index, parsing, tablesql, vectors
+from tesserae.operators import evals, fulltext, graph, index, parsing, tablesql, vectors
 from tesserae.plans.api import Corpus
 from tesserae.plans.models import hashing_embedder
 from tesserae.sources import files, vault
@@ -135,15 +135,6 @@ def test_repair_is_unique(spark):
     assert dict(rows(evals.unique_min_repair(claims, known))) == {"d#abcd": "d#abcd", "d#abxx": None, "q": None}
 
 
-def test_alignment(spark):
-    eye = np.eye(4)
-    scores = np.stack([eye[0], eye[0] * 0.5 + eye[1] * 0.6, eye[2], eye[1] * 0.55 + eye[2] * 0.5, eye[3]])
-    assert align.viterbi(scores) == [0, 1, 2, 2, 3]
-    assert align.argmax_pages(np.array([[0.9, 0.1], [0.1, 0.1], [0.5, 0.5]])) == [0, None, 0]
-    t = spark.createDataFrame([("p", i, [float(x) for x in r]) for i, r in enumerate(eye)], "pair_id string, pos long, vector array<double>")
-    assert rows(align.align(t, t).orderBy("chunk_pos"), "page") == [(0,), (1,), (2,), (3,)]
-
-
 def test_formats(spark):
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
