@@ -12,9 +12,11 @@ words lie inside the passage.  Each window of ``MIN_WORDS`` words belongs to one
    is dropped.  This is only a filter: a chance meeting of hashes costs time, never a result.
 2. What is left is shipped with its words: those of all windows that belong to it, that is, up to
    ``STRETCH - 1`` words to the left of the suffix and ``MIN_WORDS`` words to the right.  It goes to the bucket of its head.
-3. In a bucket the suffixes, extended by every number of words to the left, are put in order by
-   naming words, then pairs of words, then pairs of pairs (prefix doubling), up to ``MIN_WORDS`` words.
-   Equal names are equal words.  Equal neighbours from different documents are matches.
+3. In a bucket the suffixes are sorted by their words: words are ranked, then pairs of words, then
+   pairs of pairs (prefix doubling).  Neighbours are compared by their common words.  They are
+   extended to the left word by word: suffixes part where their words differ, neighbours within a
+   part are compared again, and those of different documents with ``MIN_WORDS`` words in common, to
+   both sides together, are matches.
 4. A document's matched windows are united to maximal spans.
 
 Hot groups: equal texts are handled once, by the smallest id that has them, and their spans are
@@ -47,8 +49,8 @@ MIN_WORDS, GRAM, STRETCH = 50, 5, 32
 HEAD = MIN_WORDS - STRETCH + 1
 #: Bytes of a text's SHA-256 that tell texts apart.
 TEXT_BYTES = 12
-#: Buckets for each shuffle partition; a task holds one bucket at a time.
-BUCKETS = 4
+#: Buckets for each shuffle partition at least, and bytes of texts for each bucket at most; a task holds one bucket at a time.
+BUCKETS, BUCKET_BYTES = 4, 16 << 20
 _PRIME = 0x9E3779B97F4A7C15
 _ENTRY = np.dtype([("head", "<u8"), ("text", f"S{TEXT_BYTES}"), ("pos", "<i4")])
 _WORD = re.compile(r"\w+")
@@ -179,23 +181,62 @@ def repeated_heads(docs: DataFrame, min_words: int, gram: int, stretch: int, buc
     return dealt.mapInArrow(frugal(compare), "sha binary, pos int")
 
 
-def names(codes: np.ndarray, n: int) -> np.ndarray:
-    """One integer for the ``n`` words from each position: equal for equal words only, by naming pairs of names."""
+def ranks(codes: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Ranks of the 1, 2, 4, ... words from each position, and of the ``n`` words: smaller ranks for what stands earlier in the order of ``codes``, equal ones for equal words only.
+
+    Prefix doubling: a pair of ranks is ranked in turn.
+    """
     import pandas as pd
 
     def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         k = min(len(a), len(b))
-        return pd.factorize(a[:k].astype(np.int64) * (int(b.max(initial=0)) + 1) + b[:k])[0]
+        return pd.factorize(a[:k].astype(np.int64) * (int(b.max(initial=0)) + 1) + b[:k], sort=True)[0]
 
-    out, done, span, power = None, 0, 1, codes
+    out, done, span, tables = None, 0, 1, [codes]
     while span <= n:
         if n & span:
-            out = power if out is None else pair(out, power[done:])
+            out = tables[-1] if out is None else pair(out, tables[-1][done:])
             done += span
         span *= 2
         if span <= n:
-            power = pair(power, power[span // 2 :])
-    return out
+            tables.append(pair(tables[-1], tables[-1][span // 2 :]))
+    return tables, out
+
+
+def common(tables: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words from ``a`` and from ``b`` are the same, up to what the tables tell (at least the longest of them)."""
+    n = np.zeros(len(a), np.int64)
+    for j in range(len(tables) - 1, -1, -1):
+        n += (tables[j][a + n] == tables[j][b + n]).astype(np.int64) << j
+    return n
+
+
+def neighbours(codes: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(suffix, left)`` of windows that several documents hold.
+
+    A suffix begins at ``at``, may be extended by ``left[0]`` to ``left[1]`` words to the left, and has ``right`` words.  Suffixes are
+    sorted by their words and neighbours are compared.  For one more word to the left they part by that word,
+    within which the order to the right is the same, and need one word less in common to the right.
+    """
+    import pandas as pd
+
+    tables, order = ranks(np.concatenate([codes, np.zeros(4 * min_words, codes.dtype)]), min_words)
+    rank, part, found = order[at], np.zeros(len(at), np.int64), []
+    for l in range(int(left[1].max(initial=-1)) + 1):
+        if l:
+            has = left[1] >= l
+            part[has] = pd.factorize(part[has] * (int(codes.max(initial=0)) + 1) + codes[at[has] - l])[0]
+        i = np.flatnonzero((left[0] <= l) & (l <= left[1]))
+        i = i[np.lexsort((rank[i], part[i]))]
+        if not len(i):
+            continue
+        same = common(tables, at[i[1:]], at[i[:-1]])
+        same = (part[i[1:]] == part[i[:-1]]) & (np.minimum(same, np.minimum(right[i[1:]], right[i[:-1]])) >= min_words - l)
+        run = np.flatnonzero(np.concatenate([[True], ~same]))
+        several = np.minimum.reduceat(low[i], run) != np.maximum.reduceat(high[i], run)
+        i = i[np.repeat(several, np.diff(np.append(run, len(i))))]
+        found.append((i, np.full(len(i), l)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _pack(t: pa.RecordBatch) -> bytes:
@@ -206,7 +247,7 @@ def _pack(t: pa.RecordBatch) -> bytes:
 
 
 _FOUND = pa.schema([("sha", pa.binary()), ("a", pa.int32()), ("b", pa.int32())])
-_CONTEXT = pa.schema([("sha", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("start", pa.int32()), ("words", pa.string())])
+_CONTEXT = pa.schema([("sha", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("start", pa.int32()), ("words", pa.string()), ("suffix", pa.int32())])
 
 
 def matches(docs: DataFrame, min_words: int, gram: int, stretch: int, buckets: int) -> DataFrame:
@@ -228,17 +269,17 @@ def matches(docs: DataFrame, min_words: int, gram: int, stretch: int, buckets: i
                     k, n = int(begin[i]), int(count[i]) + min_words - 1
                     context = " ".join(words[k : k + n])
                     same.setdefault(context, []).append(len(rows))
-                    rows.append((sha, low, high, k, context, n))
+                    rows.append((sha, low, high, k, context, int(pos[i]) - k, n))
                     heads.append(int(keys[pos[i]]))
             send, at = [], []
             for group in same.values():
                 low, high = min(rows[i][1] for i in group), max(rows[i][2] for i in group)
                 if low != high:  # the batch itself holds it twice: one row speaks for them
-                    found += [(rows[i][0], rows[i][3], rows[i][3] + rows[i][5]) for i in group]
-                    send.append((None, low, high, 0, rows[group[0]][4]))
+                    found += [(rows[i][0], rows[i][3], rows[i][3] + rows[i][6]) for i in group]
+                    send.append((None, low, high, 0, *rows[group[0]][4:6]))
                     at.append(heads[group[0]] // 2**20 % buckets)
                 else:
-                    send += [rows[i][:5] for i in group]
+                    send += [rows[i][:6] for i in group]
                     at += [heads[i] // 2**20 % buckets for i in group]
             order = sorted(range(len(at)), key=at.__getitem__)
             cut = _groups(np.array([at[i] for i in order], np.int64)).tolist()
@@ -253,18 +294,19 @@ def matches(docs: DataFrame, min_words: int, gram: int, stretch: int, buckets: i
     def answer(blobs: list[bytes]) -> pa.RecordBatch:
         t = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in blobs]).combine_chunks()
         split = pc.split_pattern(t.column("words"), " ").combine_chunks()
-        codes = split.flatten().dictionary_encode().indices.to_numpy()
+        words = split.flatten().dictionary_encode()
+        place = np.empty(len(words.dictionary), np.int64)
+        place[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(1, len(words.dictionary) + 1)
+        codes = place[words.indices.to_numpy()]
         offsets = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
-        count = np.diff(offsets) - (min_words - 1)
-        row = np.repeat(np.arange(len(count)), count)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        name = names(codes, min_words)[offsets[row] + inside]
-        low, high, start = (t.column(c).to_numpy() for c in ("low", "high", "start"))
-        least, most = np.full(int(name.max()) + 1, np.iinfo(np.int64).max), np.full(int(name.max()) + 1, np.iinfo(np.int64).min)
-        np.minimum.at(least, name, low[row])
-        np.maximum.at(most, name, high[row])
-        hit = (least[name] != most[name]) & np.asarray(t.column("sha").is_valid())[row]
-        row, inside = row[hit], inside[hit]
+        low, high, start, suffix = (t.column(c).to_numpy() for c in ("low", "high", "start", "suffix"))
+        suffix, length = suffix.astype(np.int64), np.diff(offsets)
+        least = np.maximum(0, suffix - (length - min_words))  # the last window of the context
+        row, left = neighbours(codes, offsets[:-1] + suffix, (least, suffix), length - suffix, low, high, min_words)
+        known = np.asarray(t.column("sha").is_valid())[row]
+        row, inside = row[known], suffix[row[known]] - left[known]
+        order = np.lexsort((inside, row))
+        row, inside = row[order], inside[order]
         edge = _groups(row)  # windows of one suffix overlap, so they unite to one stretch
         last = (np.append(edge[1:], len(row)) - 1)[: len(edge)]
         return pa.RecordBatch.from_arrays([t.column("sha").take(pa.array(row[edge])).combine_chunks(), pa.array((start[row[edge]] + inside[edge]).astype(np.int32)), pa.array((start[row[edge]] + inside[last] + min_words).astype(np.int32))], schema=_FOUND)
@@ -284,10 +326,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType
     if not isinstance(kind, IntegralType):
         raise ValueError("ids must be whole numbers")
-    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     texts = texts.withColumn("sha", F.substring(F.unhex(F.sha2("text", 256)), 1, TEXT_BYTES))
-    ids = materialise(texts.select("doc_id", "sha"))
+    ids = materialise(texts.select("doc_id", "sha", F.octet_length("text").alias("bytes")))
+    size = ids.agg(F.sum("bytes")).first()[0] or 0
+    ids = ids.drop("bytes")
+    buckets = max(BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
     groups = ids.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     at = repeated_heads(texts, min_words, gram, stretch, buckets).groupBy("sha").agg(F.collect_set("pos").alias("at"))  # bounded by a text's length
     wanted = materialise(groups.join(at, "sha", "left").filter("at IS NOT NULL OR low <> high"))

@@ -519,12 +519,36 @@ def test_passages_equal_brute_force(spark, batch):
     assert set(got) == brute_spans(rows)
 
 
-def test_names_are_exact():
+def test_suffixes_are_ranked_and_compared():
     rng = np.random.default_rng(3)
-    codes = rng.integers(0, 2, 400)
+    codes = rng.integers(1, 3, 400)
     for n in (1, 2, 7, 50):
-        got, wanted = suffix_dedup.names(codes, n), [tuple(codes[k : k + n]) for k in range(400 - n + 1)]
-        assert len({(int(g), w) for g, w in zip(got, wanted, strict=False)}) == len(set(wanted)) == len(set(got[: len(wanted)].tolist()))
+        tables, got = suffix_dedup.ranks(codes, n)
+        wanted = [tuple(codes[k : k + n].tolist()) for k in range(400 - n + 1)]
+        order = {w: r for r, w in enumerate(sorted(set(wanted)))}
+        assert [order[w] for w in wanted] == np.unique(got[: len(wanted)], return_inverse=True)[1].tolist()
+    tables, _ = suffix_dedup.ranks(np.concatenate([codes, np.zeros(200, codes.dtype)]), 50)
+    a, b = rng.integers(0, 350, (2, 500))
+    wanted = [next((k for k in range(50) if codes[i + k] != codes[j + k]), 50) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert np.minimum(suffix_dedup.common(tables, a, b), 50).tolist() == wanted
+
+
+def test_neighbours_equal_brute_force():
+    """Windows of 8 words around suffixes, of which each document has several."""
+    rng = np.random.default_rng(8)
+    codes, n = rng.integers(1, 3, 600), 8
+    at = np.arange(10, 580, 7)
+    left = (np.maximum(0, rng.integers(-3, 3, len(at))), rng.integers(2, 6, len(at)))
+    right = rng.integers(8, 14, len(at))
+    right = np.maximum(right, n - left[0])
+    doc = rng.integers(0, 25, len(at))
+    got = set(zip(*(x.tolist() for x in suffix_dedup.neighbours(codes, at, left, right, doc, doc, n)), strict=True))
+    held = collections.defaultdict(list)
+    for i, p in enumerate(at.tolist()):
+        for l in range(int(left[0][i]), int(left[1][i]) + 1):
+            held[(l, tuple(codes[p - l : p - l + n].tolist()))].append((i, l))
+    assert got == {x for group in held.values() if len({int(doc[i]) for i, _ in group}) > 1 for x in group}
+    assert len(got) > 50
 
 
 def test_passages_odd(odd, empty):
