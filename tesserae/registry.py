@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.queries import relations, rulings, search, stored, texts, wording  # noqa: F401
+from tesserae.queries import evaluations, relations, rulings, search, stored, texts, wording  # noqa: F401
 from tesserae.queries.base import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
