@@ -14,18 +14,22 @@ _HEDGES = ", ".join(f"'{h}'" for h in evals.HEDGES)
 _TITLES = ["## **Table of Contents**", "1.2 Foreword", "Appendix A: Glossary", "IV. References", "3.1 Results", "Contents of the box", "*Notices*", "Variations", "List of Figures", "12 Keywords"]
 
 
-@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(lower(trim(substr(text, 1, 80))), '[^\p{L}\p{N}\s-]', '', 'g'), '[\s-]+', '-', 'g') AS slug FROM conversations""")
+@query(r"""
+WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM conversations)
+SELECT conv_id, turn, pos::INT AS pos, regexp_replace(regexp_replace(lower(trim(line)), '[^\p{L}\p{N}\s-]', '', 'g'), '[\s-]+', '-', 'g') AS slug FROM l""")
 def heading_slugs(t):
-    return t.conversations.select("conv_id", "turn", T.slugify_heading(F.substring("text", 1, 80)).alias("slug"))
+    """The slug of every line."""
+    lines = t.conversations.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("conv_id", "turn", "pos", T.slugify_heading(F.col("line")).alias("slug"))
 
 
 @query(r"""
-WITH l AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 n AS (SELECT *, len(list_filter(regexp_split_to_array(trim(line), '\s+'), lambda w: w <> '')) AS n FROM l)
-SELECT doc_id, n > 15 OR (n >= 4 AND regexp_matches(rtrim(line), '[.!?]$')) AS prose FROM n""")
+SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE n > 15 OR (n >= 4 AND regexp_matches(rtrim(line), '[.!?]$'))) AS prose FROM n GROUP BY doc_id""")
 def prose_lines(t):
-    line = F.split_part("text", F.lit("\n"), F.lit(1))
-    return t.documents.select("doc_id", rules.reads_as_prose(line).alias("prose"))
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count(F.when(rules.reads_as_prose(F.col("line")), 1)).alias("prose"))
 
 
 @query(r"""SELECT p_partkey, lower(trim(regexp_replace('  ' || upper(p_name) || chr(9) || p_brand || ' ', '\s+', ' ', 'g'))) AS name FROM part""")
@@ -43,29 +47,36 @@ def hedging(t):
 
 
 @query(r"""
-WITH a AS (SELECT conv_id, turn, lower(CASE turn % 4 WHEN 0 THEN 'I cannot answer: ' || substr(text, 1, 60) WHEN 1 THEN 'No grounded answer. ' || text ELSE text END) AS x FROM conversations)
+WITH a AS (SELECT conv_id, turn, lower(CASE turn % 4 WHEN 0 THEN 'I cannot answer: ' || text WHEN 1 THEN 'No grounded answer. ' || text ELSE text END) AS x FROM conversations)
 SELECT conv_id, turn, conv_id % 2 = 0 AND (x LIKE '%i cannot answer%' OR x LIKE '%no grounded answer%')
   AND len(string_split(trim(regexp_replace(x, '\s+', ' ', 'g')), ' ')) < 40 AS refused FROM a""")
 def unexpected_refusals(t):
-    text = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("I cannot answer: "), F.substring("text", 1, 60))).when(F.col("turn") % 4 == 1, F.concat(F.lit("No grounded answer. "), F.col("text"))).otherwise(F.col("text"))
+    text = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("I cannot answer: "), F.col("text"))).when(F.col("turn") % 4 == 1, F.concat(F.lit("No grounded answer. "), F.col("text"))).otherwise(F.col("text"))
     return t.conversations.select("conv_id", "turn", evals.unexpected_refusal(text, F.col("conv_id") % 2 == 0).alias("refused"))
 
 
-@query(
-    "SELECT doc_id, title, title IN ('## **Table of Contents**', '1.2 Foreword', 'Appendix A: Glossary', 'IV. References', '*Notices*', 'List of Figures', '12 Keywords') AS front"
-    f" FROM (SELECT doc_id, [{', '.join(repr(x) for x in _TITLES)}][CAST(doc_id % {len(_TITLES)} + 1 AS INT)] AS title FROM documents)"
-)
+@query(rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+x AS (SELECT doc_id, line, [{', '.join(repr(x) for x in _TITLES)}][CAST((pos + doc_id) % {len(_TITLES)} + 1 AS INT)] AS title FROM l),
+n AS (SELECT doc_id, [title, line, split_part(title, ' ', 1) || ' ' || line] AS titles FROM x),
+u AS (SELECT doc_id, unnest(titles) AS title FROM n),
+b AS (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(trim(title), '^[*# ]+|[*# ]+$', '', 'g'), '(?i)^(appendix\s+[a-z0-9]+|[0-9ivxlc]+(\.[0-9]+)*)[\s.):—–-]+', ''), '^[*#:—– .]+|[*#:—– .]+$', '', 'g'))) AS bare FROM u)
+SELECT doc_id, count(*) AS titles, count(*) FILTER (WHERE bare IN ({', '.join(repr(x) for x in parsing.FRONT_MATTER)})) AS front FROM b GROUP BY doc_id""")
 def front_matter(t):
-    title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("doc_id") % len(_TITLES) + 1).cast("int"))
-    return t.documents.select("doc_id", title.alias("title")).withColumn("front", parsing.is_front_matter(F.col("title")))
+    """Every line of a document as a title, alone and behind the number of another, beside ten others in turn."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    other = F.element_at(F.array(*map(F.lit, _TITLES)), ((F.col("pos") + F.col("doc_id")) % len(_TITLES) + 1).cast("int"))
+    titles = lines.select("doc_id", F.explode(F.array(other, "line", F.concat_ws(" ", F.split_part(other, F.lit(" "), F.lit(1)), "line"))).alias("title"))
+    return titles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("titles"), F.count(F.when(parsing.is_front_matter(F.col("title")), 1)).alias("front"))
 
 
 @query(r"""
-SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(lower(split_part(text, ' ', 1) || '-l''' || split_part(text, ' ', 2)), '[-''’]'),
-  lambda p: regexp_replace(p, '[^0-9a-zàâäçéèêëîïôöùûüÿœæ]', '', 'g')), lambda p: p <> ''), '|') AS atoms FROM documents""")
+WITH a AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(replace(text, ' ', '-l' || chr(39))), '[-''’]'), lambda p: regexp_replace(p, '[^0-9a-zàâäçéèêëîïôöùûüÿœæ]', '', 'g')), lambda p: p <> '') AS atoms FROM documents)
+SELECT doc_id, len(atoms)::INT AS n_atoms, sha256(array_to_string(atoms, '|')) AS atoms_sha256 FROM a""")
 def word_atoms(t):
-    word = F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit("-l'"), F.split_part("text", F.lit(" "), F.lit(2)))
-    return t.documents.select("doc_id", F.array_join(T.atomise(word), "|").alias("atoms"))
+    """The atoms of a whole text, whose words are joined by elisions."""
+    atoms = T.atomise(F.replace("text", F.lit(" "), F.lit("-l'")))
+    return t.documents.select("doc_id", atoms.alias("a")).select("doc_id", F.size("a").alias("n_atoms"), F.sha2(F.array_join("a", "|"), 256).alias("atoms_sha256"))
 
 
 @query(f"""
@@ -76,8 +87,8 @@ def telling_terms(t):
 
 
 @query(r"""
-WITH w AS (SELECT conv_id, turn, regexp_replace(CASE turn % 3 WHEN 0 THEN split_part(text, ' ', 1) ELSE split_part(text, ' ', 2) END, '^\s+|\s+$', '', 'g') AS w FROM conversations)
-SELECT conv_id, turn, regexp_matches(w, '^[A-Za-z0-9.+-]{2,7}$') AND regexp_matches(w, '[A-Za-z]') AND (regexp_matches(w, '[A-Z]') OR length(w) <= 6) AS acronym FROM w""")
+WITH w AS (SELECT conv_id, turn, regexp_replace(unnest(string_split(text, ' ')), '^\s+|\s+$', '', 'g') AS w FROM conversations)
+SELECT conv_id, turn, count(*) AS words, count(*) FILTER (WHERE regexp_matches(w, '^[A-Za-z0-9.+-]{2,7}$') AND regexp_matches(w, '[A-Za-z]') AND (regexp_matches(w, '[A-Z]') OR length(w) <= 6)) AS acronyms FROM w GROUP BY 1, 2""")
 def acronym_shapes(t):
-    word = F.when(F.col("turn") % 3 == 0, F.split_part("text", F.lit(" "), F.lit(1))).otherwise(F.split_part("text", F.lit(" "), F.lit(2)))
-    return t.conversations.select("conv_id", "turn", T.looks_like_acronym(word).alias("acronym"))
+    words = t.conversations.select("conv_id", "turn", F.explode(F.split("text", " ")).alias("w"))
+    return words.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("words"), F.count(F.when(T.looks_like_acronym(F.col("w")), 1)).alias("acronyms"))
