@@ -166,10 +166,16 @@ def headroom(winners: Column, expansion: Column, pool: Column, gold: Column) ->
     return F.when(F.arrays_overlap(winners, gold), "winners").when(F.arrays_overlap(expansion, gold), "expansion").when(F.arrays_overlap(pool, gold), "pool").otherwise("missed")
 
 
+#: Ids of the evidence of one answer.
+MOST_IDS = 10_000
+
+
 def unique_min_repair(claims: DataFrame, ids: DataFrame, most: int = 2) -> DataFrame:
     """Claimed ids mended: exact, else the one id that ends in the claim, else the one nearest id within ``most`` edits."""
-    c = claims.select("claim_id").distinct()
-    j = c.join(F.broadcast(ids.select("chunk_id").distinct()), F.lit(True))  # ids of one answer's evidence: a few dozen
+    c, known = claims.select("claim_id").distinct(), ids.select("chunk_id").distinct()
+    if known.count() > MOST_IDS:
+        raise ValueError(f"claims are mended against one answer's evidence, of at most {MOST_IDS} ids")
+    j = c.join(F.broadcast(known), F.lit(True))
     d = F.levenshtein("claim_id", "chunk_id", most)
     kind = F.when(F.col("claim_id") == F.col("chunk_id"), 0).when(F.endswith(F.col("chunk_id"), F.col("claim_id")) & (F.length("claim_id") > 3), 1).when(d >= 0, 1 + d)
     j = j.withColumn("cost", kind).filter("cost IS NOT NULL")

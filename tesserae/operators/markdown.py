@@ -404,7 +404,7 @@ def collapse_repeats(body: str) -> str:
 
 
 def normalize_levels(body: str) -> str:
-    """Heading levels from section numbers (1.2.3 is one deeper than its count), and no level skipped."""
+    """Heading levels from section numbers (1.2.3 is one deeper than its count), and no level skipped; code fences stay as they are."""
     previous = 0
 
     def level(m: re.Match) -> str:
@@ -418,7 +418,15 @@ def normalize_levels(body: str) -> str:
         previous = min(n, previous + 1, 6) if previous else min(n, 6)
         return "#" * previous + " " + text
 
-    return HEADING.sub(level, body)
+    out, fence = [], ""
+    for line in body.split("\n"):
+        mark = re.match(r"^ {0,3}(```+|~~~+)", line)
+        if mark and (not fence or mark[1].startswith(fence)):
+            fence = "" if fence else mark[1]
+            out.append(line)
+        else:
+            out.append(line if fence else HEADING.sub(level, line))
+    return "\n".join(out)
 
 
 def reads_as_prose(line: str) -> bool:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.topk import numbered
+
+#: Queries of a block, and queries whose vectors are sent to every task.
+QUERY_BLOCK, BROADCAST_QUERIES = 64, 20_000
 RRF_K = 60
 
 
@@ -38,9 +42,16 @@ def dense_topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "ve
 
 
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``query_id, id, distance, rank`` for a stated set of queries (query_id, vector) against all rows."""
-    pairs = vectors.select(id_col, vector_col).crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("_q"))))
-    scored = pairs.select("query_id", id_col, l2(F.col(vector_col), F.col("_q")).alias("distance"))
+    """``query_id, id, distance, rank`` for a stated set of queries (query_id, vector) against all rows.
+
+    The queries are counted; blocks of ``QUERY_BLOCK`` of them meet all rows, one block after the other in a task, and
+    are broadcast only up to ``BROADCAST_QUERIES``.
+    """
+    n = queries.count()
+    asked = queries.select("query_id", F.col("vector").alias("_q"), F.pmod(F.xxhash64("query_id"), F.lit(n // QUERY_BLOCK + 1)).alias("_b"))
+    blocks = asked.groupBy("_b").agg(F.collect_list(F.struct("query_id", "_q")).alias("_block")).drop("_b")
+    pairs = vectors.select(id_col, vector_col).join(F.broadcast(blocks) if n <= BROADCAST_QUERIES else blocks, F.lit(True)).select(id_col, vector_col, F.explode("_block").alias("x"))
+    scored = pairs.select("x.query_id", id_col, l2(F.col(vector_col), F.col("x._q")).alias("distance"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))).filter(F.col("rank") <= k)
 
 
@@ -65,14 +76,14 @@ def hybrid(dense: DataFrame, lexical: DataFrame, k: int, id_col: str = "chunk_id
 
 def demote(ranked: DataFrame, low: Column) -> DataFrame:
     """Rows where ``low`` holds move behind all others, the order is kept otherwise."""
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(low.cast("int"), "rank")))
+    return numbered(ranked.withColumn("_low", low.cast("int")).withColumnRenamed("rank", "_was"), ["_low", "_was"], "rank").drop("_low", "_was")
 
 
 def carry(ranked: DataFrame, prior: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """Appends prior ids that are not there yet, in their order, behind the ranking."""
     last = ranked.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("_last"))
-    more = prior.join(ranked.select(id_col), id_col, "left_anti").crossJoin(F.broadcast(last))
-    more = more.select(id_col, (F.col("_last") + F.row_number().over(Window.orderBy("rank", id_col))).alias("rank"))
+    more = numbered(prior.join(ranked.select(id_col), id_col, "left_anti").select(id_col, F.col("rank").alias("_was")), ["_was", id_col], "_at")
+    more = more.crossJoin(F.broadcast(last)).select(id_col, (F.col("_last") + F.col("_at")).alias("rank"))
     return ranked.select(id_col, "rank").unionByName(more)
 
 
@@ -89,7 +100,7 @@ def ordered_union(parts: list[DataFrame], id_col: str, pos_col: str = "pos") ->
         one = p.select(id_col, F.struct(F.lit(i).alias("part"), F.col(pos_col).cast("long").alias("pos")).alias("_at"))
         every = one if every is None else every.unionByName(one)
     first = every.groupBy(id_col).agg(F.min("_at").alias("_at"))
-    return first.select(id_col, (F.row_number().over(Window.orderBy("_at")) - 1).alias(pos_col))
+    return numbered(first, ["_at"], pos_col, 0).select(id_col, pos_col)
 
 
 def round_robin(rows: DataFrame, group_col: str, order_col: str, last: Column, limit: int) -> DataFrame:
