@@ -8,7 +8,9 @@ of fewer words is one shingle).  Documents with equal sets are one *node* with a
   their full length and are shortened by one value at a time.  At each length the groups propose
   pairs, which are verified; from the exact similarities *s* of the links found, each of which this
   length finds with the known probability ``1 - (1 - s**d)**trees``, follows how many links were
-  missed.  Shortening ends when the estimated recall reaches ``recall``, or at ``MIN_DEPTH``.
+  missed.  Shortening ends when the estimated recall reaches ``recall``; where no link was found, when
+  links of just the threshold would be found with that probability.  A threshold for which one value
+  is still too long is refused.
 * Candidates.  Every group ties its nodes to its smallest one (a star, never all pairs).  The
   connected parts of these stars hold every proposed pair; a node's shingles are shipped for its
   part, not once for each tree, and only for parts that grew since the last length.
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import frugal, materialise, read_words, semi_join, table, without_copies
 
-WORDS, THRESHOLD, TREES, MAX_DEPTH, MIN_DEPTH, RECALL, SEED = 5, (4, 5), 20, 6, 3, 0.9995, 11
+WORDS, THRESHOLD, TREES, MAX_DEPTH, RECALL, SEED = 5, (4, 5), 20, 6, 0.9995, 11
 #: Shingles and nodes in a block; a task compares two blocks.
 BLOCK_SHINGLES, BLOCK_NODES = 1_500_000, 4096
 #: Similarities of links are counted in so many equal steps up to 1.
@@ -43,10 +45,15 @@ STEPS = 20
 
 
 def estimated_recall(bins: list[int], depth: int, threshold: float, trees: int = TREES) -> float:
-    """Share of the links that prefixes of ``depth`` find, judged by the similarities of those found (each link stands for 1 / its probability)."""
+    """Share of the links that prefixes of ``depth`` find, judged by the similarities of those found (each link stands for 1 / its probability); where none was found, the least that it can be."""
     s = threshold + (1 - threshold) * np.arange(len(bins)) / len(bins)  # the lower edge of each step
     all_links = float((np.array(bins) / (1 - (1 - s**depth) ** trees)).sum())
-    return sum(bins) / all_links if all_links else 1.0
+    return sum(bins) / all_links if all_links else least_recall(threshold, depth, trees)
+
+
+def least_recall(threshold: float, depth: int, trees: int = TREES) -> float:
+    """The probability with which prefixes of ``depth`` find a link of just the threshold's similarity."""
+    return 1 - (1 - threshold**depth) ** trees
 
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -261,6 +268,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the documents with the same shingles; ``n_links`` counts the other documents of similarity
     ``threshold`` or more, copies included, ``n_linked_texts`` the other shingle sets.
     """
+    if least_recall(threshold[0] / threshold[1], 1, trees) < recall:
+        raise ValueError("even prefixes of one value miss too many links: take more trees")
     base = materialise(nodes_of(docs, id_col, text_col, words, trees, max_depth))
     base, bare = base.filter("n > 0 AND doc_id IS NOT NULL"), base.filter("n = 0 OR doc_id IS NULL")
     nodes = base.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
@@ -268,7 +277,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     twigs = nodes.select("u", F.posexplode("labels").alias("tree", "label"))
     texts = docs.select(F.col(id_col).alias("copy_id"), F.col(text_col).alias("text"))
     found = old = parts = None
-    for depth in range(max_depth, min(MIN_DEPTH, max_depth) - 1, -1):
+    for depth in range(max_depth, 0, -1):
         cut = twigs.select("u", "tree", F.substring("label", 1, 4 * depth).alias("prefix"))
         forks = materialise(cut.groupBy("tree", "prefix").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("tree", "prefix", "v"))
         parts = join_parts(parts, cut.join(forks, ["tree", "prefix"]).filter("u <> v").select("u", "v").distinct())

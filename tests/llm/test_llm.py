@@ -428,7 +428,8 @@ def brute_links(rows):
 
 
 def test_estimated_recall():
-    assert minhash_join.estimated_recall([0] * 20, 6, 0.8) == 1
+    assert minhash_join.estimated_recall([0] * 20, 6, 0.8) == minhash_join.least_recall(0.8, 6) < 0.998
+    assert minhash_join.least_recall(0.8, 5) > minhash_join.RECALL
     assert minhash_join.estimated_recall([0] * 19 + [5], 6, 0.8) > 0.999999
     assert abs(minhash_join.estimated_recall([7] + [0] * 19, 5, 0.8) - (1 - (1 - 0.8**5) ** 20)) < 1e-12
 
@@ -462,6 +463,30 @@ def test_jaccard_join_equals_brute_force(spark, block):
     assert got == brute_links(rows)
 
 
+def test_prefixes_are_shortened_until_all_is_found(spark, monkeypatch):
+    """Links near the threshold, which long prefixes miss, beside parts that do not grow from one length to the next."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(260)]
+        for _ in range(8):
+            words = list(base)
+            for at in rng.sample(range(260), 4):  # each costs five shingles of about 256
+                words[at] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(500 + i, " ".join(f"u{i}_{k}" for k in range(30 + i))) for i in range(20)]
+    rows += [(600 + i, rows[0][1]) for i in range(5)]
+    lengths, verify = [], minhash_join.verify
+    monkeypatch.setattr(minhash_join, "verify", lambda *a, **b: lengths.append(1) or verify(*a, **b))
+    got = {r[0]: tuple(r[1:]) for r in collect(minhash_join.jaccard_join(docs(spark, rows), trees=10, recall=0.9999), "doc_id", "class_id", "n_links")}
+    wanted = brute_links(rows)
+    assert got == wanted
+    assert len(lengths) >= 3
+    assert 0 < sum(n for _, n in wanted.values()) < 12 * 8 * 7  # some pairs of a group are linked and some are not
+    with pytest.raises(ValueError, match="trees"):
+        minhash_join.jaccard_join(docs(spark, rows), threshold=(1, 10), trees=4)
+
+
 def test_jaccard_join_odd(odd, empty):
     got = collect(minhash_join.jaccard_join(odd), "doc_id", "class_id", "n_links", "kept")
     assert len(got) == len(ODD)
