@@ -10,7 +10,7 @@ from tesserae.operators import evals as E
 
 def test_entities_and_expansion(spark):
     m = spark.createDataFrame([("d1", 1, "A b", "concept"), ("d2", 1, "A b", "concept"), ("d3", 2, "P", "person"), ("d4", 2, "P", "person")], "doc_id string, entity_id int, name string, kind string")
-    assert A.entity_set_metrics(m).first()[:] == (2, 0.5, 0.0, math.log(2))
+    assert A.entity_set_metrics(m).first()[:4] == (2, 0.5, 0.0, math.log(2) * (1 + 0.25) / 2)
     assert sorted(map(tuple, A.kind_histogram(m).collect())) == [("concept", 1), ("person", 1)]
     hits = spark.createDataFrame([("c1", "d1", 1)], "chunk_id string, document_id string, rank int")
     chunks = spark.createDataFrame([(f"c{d}{i}", f"d{d}", i, "fox text") for d in (1, 2, 3) for i in range(3)], "chunk_id string, document_id string, char_start int, text string")
@@ -18,6 +18,25 @@ def test_entities_and_expansion(spark):
     assert [r[0] for r in A.anchor_labels(chunks, "fox text", "d1", k=9).collect()] == ["c10"]
 
 
+def test_entity_sets_are_judged(spark):
+    schema = "doc_id string, entity_id int, name string, kind string"
+    old = [("a", 1, "TCP", "tool"), ("b", 1, "TCP", "tool"), ("a", 2, "the", "concept"), ("c", 3, "8080", "other"), ("c", 4, "Ada Byron", "person"), ("d", 5, "?", "concept"), ("a", 6, "x", "place"), *[(d, 7, "Network", "concept") for d in "abcd"]]
+    got = A.entity_set_metrics(spark.createDataFrame(old, schema)).first()
+    assert (got["entities"], got["pairs"]) == (7, 11)
+    assert math.isclose(got["noise_rate"], 4 / 7)
+    assert math.isclose(got["generic_rate"], 1 / 7)
+    assert math.isclose(got["topical_rate"], 4 / 7)
+    assert math.isclose(got["proper_rate"], 2 / 7)
+    assert math.isclose(got["specificity"], (math.log(2) + math.log(4) * (1 + 0.5 + 0.25 + 1 + 0.25)) / 7)
+    hard = A.entity_set_metrics(spark.createDataFrame(old, schema), A.HARD).first()
+    assert (hard["entities"], hard["noise_rate"], hard["generic_rate"]) == (4, 0.5, 0.25)
+    new = spark.createDataFrame([r for r in old if r[1] in (1, 3, 4, 5, 6)], schema)
+    verdict = A.better_entities(A.entity_set_metrics(spark.createDataFrame(old, schema)), A.entity_set_metrics(new)).first()
+    assert not verdict["better"]  # more noise
+    clean = spark.createDataFrame([r for r in old if r[1] in (1, 4, 6)] + [("a", 8, "UDP", "tool"), ("b", 9, "OSPF", "tool"), ("d", 10, "BGP", "tool")], schema)
+    assert A.better_entities(A.entity_set_metrics(spark.createDataFrame(old, schema)), A.entity_set_metrics(clean)).first()["better"]
+
+
 def test_fabricated_quotes_and_unique_openers(spark):
     row = spark.createDataFrame([("He said:  Big C++ Day, Ann\\E b. Annex", ["big c++ day here"], ["Big C++ day", "Ann", "Ann\\E b", "nex", "", "he SAID"])], "a string, e array<string>, b array<string>")
     assert row.select(E.fabricated_quotes(F.col("a"), F.col("e"), F.col("b"))).first()[0] == ["Ann", "Ann\\E b", "he SAID"]
