@@ -16,11 +16,11 @@ def cer(reference: Column, found: Column) -> Column:
 
 
 def wer(reference: Column, found: Column) -> Column:
-    """Word edits by the words of the reference: distinct words become single characters, whose edit distance Spark has."""
+    """Word edits by the words of the reference: distinct words (up to a million) become single characters, whose edit distance Spark has."""
     split = lambda c: F.when(metric_text(c) == "", F.array().cast("array<string>")).otherwise(F.split(metric_text(c), " "))
     a, b = split(reference), split(found)
     vocabulary = F.array_distinct(F.concat(a, b))
-    code = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 0x4E00), 4, "0")), "UTF-16BE")), "")
+    code = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 0x10000), 8, "0")), "UTF-32")), "")
     return F.when(F.size(a) == 0, F.when(F.size(b) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(code(a), code(b)) / F.size(a))
 
 
