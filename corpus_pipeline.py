@@ -2,6 +2,11 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept.  All but the
 last return the columns of ``documents``; the last returns one row per piece of a packed sequence.
+
+Defined results: null and empty texts, and texts without letters, go in the first stage; very long texts
+are read whole by every stage; rows with a null or repeated id are rows of their own, told apart by id and
+text, and of equal rows one stays; ties go to the smaller id; an empty table gives no rows; other columns
+are carried along, whatever their names, until the last stage.
 """
 
 from __future__ import annotations
