@@ -11,7 +11,8 @@ they alone are kept with it: ties go to smaller ids exactly, however many copies
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part,
 neither as query nor as candidate; vectors of different lengths never meet; repeated rows (same id,
-same vector) count once; a query never finds rows with its own id; an empty table gives no rows.
+same vector) count once; a query never finds rows with its own id; an empty table gives no rows;
+other columns are ignored whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ result.  From the vocabulary itself :class:`Counter` proves, before any text is
 A pre-token that is a whole token counts 1 by one look-up.  Only the rest is merged, by the library,
 and a bounded memo keeps recent answers.
 
-Defined results: null counts as empty and has 0 tokens; texts of any length are read whole.
+Defined results: null counts as empty and has 0 tokens; texts of any length are read whole; repeated
+rows, and rows with a null ``doc_id``, are counted each; an empty table gives no rows; other columns
+are ignored whatever their names.
 """
 
 from __future__ import annotations

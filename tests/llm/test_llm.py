@@ -711,6 +711,19 @@ def test_filters_drop_rows_not_ids(spark, odd, monkeypatch, most):
 
 
 # --- pipeline -------------------------------------------------------------------------------------
+def test_pipeline_odd(spark, odd, empty, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, an empty table, columns with names that stages use inside."""
+    import corpus_pipeline
+
+    for name, df in (("odd", odd), ("none", empty)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    texts = {i for i, t in ODD if t and any(map(str.isalpha, t))}
+    assert {r["doc_id"] for r in got} <= texts
+    assert all(0 < r["length"] <= 2048 for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
