@@ -6,10 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
-from tesserae.operators import evals, fulltext, textindex, vectors
+from tesserae.operators import evals, fulltext, vectors
 from tesserae.queries.base import query
-from tesserae.sources.snapshots import Store
-from tesserae.storage import new_folder
 
 TOKENS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 
@@ -77,12 +75,11 @@ r AS (SELECT conv_id, turn, doc_id, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5
       FROM q JOIN i USING (term) JOIN df USING (term), s GROUP BY conv_id, turn, doc_id)
 SELECT conv_id, turn, doc_id, round(score, 6) AS score FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(score, 6) DESC, doc_id) <= 3""")
 def bm25_batch_topk(t):
-    """Three documents for each turn of a user."""
-    store = Store(t.spark, new_folder(t.spark, "index"))
-    textindex.build(store, t.documents, "doc_id")
+    """Three documents for each turn of a user, by joining all postings of its terms."""
+    docs = t.documents
     turns = t.conversations.filter("role = 'user'").select(F.struct("conv_id", "turn").alias("query_id"), "text")
-    found = textindex.search_batch(store, turns, 3)
-    return found.select("query_id.conv_id", "query_id.turn", F.col("id").alias("doc_id"), "score")
+    found = fulltext.search_batch(fulltext.postings(docs, "doc_id"), fulltext.corpus_stats(docs), turns, 3, "doc_id")
+    return found.select("query_id.conv_id", "query_id.turn", "doc_id", "score")
 
 
 
