@@ -158,20 +158,25 @@ def declined(answer: Column) -> Column:
 GATES = ("vault_contradiction", "fabricated_specific", "structural", "ood_doc_attribution", "advisory_safety")
 
 
-def expert_results(runs: DataFrame) -> DataFrame:
+def expert_results(runs: DataFrame, order: str | None = None) -> DataFrame:
     """One row a case over its runs (name, case_type, run, is_gated, expects_engagement, the gates' counts, coverage, acknowledged, hedges, refused, declined).
 
     A gate counts what its worst run found; for a gated case it counts once if it fired in more than half of the
     runs, rounded down.  An answer is useful if no run refused, its mean coverage is 0.5 or more and the first
-    run hedges little; a case that expects no engagement needs no use.
+    run hedges little; a case that expects no engagement needs no use.  With ``order``, a column, coverage is added up in
+    its order, so that a mean next to the limit does not depend on how rows were dealt.
     """
+    mean = F.avg("coverage")
+    if order:
+        known = F.array_sort(F.collect_list(F.when(F.col("coverage").isNotNull(), F.struct(order, "coverage"))))  # the runs of a case
+        mean = F.aggregate(known, F.lit(0.0), lambda s, x: s + x["coverage"]) / F.nullif(F.size(known), F.lit(0))
     n, fired = F.count(F.lit(1)), sum((F.col(g) for g in GATES), F.lit(0)) > 0
     worst = lambda g: F.when(F.bool_or("is_gated"), (F.count(F.when(F.col(g) > 0, 1)) > F.floor(n / 2)).cast("long")).otherwise(F.max(g)).cast("long")
     by = runs.groupBy("name", "case_type").agg(
         n.alias("runs"),
         *[worst(g).alias(g) for g in GATES],
         (F.bool_and(fired) | ~F.bool_or(fired)).alias("gate_run_stable"),
-        F.avg("coverage").alias("concept_coverage"),
+        mean.alias("concept_coverage"),
         F.avg("acknowledged").alias("acknowledgment_recall"),
         F.bool_or("refused").alias("unexpected_refused"),
         F.bool_or(F.col("declined") & ~F.col("expects_engagement")).alias("declined_specific"),

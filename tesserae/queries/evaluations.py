@@ -73,12 +73,13 @@ SELECT k, n AS runs, ga::BIGINT AS vault_contradiction, gb::BIGINT AS fabricated
 def expert_results(t):
     """Orders as cases, their line items as runs; every third case is gated."""
     k, zero = F.col("l_orderkey"), F.lit(0)
+    row = F.struct("_metadata.file_path", "_metadata.row_index")  # line numbers may be repeated: of equal ones the first row counts, and means are summed as rows come
     runs = t.lineitem.select(
-        k.alias("name"), F.lit("x").alias("case_type"), F.col("l_linenumber").alias("run"), (k % 3 == 0).alias("is_gated"), (k % 5 != 0).alias("expects_engagement"),
+        k.alias("name"), F.lit("x").alias("case_type"), F.struct("l_linenumber", row).alias("run"), row.alias("row"), (k % 3 == 0).alias("is_gated"), (k % 5 != 0).alias("expects_engagement"),
         ((F.col("l_partkey") % 11 == 0).cast("int") * 2).alias("vault_contradiction"), (F.col("l_suppkey") % 13 == 0).cast("int").alias("fabricated_specific"), (F.col("l_partkey") % 17 == 0).cast("int").alias("structural"), zero.alias("ood_doc_attribution"), zero.alias("advisory_safety"),
         (F.col("l_quantity") / 50).alias("coverage"), F.lit(0.0).alias("acknowledged"), F.col("l_discount").alias("hedges"), ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")).alias("refused"), (F.col("l_returnflag") == "A").alias("declined"),
     )
-    return reports.expert_results(runs).select(F.col("name").alias("k"), "runs", "vault_contradiction", "fabricated_specific", "structural", "gate_run_stable", "unexpected_refused", "declined_specific", "hard_gates_pass", "usefulness_floor_pass")
+    return reports.expert_results(runs, "row").select(F.col("name").alias("k"), "runs", "vault_contradiction", "fabricated_specific", "structural", "gate_run_stable", "unexpected_refused", "declined_specific", "hard_gates_pass", "usefulness_floor_pass")
 
 
 @query("""
