@@ -32,7 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import frugal, materialise, read_words, semi_join, table, without_copies
@@ -113,6 +113,23 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str, n: int, trees: int, de
 def components(edges: DataFrame) -> DataFrame:
     """``(u, v)`` to ``(u, root)``: smallest node of each connected component, for nodes that have an edge.
 
+    A node hangs on its smallest neighbour, and its other ones are tied to that: edges that many nodes have
+    alike, as a group's members in every tree, become one, and rounds are made over what is left.
+    """
+    down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    down = materialise(down.withColumn("hub", F.min("v").over(Window.partitionBy("u"))))
+    hung = down.filter("v = hub").select("u", "hub")
+    lower = down.select(F.col("v").alias("u")).distinct()
+    ties = down.filter("v <> hub").select("v", F.col("hub").alias("u")).distinct()
+    ties = ties.select("u", "v").unionByName(hung.join(lower, "u", "left_semi").select("u", F.col("hub").alias("v")))
+    lowest = lower.join(hung, "u", "left_anti").withColumn("hub", F.col("u"))
+    roots = _rounds(ties).withColumnRenamed("u", "hub")
+    return hung.unionByName(lowest).join(roots, "hub", "left").select("u", F.coalesce("root", "hub").alias("root"))
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    """``u, root`` of the nodes of ``edges``.
+
     Smallest labels are handed over edges, then labels take their own label's label (pointer
     jumping), until nothing changes; each round is written down.
     """
