@@ -10,6 +10,8 @@ cosine was above the frame's floor) is fixed to it in both.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,13 +22,15 @@ from tesserae.sources.snapshots import Store, append, latest
 #: Band of near ties, cost of a jump, pull of time, least cosines of text and frame.
 TIE, JUMP, TIME, FLOOR, FRAME_FLOOR = 0.02, 0.1, 0.1, 0.4, 0.8
 STORE = "alignments"
+#: Rows of a pair's scores that are held at once.
+ROWS = 256
 
 
 class NotAligned(ValueError):
     """A document is not indexed, or the deck's chunks have no pages."""
 
 
-def greedy(scores: np.ndarray, pages: np.ndarray, floor: float = FLOOR, tie: float = TIE, fixed: dict[int, float] | None = None) -> list[int | None]:
+def greedy(scores: Iterable[np.ndarray], pages: np.ndarray, floor: float = FLOOR, tie: float = TIE, fixed: dict[int, float] | None = None) -> list[int | None]:
     """For each row the column taken, None below the floor; ``pages`` of columns may hold NaN; ``fixed``: pages of rows with a frame (their column is not decided here)."""
     out: list[int | None] = []
     last = np.nan
@@ -47,38 +51,74 @@ def greedy(scores: np.ndarray, pages: np.ndarray, floor: float = FLOOR, tie: flo
     return out
 
 
+def _reached(value: np.ndarray, jump: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each page the state it is best reached from, of equal ones the first, and the value there; the last state is that of no page yet."""
+    p = len(value) - 1
+    ahead, back, at = value[:p] - jump, value[:p] - 2 * jump, np.arange(p)
+    top = np.maximum.accumulate(ahead)
+    first = np.maximum.accumulate(np.where(ahead > np.append(-np.inf, top[:-1]), at, 0))
+    best, from_ = value[:p].copy(), at.copy()
+    low = np.maximum.accumulate(back[::-1])[::-1]
+    last = np.minimum.accumulate(np.where(back >= np.append(low[1:], -np.inf), at, p)[::-1])[::-1]
+    for best_, from__, cols, wins in ((top[:-1], first[:-1], slice(1, p), np.greater_equal), (low[1:], last[1:], slice(0, p - 1), np.greater)):
+        better = wins(best_, best[cols])
+        best[cols][better], from_[cols][better] = best_[better], from__[better]
+    none = value[p] > best
+    best[none], from_[none] = value[p], p
+    return from_, best
+
+
+def _path(gains: Callable[[int, int], np.ndarray], n: int, p: int, floor: float, jump: float, fixed: dict[int, int | None] | None) -> list[int | None]:
+    """As :func:`best_path`, for rows that ``gains`` gives from one to another: values are kept at the start of each block of about the
+    root of ``n`` rows, and where a block's states came from is worked out again on the way back."""
+    size = max(1, int(n**0.5))
+    value = np.full(p + 1, -np.inf)
+    value[p] = 0.0
+
+    def block(a: int, value: np.ndarray, told: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        b = min(n, a + size)
+        rows = gains(a, b)
+        came, took = (np.tile(np.arange(p + 1, dtype=np.int32), (b - a, 1)), np.zeros((b - a, p + 1), bool)) if told else (None, None)
+        for i in range(b - a):
+            anchor = (fixed or {}).get(a + i, -1)
+            if anchor is None:
+                continue
+            from_, reached = _reached(value, jump)
+            if anchor >= 0:
+                value = np.full(p + 1, -np.inf)
+                value[anchor] = reached[anchor]
+                if told:
+                    came[i, anchor], took[i, anchor] = from_[anchor], True
+                continue
+            value = value + floor
+            gained = reached + rows[i]
+            better = gained > value[:p]
+            value[:p][better] = gained[better]
+            if told:
+                came[i, :p][better], took[i, :p][better] = from_[better], True
+        return value, came, took
+
+    starts = []
+    for a in range(0, n, size):
+        starts.append((a, value))
+        value = block(a, value, False)[0]
+    state, path = int(value.argmax()), []
+    for a, value in reversed(starts):
+        _, came, took = block(a, value, True)
+        for i in range(len(came) - 1, -1, -1):
+            path.append(state if took[i, state] else None)
+            state = int(came[i, state])
+    return path[::-1]
+
+
 def best_path(scores: np.ndarray, floor: float = FLOOR, jump: float = JUMP, prior: np.ndarray | None = None, fixed: dict[int, int | None] | None = None) -> list[int | None]:
     """For each row the page (a column of ``scores``, in the deck's order) of the best path, None for a chunk without a slide.
 
     ``prior`` is taken from the scores; ``fixed`` gives rows a page, or None for a frame that no page is known for,
     which leaves the state as it is.
     """
-    n, p = scores.shape
-    at = np.arange(p)
-    move = np.vstack([np.where(at[None] == at[:, None], 0.0, np.where(at[None] > at[:, None], -jump, -2 * jump)), np.zeros(p)])  # the last state: no page yet
-    value = np.full(p + 1, -np.inf)
-    value[p] = 0.0
-    came, took = np.tile(np.arange(p + 1), (n, 1)), np.zeros((n, p + 1), bool)
     gain = scores if prior is None else scores - prior
-    for i in range(n):
-        anchor = (fixed or {}).get(i, -1)
-        if anchor is None:
-            continue
-        total = value[:, None] + move
-        from_, reached = total.argmax(0), total.max(0)
-        if anchor >= 0:
-            value = np.full(p + 1, -np.inf)
-            value[anchor], came[i, anchor], took[i, anchor] = reached[anchor], from_[anchor], True
-            continue
-        value = value + floor
-        better = reached + gain[i] > value[:p]
-        value[:p][better] = (reached + gain[i])[better]
-        came[i, :p][better], took[i, :p][better] = from_[better], True
-    state, path = int(value.argmax()), []
-    for i in range(n - 1, -1, -1):
-        path.append(state if took[i, state] else None)
-        state = int(came[i, state])
-    return path[::-1]
+    return _path(lambda a, b: gain[a:b], *scores.shape, floor, jump, fixed)
 
 
 def time_prior(starts: np.ndarray, ends: np.ndarray, pages: int, weight: float = TIME) -> np.ndarray:
@@ -116,29 +156,45 @@ def align(transcripts: DataFrame, decks: DataFrame, method: str = "path", floor:
         if t.empty:
             return pd.DataFrame(columns=cols)
         t, d = t.sort_values("pos", ignore_index=True), d.sort_values("pos", ignore_index=True)
-        scores = _units(t["vector"]) @ _units(d["vector"]).T if len(d) else np.zeros((len(t), 0))
-        page = d["page"].to_numpy(float)
+        page, deck, own_units = d["page"].to_numpy(float), _units(d["vector"]) if len(d) else None, _units(t["vector"])
+        scores = lambda a, b: own_units[a:b] @ deck.T if deck is not None else np.zeros((b - a, 0))
+        blocks = [(a, min(len(t), a + ROWS)) for a in range(0, len(t), ROWS)]
         at = {int(p): j for j, p in enumerate(d["pos"])}
         shown = {i: at.get(int(f)) for i, f in enumerate(t["frame_pos"]) if f == f and f is not None}
+        unpaged = np.zeros(len(d), bool)
         if method == "greedy":
-            chosen = greedy(scores, page, floor, tie, {i: page[j] if j is not None else np.nan for i, j in shown.items()})
+            chosen = greedy((row for a, b in blocks for row in scores(a, b)), page, floor, tie, {i: page[j] if j is not None else np.nan for i, j in shown.items()})
         else:
             numbers = np.unique(page[~np.isnan(page)])
-            of = [np.flatnonzero(page == x) for x in numbers]
-            tops = np.stack([own[scores[:, own].argmax(1)] for own in of], 1) if of else np.zeros((len(t), 0), int)
-            best = np.take_along_axis(scores, tops, 1)
+            order = np.argsort(page, kind="stable")[: int((~np.isnan(page)).sum())]  # columns of the same page lie together
+            firsts = np.searchsorted(page[order], numbers)
             where = {x: k for k, x in enumerate(numbers)}
             fixed = {i: where.get(page[j]) if j is not None else None for i, j in shown.items()}
-            prior = time_prior(t["start_s"].to_numpy(float), t["end_s"].to_numpy(float), len(numbers), time)
-            path = best_path(best, floor, jump, prior, fixed) if of else [None] * len(t)
-            chosen = [None if k is None else int(tops[i, k]) for i, k in enumerate(path)]
-            if of:
-                scores = np.where(np.isnan(page)[None], -np.inf, scores)
+            starts, ends = t["start_s"].to_numpy(float), t["end_s"].to_numpy(float)
+
+            def gains(a: int, b: int) -> np.ndarray:
+                return np.maximum.reduceat(scores(a, b)[:, order], firsts, axis=1) - time_prior(starts[a:b], ends, len(numbers), time)
+
+            path = _path(gains, len(t), len(numbers), floor, jump, fixed) if len(numbers) else [None] * len(t)
+            chosen = [None] * len(t)
+            for a, b in blocks if len(numbers) else []:
+                part = scores(a, b)
+                for i in range(a, b):
+                    if path[i] is not None:
+                        own = order[firsts[path[i]] : firsts[path[i] + 1] if path[i] + 1 < len(firsts) else None]
+                        chosen[i] = int(own[part[i - a, own].argmax()])
+            unpaged = np.isnan(page) if len(numbers) else unpaged
+        told = np.zeros(len(t))  # the score of what is taken, or the best one
+        for a, b in blocks if len(d) else []:
+            part = np.where(unpaged[None], -np.inf, scores(a, b))
+            for i in range(a, b):
+                j = shown[i] if i in shown else chosen[i]
+                told[i] = part[i - a, j] if j is not None else part[i - a].max()
         rows = []
         for i, j in enumerate(chosen):
             j, score = (shown[i], t["frame_score"][i]) if i in shown else (j, None)
             if score is None or score != score:
-                score = scores[i, j] if j is not None else (scores[i].max() if scores.shape[1] else 0.0)
+                score = told[i]
             rows.append((t["pair_id"][i], int(t["pos"][i]), None if j is None else int(d["pos"][j]), None if j is None or page[j] != page[j] else int(page[j]), float(score)))
         return pd.DataFrame(rows, columns=cols).astype({"page": "Int64", "deck_pos": "Int64"})
 
