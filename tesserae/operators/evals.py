@@ -16,12 +16,18 @@ def cer(reference: Column, found: Column) -> Column:
 
 
 def wer(reference: Column, found: Column) -> Column:
-    """Word edits by the words of the reference: distinct words (up to a million) become single characters, whose edit distance Spark has."""
+    """Word edits by the words of the reference: distinct words (up to a million) become single characters, whose edit distance Spark has.
+
+    A word's number is looked up in a map that is made once for a row; a column named in a lambda would be worked out for every word.
+    """
     split = lambda c: F.when(metric_text(c) == "", F.array().cast("array<string>")).otherwise(F.split(metric_text(c), " "))
-    a, b = split(reference), split(found)
-    vocabulary = F.array_distinct(F.concat(a, b))
-    code = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 0x10000), 8, "0")), "UTF-32")), "")
-    return F.when(F.size(a) == 0, F.when(F.size(b) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(code(a), code(b)) / F.size(a))
+    once = lambda c, f: F.transform(F.array(c), f)[0]
+    char = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 0x10000), 8, "0")), "UTF-32")
+    coded = lambda m, words: F.array_join(F.transform(words, lambda w: m[w]), "")
+    numbered = lambda v: F.map_from_arrays(v, F.transform(v, lambda w, i: char(i + 1)))
+    edits = lambda x, m: F.levenshtein(coded(m, x["a"]), coded(m, x["b"])) / F.size(x["a"])
+    rate = lambda x: F.when(F.size(x["a"]) == 0, F.when(F.size(x["b"]) == 0, 0.0).otherwise(1.0)).otherwise(once(numbered(F.array_distinct(F.concat(x["a"], x["b"]))), lambda m: edits(x, m)))
+    return once(F.struct(split(reference).alias("a"), split(found).alias("b")), rate)
 
 
 def content_recall(reference: Column, found: Column) -> Column:
