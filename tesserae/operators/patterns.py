@@ -55,7 +55,11 @@ def contained(texts: DataFrame, patterns: DataFrame, most: int = MOST_PATTERNS,
 
 def words(text: str) -> list[tuple[str, int, int]]:
     """Folded words of a text and where they stand."""
-    return [(w, m.start(), m.end()) for m in _WORD.finditer(text) if (w := _MARK.sub("", _decomposed(m[0].lower())))]
+    return [(w, m.start(), m.end()) for m in _WORD.finditer(text) if (w := _folded(m[0].lower()))]
+
+
+def _folded(word: str) -> str:
+    return word if word.isascii() else _MARK.sub("", _decomposed(word))
 
 
 def _decomposed(word: str) -> str:
@@ -83,9 +87,12 @@ def trie_of(names: list[str]) -> dict:
 def longest(trie: dict, text: str) -> list[tuple[int, int, list[str]]]:
     """``(start, end, names)`` of the longest name at each word where one begins."""
     toks, out = words(text), []
-    for i, (_, start, _) in enumerate(toks):
+    for i, (first, start, _) in enumerate(toks):
+        if first not in trie:
+            continue
         node, best = trie, None
-        for w, _, end in toks[i:]:
+        for k in range(i, len(toks)):
+            w, _, end = toks[k]
             node = node.get(w)
             if node is None:
                 break
