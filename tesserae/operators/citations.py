@@ -7,6 +7,7 @@ are at least 60 % of them.  The best score of a document counts; of equal scores
 Citations of the same wording are resolved once, and of documents that share a title, a form or title
 words the two smallest ids are kept: one may be the citing document itself.  Substrings are found by
 automata, words by an index of each title's rarest ones, so a frequent word never pairs anything.
+Forms and words are made for distinct authors and titles, not for each document that has them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import rules
 from tesserae.operators.patterns import MOST_PATTERNS, contained
+from tesserae.storage import written
 
 #: Scores, least lengths, confidence of a candidate by its band.
 TITLE, AUTHOR_YEAR, PART_OF_TITLE, LEAST_SCORE = 0.95, 0.90, 0.88, 0.70
@@ -23,11 +25,14 @@ TITLE_CHARS, PART_CHARS = 8, 12
 CONFIDENCE = {"high": 0.92, "medium": 0.68, "low": 0.42}
 
 
-def _firsts(df: DataFrame, key: str) -> DataFrame:
-    """``key`` and the two smallest ids that share it."""
-    w = Window.partitionBy(key).orderBy("doc_id")
-    top = df.select(key, "doc_id").distinct().withColumn("_r", F.row_number().over(w)).filter("_r <= 2")
-    return top.groupBy(key).agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+def _firsts(df: DataFrame, *key: str) -> DataFrame:
+    """``key`` and the two smallest ids that share it.
+
+    Each task leaves out what comes after its own two before rows are shuffled, which a ``distinct`` ahead of the rank would prevent.
+    """
+    w = Window.partitionBy(*key).orderBy("doc_id")
+    top = df.select(*key, "doc_id").withColumn("_r", F.dense_rank().over(w)).filter("_r <= 2").select(*key, "doc_id").distinct()
+    return top.groupBy(*key).agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
 
 
 def token_score(n: Column) -> Column:
@@ -59,11 +64,16 @@ def resolve(candidates: DataFrame, documents: DataFrame, most: int = MOST_PATTER
     and the score.  The document ``skip_doc_id`` is never the answer.
     """
     c = candidates.withColumn("norm", F.lower(F.trim("surface_text"))).filter("norm <> ''")
-    norms = c.select("norm").distinct()
-    d = documents.select("doc_id", F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("lower"), rules.author_year_forms(F.col("authors"), F.col("date")).alias("forms"))
-    titles = _firsts(d.filter(F.length("lower") >= TITLE_CHARS), "lower")
-    forms = _firsts(d.select(F.explode("forms").alias("form"), "doc_id"), "form")
-    tokens = _firsts(d.withColumn("tokens", rules.title_tokens(F.col("lower"))).filter(F.size("tokens") > 0), "tokens")
+    c = written(c.select("citation_id", "norm", "confidence", "skip_doc_id"))
+    norms = written(c.select("norm").distinct())
+    d = documents.filter("doc_id IS NOT NULL").select("doc_id", F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("lower"), "authors", "date")
+    wordings = written(_firsts(d, "lower"))
+    titles = wordings.filter(F.length("lower") >= TITLE_CHARS)
+    # Written, or Spark filters by the size of the forms below the rank, and makes them for each document.
+    signed = written(_firsts(d, "authors", "date")).select(F.explode(rules.author_year_forms(F.col("authors"), F.col("date"))).alias("form"), "docs")
+    forms = written(_firsts(signed.select("form", F.explode("docs").alias("doc_id")), "form"))
+    listed = wordings.select(rules.title_tokens(F.col("lower")).alias("tokens"), F.explode("docs").alias("doc_id"))
+    tokens = written(_firsts(listed.filter(F.size("tokens") > 0), "tokens"))
     texts = norms.select(F.col("norm").alias("key"), F.col("norm").alias("text"))
     scored = lambda df, score, via: df.select("norm", "docs", F.lit(score).alias("score"), F.lit(via).alias("via"))
     whole = contained(texts, titles.select(F.col("lower").alias("pattern")), most).select(F.col("key").alias("norm"), F.col("pattern").alias("lower")).join(titles, "lower")
@@ -76,10 +86,9 @@ def resolve(candidates: DataFrame, documents: DataFrame, most: int = MOST_PATTER
     # Two documents of each wording are enough: the best, and the best beside the citing one.
     by_doc = flat.groupBy("norm", "doc_id").agg(F.max(F.struct("score", "via")).alias("s")).select("norm", "doc_id", "s.*")
     top = by_doc.withColumn("_r", F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("score"), "doc_id"))).filter((F.col("_r") <= 2) & (F.col("score") >= LEAST_SCORE))
-    answers = top.groupBy("norm").agg(F.sort_array(F.collect_list(F.struct("_r", "doc_id", "score", "via"))).alias("a"))
+    named = documents.select("doc_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.col("doc_id").cast("string")).alias("title"))
+    answers = top.join(named, "doc_id").groupBy("norm").agg(F.sort_array(F.collect_list(F.struct("_r", "doc_id", "score", "via", "title"))).alias("a"))
     best = F.try_element_at(F.filter("a", lambda x: ~x["doc_id"].eqNullSafe(F.col("skip_doc_id"))), F.lit(1))
     band = F.coalesce(*[F.when(F.col("confidence") == k, v) for k, v in CONFIDENCE.items()])
     out = c.join(answers, "norm").withColumn("_b", best).filter("_b IS NOT NULL")
-    out = out.select("citation_id", F.col("_b.doc_id").alias("doc_id"), F.col("_b.via").alias("via"), F.col("_b.score").alias("score"), ((band + F.col("_b.score")) / 2).alias("confidence"))
-    named = documents.select("doc_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.col("doc_id").cast("string")).alias("title"))
-    return out.join(named, "doc_id").select("citation_id", "doc_id", "title", "via", "score", "confidence")
+    return out.select("citation_id", "_b.doc_id", "_b.title", "_b.via", "_b.score", ((band + F.col("_b.score")) / 2).alias("confidence"))

@@ -20,9 +20,12 @@ c AS (SELECT c_custkey AS citation_id, c_custkey % n AS skip, CASE c_custkey % 5
       FROM customer, n JOIN part ON p_partkey = (c_custkey * 7) % n JOIN d ON doc_id = p_partkey)"""
 
 
+def _title():
+    return F.concat_ws(" ", "p_name", F.lower("p_type"), F.col("p_size").cast("string"))
+
+
 def _documents(t):
-    title = F.concat_ws(" ", "p_name", F.lower("p_type"), F.col("p_size").cast("string"))
-    return t.part.select(F.col("p_partkey").alias("doc_id"), title.alias("title"), F.array("p_brand").alias("authors"), F.make_date(1990 + F.col("p_size") % 20, F.lit(1), F.lit(1)).alias("date"))
+    return t.part.select(F.col("p_partkey").alias("doc_id"), _title().alias("title"), F.array("p_brand").alias("authors"), F.make_date(1990 + F.col("p_size") % 20, F.lit(1), F.lit(1)).alias("date"))
 
 
 @query(f"""
@@ -41,7 +44,7 @@ def citation_resolution(t):
     """Citations by title, part of a title, author and year, words, or of nothing; a document never cites itself."""
     n = t.part.count()
     d = _documents(t)
-    cited = t.part.join(d.select(F.col("doc_id").alias("p_partkey"), "title"), "p_partkey").withColumnRenamed("p_partkey", "_p")
+    cited = t.part.select(F.col("p_partkey").alias("_p"), "p_name", "p_brand", "p_type", "p_size", _title().alias("title"))
     c = t.customer.withColumn("_p", (F.col("c_custkey") * 7) % n).join(cited, "_p")
     kind = F.col("c_custkey") % 5
     surface = (
