@@ -43,16 +43,17 @@ def by_tokens(norms: DataFrame, titles: DataFrame) -> DataFrame:
     """``norm, docs, score`` from shared words.
 
     A title of n words needs ``max(2, ceil(0.6 n))`` of them, so at least one of its ``n - need + 1`` rarest must be
-    shared: only those are joined, and what meets there is counted in full.
+    shared: only those are joined, and what meets there is counted in full, at the first of them that is shared.
     """
     sets = titles.filter(F.size("tokens") >= 2)
     df = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     listed = sets.select("tokens", "docs", F.explode("tokens").alias("t")).join(df, "t")
     need = F.greatest(F.lit(2), F.ceil(F.size("tokens") * 0.6).cast("int"))
     ordered = listed.groupBy("tokens", "docs").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))
-    keys = ordered.select("tokens", "docs", F.explode(F.slice("r", 1, F.size("tokens") - need + 1)).alias("r")).select("tokens", "docs", F.col("r.t").alias("t"))
+    rare = ordered.select("tokens", "docs", F.slice("r.t", 1, F.size("tokens") - need + 1).alias("rare"))
+    keys = rare.select("tokens", "docs", "rare", F.explode("rare").alias("t"))
     asked = norms.select("norm", F.array_distinct(F.regexp_extract_all("norm", F.lit("[a-z0-9]+"), F.lit(0))).alias("own"))
-    met = asked.select("norm", "own", F.explode("own").alias("t")).join(keys, "t").dropDuplicates(["norm", "tokens"])
+    met = asked.select("norm", "own", F.explode("own").alias("t")).join(keys, "t").filter(F.try_element_at(F.array_intersect("rare", "own"), F.lit(1)) == F.col("t"))
     n = F.size(F.array_intersect("own", "tokens"))
     return met.filter((n >= 2) & (n / F.size("tokens") >= 0.6)).select("norm", "docs", token_score(n).alias("score"))
 
