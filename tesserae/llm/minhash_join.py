@@ -4,15 +4,18 @@ A document is the set of its five-word shingles (words: runs of non-white space,
 of fewer words is one shingle).  Documents with equal sets are one *node* with a count.
 
 * Forest.  A node has a label of ``max_depth`` MinHash values in each of ``trees`` prefix tries.  A trie
-  node at depth *d* is the group of labels that share their first *d* values.  All prefixes begin at
+  node at depth *d* is the group of labels that share their first *d* values.  Labels are shuffled once,
+  by the shortest prefix that can be needed, and sorted below it: there the groups of all depths are
+  runs.  All prefixes begin at
   their full length and are shortened by one value at a time.  At each length the groups propose
   pairs, which are verified; from the exact similarities *s* of the links found, each of which this
   length finds with the known probability ``1 - (1 - s**d)**trees``, follows how many links were
   missed.  Shortening ends when the estimated recall reaches ``recall``; where no link was found, when
   links of just the threshold would be found with that probability.  A threshold for which one value
   is still too long is refused.
-* Candidates.  Every group ties its nodes to its smallest one (a star, never all pairs).  The
-  connected parts of these stars hold every proposed pair; a node's shingles are shipped for its
+* Candidates.  A node is tied to the smallest one of its longest group in which it is not that itself
+  (never all pairs): at most one tie a label, which holds for all shorter prefixes too.  The
+  connected parts of these ties hold every proposed pair; a node's shingles are shipped for its
   part, not once for each tree, and only for parts that grew since the last length.
 * Verification.  Parts are cut into blocks of at most about ``block`` shingles and ``most`` nodes; pairs of
   blocks are compared in numpy by exact intersection counts.  A task holds two blocks and returns,
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import frugal, materialise, read_words, semi_join, table, without_copies
+from tesserae.llm.common import BROADCAST_ROWS, frugal, materialise, read_words, semi_join, table, without_copies
 
 WORDS, THRESHOLD, TREES, MAX_DEPTH, RECALL, SEED = 5, (4, 5), 20, 6, 0.9995, 11
 #: Shingles and nodes in a block; a task compares two blocks.
@@ -56,6 +59,11 @@ def least_recall(threshold: float, depth: int, trees: int = TREES) -> float:
     return 1 - (1 - threshold**depth) ** trees
 
 
+def shortest_prefix(threshold: float, max_depth: int, recall: float, trees: int = TREES) -> int:
+    """The longest prefix that finds links of just the threshold with ``recall``, so that none shorter is needed (an estimate is never lower)."""
+    return max([d for d in range(1, max_depth + 1) if least_recall(threshold, d, trees) >= recall], default=1)
+
+
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,6 +118,23 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str, n: int, trees: int, de
     return rows.mapInArrow(frugal(run), f"doc_id {kind}, node binary, n long, labels array<binary>")
 
 
+def forest(nodes: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """``u, labels`` to ``u, v, depth``: the ties of the prefix tries, by the longest prefix at which a node ``u`` has a smaller ``v`` beside it.
+
+    The ties of ``depth`` *d* and more connect all groups of labels that share *d* values, for each *d*
+    from ``shortest`` to ``longest``.  A hash stands for a prefix: where two meet, nodes are compared that need not be.
+    """
+    depths = range(shortest, longest + 1)
+    value = {d: F.hash(F.substring("label", 4 * d - 3, 4)) for d in depths}
+    value[shortest] = F.xxhash64("tree", F.substring("label", 1, 4 * shortest))
+    twigs = nodes.select("u", F.posexplode("labels").alias("tree", "label")).select("u", *[value[d].alias(f"k{d}") for d in depths])
+    twigs = twigs.repartition(f"k{shortest}")
+    for d in reversed(depths):  # the longest first: its order serves the others
+        twigs = twigs.withColumn(f"v{d}", F.min("u").over(Window.partitionBy(*[f"k{x}" for x in range(shortest, d + 1)])))
+    ties = F.coalesce(*[F.when(F.col(f"v{d}") != F.col("u"), F.struct(F.col(f"v{d}").alias("v"), F.lit(d).alias("depth"))) for d in reversed(depths)])
+    return twigs.select("u", ties.alias("tie")).filter("tie IS NOT NULL").select("u", "tie.v", "tie.depth")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(u, v)`` to ``(u, root)``: smallest node of each connected component, for nodes that have an edge.
 
@@ -150,7 +175,6 @@ def join_parts(parts: DataFrame | None, edges: DataFrame) -> DataFrame:
     """``u, part``: the connected parts after more ``edges``; what hangs together already is handled as its parts, not edge by edge."""
     if parts is None:
         return materialise(components(edges).select("u", F.col("root").alias("part")))
-    edges = materialise(edges)
     ends = edges.join(parts.withColumnRenamed("part", "pu"), "u", "left").join(parts.select(F.col("u").alias("v"), F.col("part").alias("pv")), "v", "left")
     ends = ends.select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v")).filter("u <> v").distinct()
     merged = components(ends).select(F.col("u").alias("part"), "root")
@@ -228,11 +252,15 @@ def _local_roots(link: np.ndarray, same: bool) -> np.ndarray:
         labels = new
 
 
-def verify(members: DataFrame, threshold: tuple[int, int], block: int, most: int = BLOCK_NODES) -> DataFrame:
-    """``(part, u, n, copies, shingles)`` to ``part, u, root, links, linked_docs, bins``, a few rows per node: one for each pair of blocks it is in."""
+def verify(members: DataFrame, sets: DataFrame, threshold: tuple[int, int], block: int, most: int = BLOCK_NODES) -> DataFrame:
+    """``(part, u, node, n, copies)`` and ``(node, shingles)``, which may be repeated, to ``part, u, root, links, linked_docs, bins``, a few rows per node: one for each pair of blocks it is in.
+
+    The blocks follow from the sizes, so sets are made once; where the members were counted as few, sets are shuffled only by their blocks.
+    """
     parts = members.groupBy("part").agg(F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count(F.lit(1)) / most)).cast("int").alias("blocks"))
-    rows = members.join(parts, "part").withColumn("mine", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = members.join(parts, "part").select("node", "part", "u", "copies", "blocks", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("mine"))
+    few = members.count() <= BROADCAST_ROWS // 4  # wider than a key
+    rows = sets.join(F.broadcast(placed) if few else placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("part", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "u", "copies", "shingles")
     rows = rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "mine", "u")
 
@@ -260,6 +288,8 @@ def verify(members: DataFrame, threshold: tuple[int, int], block: int, most: int
                 if held and held[0][:3] != r[:3]:
                     yield answer(held)
                     held = []
+                if held and held[-1][4] == r[4]:
+                    continue  # rows of equal id and text, read by two tasks
                 held.append((*r[:6], np.frombuffer(r[6], np.uint64)))
         if held:
             yield answer(held)
@@ -268,12 +298,19 @@ def verify(members: DataFrame, threshold: tuple[int, int], block: int, most: int
 
 
 def shingle_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """``node, shingles`` of each row."""
+    """``node, shingles`` of the rows; a task tells each node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()
         for batch in batches:
-            sets = [shingles(w, n).tobytes() for _, w in read_words(batch.column(0).to_pylist(), words_of)]
-            yield pa.RecordBatch.from_arrays([pa.array([blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"])
+            fresh = {}
+            for _, w in read_words(batch.column(0).to_pylist(), words_of):
+                sh = shingles(w, n).tobytes()
+                node = blake2b(sh, digest_size=16).digest()
+                if node not in told:
+                    told.add(node)
+                    fresh[node] = sh
+            yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array(list(fresh.values()), pa.binary())], ["node", "shingles"])
 
     return docs.select(F.col(text_col)).mapInArrow(frugal(run), "node binary, shingles binary")
 
@@ -287,23 +324,23 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if least_recall(threshold[0] / threshold[1], 1, trees) < recall:
         raise ValueError("even prefixes of one value miss too many links: take more trees")
-    base = materialise(nodes_of(docs, id_col, text_col, words, trees, max_depth))
+    base = materialise(nodes_of(docs, id_col, text_col, words, trees, max_depth).withColumn("u", F.monotonically_increasing_id()))
     base, bare = base.filter("n > 0 AND doc_id IS NOT NULL"), base.filter("n = 0 OR doc_id IS NULL")
-    nodes = base.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
-    nodes = materialise(nodes.withColumn("u", F.monotonically_increasing_id()))
-    twigs = nodes.select("u", F.posexplode("labels").alias("tree", "label"))
+    nodes = materialise(base.groupBy("node").agg(F.min("u").alias("u"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
+    copied = nodes.filter("copies > 1").select("node", F.col("u").alias("first"))
+    again = materialise(base.select("u", "node").join(copied, "node").filter("u <> first").select("u"))
+    alone = base.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, "u", "left_anti")  # labels stay where they are
+    shortest = shortest_prefix(threshold[0] / threshold[1], max_depth, recall, trees)
+    ties = materialise(forest(alone, shortest, max_depth))
     texts = docs.select(F.col(id_col).alias("copy_id"), F.col(text_col).alias("text"))
     found = old = parts = None
-    for depth in range(max_depth, 0, -1):
-        cut = twigs.select("u", "tree", F.substring("label", 1, 4 * depth).alias("prefix"))
-        forks = materialise(cut.groupBy("tree", "prefix").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("tree", "prefix", "v"))
-        parts = join_parts(parts, cut.join(forks, ["tree", "prefix"]).filter("u <> v").select("u", "v").distinct())
+    for depth in range(max_depth, shortest - 1, -1):
+        parts = join_parts(parts, ties.filter(F.col("depth") == depth).select("u", "v").distinct())
         sizes = materialise(parts.groupBy("part").agg(F.count(F.lit(1)).alias("members")))
         grown = parts if old is None else parts.join(sizes.join(old, ["part", "members"], "left_anti"), "part", "left_semi")
         inside = materialise(grown.join(nodes.select("u", "node", "copy_id", "copies", "n"), "u"))
         sets = shingle_sets(semi_join(texts, inside.select("copy_id"), ["copy_id"]), "text", words)
-        members = inside.join(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "node")
-        new = materialise(verify(members.select("part", "u", "n", "copies", "shingles"), threshold, block, most))
+        new = materialise(verify(inside.drop("copy_id"), sets, threshold, block, most))
         found = new if old is None else new.unionByName(found.join(sizes.join(old, ["part", "members"]), "part", "left_semi"))  # parts only grow: one of the same size is the same
         bins = {r["i"]: r["n"] for r in found.select(F.posexplode("bins").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()}  # STEPS rows
         if estimated_recall([bins.get(i, 0) for i in range(STEPS)], depth, threshold[0] / threshold[1], trees) >= recall:
